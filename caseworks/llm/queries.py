@@ -7,12 +7,18 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from caseworks.llm import bpe, mixing, token_counts
+from caseworks.llm import bpe, exact_dedup, langid, mixing, near_dedup, quality, rules, token_counts
 from caseworks.llm.workspace import documents
 
+RANKS = "byte_bpe_multi_50k.tiktoken"
+
 
 def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.digests(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    return bpe.digests(documents(spark, sf_dir), public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
+
+
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.language_id(documents(spark, sf_dir))
 
 
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,8 +29,25 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.exact_duplicates(documents(spark, sf_dir))
+
+
+def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(documents(spark, sf_dir), width=2, percent=80)
+
+
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(spark, documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.quality_rules(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_byte_bpe, op3_mix_sources, op4_token_counts)
+    f.__name__: f
+    for f in (op1_byte_bpe, op2_language_id, op3_mix_sources, op4_token_counts, op6_exact_dedup, op7_minhash_near_dedup, op9_quality_classifier, op10_quality_rules)
 }
 
-ORACLES: dict[str, str] = {"op3_mix_sources": mixing.ORACLE}
+ORACLES: dict[str, str] = {"op3_mix_sources": mixing.ORACLE, "op6_exact_dedup": exact_dedup.ORACLE, "op10_quality_rules": rules.ORACLE}
