@@ -19,6 +19,7 @@ from functools import lru_cache
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql.types import BinaryType, BooleanType, LongType, StructField, StructType
 
 from caseworks.llm.workspace import ship
 
@@ -216,9 +217,10 @@ def _packed(path: str, pattern: str) -> TextEncoder:
     return TextEncoder(PrefixEncoder(read_ranks(path), pattern))
 
 
-def encode_decode(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
-    """doc_id, ids (packed little-endian unsigned 32-bit) and the decoded bytes of each whole text."""
+def encode_documents(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
+    """docs with ids (packed little-endian unsigned 32-bit), n_tokens and round_trip (the decoded ids are the text) in place of text."""
     ship(docs.sparkSession)
+    rest = [c for c in docs.columns if c not in ("text", "ids", "n_tokens", "round_trip")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _packed(ranks_path, pattern)
@@ -226,12 +228,14 @@ def encode_decode(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
         for batch in batches:
             for start in range(0, batch.num_rows, 256):
                 part = batch.slice(start, 256)
-                ids = [known(t or "") for t in part.column(1).to_pylist()]
-                decoded = [b"".join(map(token_of, memoryview(x).cast("I"))) for x in ids]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.binary()), pa.array(decoded, pa.binary())], names=["doc_id", "ids", "decoded"])
-
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, ids binary, decoded binary")
+                texts = [t or "" for t in part.column(len(rest)).to_pylist()]
+                ids = [known(t) for t in texts]
+                same = [b"".join(map(token_of, memoryview(x).cast("I"))) == t.encode() for x, t in zip(ids, texts, strict=True)]
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(ids, pa.binary()), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(same, pa.bool_())], names=[*rest, "ids", "n_tokens", "round_trip"])
+
+    kept = docs.select(*rest, "text")
+    schema = StructType([*kept.schema.fields[:-1], StructField("ids", BinaryType()), StructField("n_tokens", LongType()), StructField("round_trip", BooleanType())])
+    return kept.mapInArrow(run, schema)
 
 
 def digests(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:

@@ -6,7 +6,7 @@ against the tool's schema, and a call whose arguments name another call's result
 else one more than the deepest they name. Results stand right behind their calls. Each message becomes one line of canonical JSON: sorted keys, no
 spaces, UTF-8, shortest numbers.
 
-One row comes out for each message, so that a conversation of any length is never gathered in one place; sort_key orders a conversation.
+One row comes out for each message, so that a conversation of any length is never gathered in one place; at_turn, is_answer, at_depth, at_place and turn order it.
 Behaviour at the edges: null text counts as empty, null role as user; rows without a conversation or turn are kept, with nulls; broken JSON is plain text; a
 result without call, a call without result and identifiers that several calls share are marked, not dropped: of calls that share one, results link
 with the first by turn and place; calls that wait for each other in a circle, or for a call that does not exist, have depth null and are
@@ -156,7 +156,7 @@ def call_depths(calls: DataFrame) -> DataFrame:
 
 
 def format_chats(turns: DataFrame, schemas: dict[str, dict]) -> DataFrame:
-    """For each message: conv_id, turn, role, sort_key, n_calls, n_answered, link (linked, orphan or null), valid and its canonical JSON."""
+    """For each message: conv_id, turn, role, its place (at_turn, is_answer, at_depth, at_place, then turn), n_calls, n_answered, link (linked, orphan or null), valid and its canonical JSON."""
     messages = _messages(turns, schemas)
     calls = messages.select("row", "conv_id", "turn", F.explode("calls").alias("c")).select("row", "conv_id", "turn", "c.*")
     named = calls.filter("call IS NOT NULL AND conv_id IS NOT NULL")
@@ -179,6 +179,6 @@ def format_chats(turns: DataFrame, schemas: dict[str, dict]) -> DataFrame:
     is_answer = F.col("answers").isNotNull()
     link = F.when(is_answer & F.col("home").isNotNull(), "linked").when(is_answer, "orphan")
     return whole.select(
-        "conv_id", "turn", "role", F.to_json(key).alias("sort_key"), F.coalesce("n_calls", F.lit(0)).cast("long").alias("n_calls"), F.coalesce("n_answered", F.lit(0)).cast("long").alias("n_answered"),
+        "conv_id", "turn", "role", key["turn"].alias("at_turn"), key["answer"].alias("is_answer"), key["depth"].alias("at_depth"), key["place"].alias("at_place"), F.coalesce("n_calls", F.lit(0)).cast("long").alias("n_calls"), F.coalesce("n_answered", F.lit(0)).cast("long").alias("n_answered"),
         link.alias("link"), ((F.coalesce("bad", F.lit(0)) == 0) & (F.coalesce(link, F.lit("")) != "orphan")).alias("valid"), F.coalesce("problems", F.lit("")).alias("problems"), F.col("json").alias("message_json"),
     )

@@ -73,14 +73,15 @@ def repeated(docs: DataFrame, mixed: DataFrame) -> DataFrame:
 
     mixed has a row (doc_id, size, taken) for each document. A document with taken 0 goes, unless it has no words.
     """
-    take = mixed.select(F.col("doc_id").alias("_id"), F.col("size").alias("_size"), F.col("taken").alias("_taken"))
-    whole = F.when(F.col("_size") > 0, F.expr("_taken div _size")).otherwise(F.lit(1))
-    cut = F.when(F.col("_size") > 0, F.col("_taken") % F.col("_size")).otherwise(F.lit(0))
-    times = whole + F.when(cut > 0, 1).otherwise(0)
+    take = mixed.groupBy(F.col("doc_id").alias("__cw_id")).agg(F.max("size").alias("__cw_size"), F.max("taken").alias("__cw_taken"))
+    size, taken = F.col("__cw_size"), F.col("__cw_taken")
+    whole = F.when(size > 0, F.expr("__cw_taken div __cw_size")).otherwise(F.lit(1))
+    cut = F.when(size > 0, taken % size).otherwise(F.lit(0))
+    times = (whole + F.when(cut > 0, 1).otherwise(0)).cast("int")
     head = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(f"({WORD_CLASS}+)"), F.lit(1)), F.lit(1), cut.cast("int")), " ")
-    joined = docs.join(take, F.col("doc_id").eqNullSafe(F.col("_id"))).filter(times > 0)
-    copies = joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), times.cast("int"))))
-    text = F.when((F.col("_copy") > whole) & (cut > 0), head).otherwise(F.col("text"))
+    joined = docs.join(take.hint("merge"), F.col("doc_id").eqNullSafe(F.col("__cw_id"))).filter(times > 0)
+    copies = joined.withColumn("__cw_copy", F.explode(F.sequence(F.lit(1), times)))
+    text = F.when((F.col("__cw_copy") > whole) & (cut > 0), head).otherwise(F.col("text"))
     return copies.withColumn("text", text).select(*docs.columns)
 
 

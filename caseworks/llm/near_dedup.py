@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from caseworks.llm.components import components
-from caseworks.llm.workspace import fresh_path, settle, ship
+from caseworks.llm.workspace import fresh_path, settle, ship, without
 
 ROWS, BANDS = 6, 42
 #: All-pairs comparison of what pivots left begins when it needs at most so many pairs for each row of the buckets.
@@ -208,3 +208,10 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     # A row without words, or without identifier, stands alone.
     component = F.when(F.col("doc_id").isNull() | (F.col("n_shingles") == 0), F.col("doc_id")).otherwise(F.col("comp"))
     return rows.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def without_near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """docs with one document of each group, all columns kept."""
+    marks = settle(near_duplicates(docs, width, percent), "near-duplicates")
+    gone = marks.groupBy("doc_id").agg(F.max("kept").alias("kept")).filter("NOT kept").select(F.col("doc_id").alias("__cw_id"))
+    return without(docs, [F.col("doc_id")], gone)

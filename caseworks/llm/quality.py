@@ -144,6 +144,16 @@ def train(docs: DataFrame, grades: DataFrame, sample: int = SAMPLE) -> tuple[np.
     return (np.frombuffer(model[0][0], np.float32), np.frombuffer(model[0][1])) if model else None
 
 
+def above_each(model: tuple[np.ndarray, np.ndarray], text: str | None) -> np.ndarray:
+    """Probability of each grade but the lowest, or a higher one."""
+    bins, values = features(text)
+    return _sigmoid(float(model[0][bins] @ values) - model[1])
+
+
+def tail_of(model: tuple[np.ndarray, np.ndarray], text: str | None) -> float:
+    return float(above_each(model, text)[-1])
+
+
 def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray] | None, least: float = 0.5) -> DataFrame:
     """doc_id, expected_grade, tail_probability (of the highest grade) and kept (tail at least `least`) of each row."""
     ship(docs.sparkSession)
@@ -153,12 +163,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray] | None, least: f
         for batch in batches:
             expected, tail = [], []
             for text in batch.column(1):
-                if shared.value is None:
-                    above = np.full(GRADES - 1, 0.5)
-                else:
-                    weight, cut = shared.value
-                    bins, values = features(text.as_py())
-                    above = _sigmoid(float(weight[bins] @ values) - cut)
+                above = np.full(GRADES - 1, 0.5) if shared.value is None else above_each(shared.value, text.as_py())
                 expected.append(float(above.sum()))
                 tail.append(float(above[-1]))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(expected, pa.float64()), pa.array(tail, pa.float64()), pa.array([t >= least for t in tail])], names=["doc_id", "expected_grade", "tail_probability", "kept"])
@@ -169,3 +174,16 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray] | None, least: f
 
 def classify(spark: SparkSession, docs: DataFrame, labels: DataFrame, least: float = 0.5) -> DataFrame:
     return score(docs, train(docs, graded(labels)), least)
+
+
+def select(docs: DataFrame, model: tuple[np.ndarray, np.ndarray] | None, least: float = 0.5) -> DataFrame:
+    """The rows that score() keeps, with all their columns; nothing is shuffled."""
+    ship(docs.sparkSession)
+    shared, place = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = [shared.value is None or tail_of(shared.value, t.as_py()) >= least for t in batch.column(place)]
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

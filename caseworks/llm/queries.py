@@ -7,10 +7,16 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from caseworks.llm import bpe, exact_dedup, langid, mixing, near_dedup, quality, rules, token_counts
+from caseworks.llm import bpe, chat, exact_dedup, langid, lm, mixing, near_dedup, quality, rules, token_counts
 from caseworks.llm.workspace import documents
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
+#: Tools that conversations may call.
+TOOLS = {
+    "search": {"type": "object", "required": ["query"], "properties": {"query": {"type": "string"}, "limit": {"type": "integer", "minimum": 1, "maximum": 100}}, "additionalProperties": False},
+    "calculate": {"type": "object", "required": ["expression"], "properties": {"expression": {"type": "string"}}, "additionalProperties": False},
+    "read_file": {"type": "object", "required": ["path"], "properties": {"path": {"type": "string"}, "encoding": {"enum": ["utf-8", "latin-1"]}}, "additionalProperties": False},
+}
 
 
 def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,6 +35,10 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.format_chats(spark.read.parquet(f"{sf_dir}/conversations.parquet"), TOOLS)
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(documents(spark, sf_dir))
 
@@ -37,6 +47,10 @@ def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(documents(spark, sf_dir), width=2, percent=80)
 
 
+def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score_documents(documents(spark, sf_dir), public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
+
+
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(spark, documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
@@ -47,7 +61,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_byte_bpe, op2_language_id, op3_mix_sources, op4_token_counts, op6_exact_dedup, op7_minhash_near_dedup, op9_quality_classifier, op10_quality_rules)
+    for f in (op1_byte_bpe, op2_language_id, op3_mix_sources, op4_token_counts, op5_chat_formatting, op6_exact_dedup, op7_minhash_near_dedup, op8_lm_scoring, op9_quality_classifier, op10_quality_rules)
 }
 
 ORACLES: dict[str, str] = {"op3_mix_sources": mixing.ORACLE, "op6_exact_dedup": exact_dedup.ORACLE, "op10_quality_rules": rules.ORACLE}

@@ -81,3 +81,34 @@ def word_count(text: Column) -> Column:
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+
+#: Bitmaps of BITS bits each, so many, mark hit keys: 4 MB, whatever the number of rows.
+BITS, BITMAPS = 32768, 1024
+
+
+def maybe_in(rows: DataFrame, key: Column, hits: Column, of: DataFrame) -> DataFrame:
+    """rows with __cw_hit: true wherever key may be among the hits, false only where it surely isn't.
+
+    Keys and hits are longs. The marks fit in a broadcast of fixed size, so that rows without one need not move for a join.
+    """
+    slots = BITS * BITMAPS
+    place = F.pmod(hits, F.lit(slots))
+    bitmaps = of.select(place.alias("__cw_p")).groupBy((F.col("__cw_p") / BITS).cast("int").alias("__cw_map")).agg(F.bitmap_construct_agg(F.col("__cw_p") % BITS).alias("__cw_bits"))
+    here = rows.withColumn("__cw_place", F.pmod(key, F.lit(slots))).withColumn("__cw_of", (F.col("__cw_place") / BITS).cast("int"))
+    byte = F.conv(F.hex(F.substring("__cw_bits", F.lit(1) + ((F.col("__cw_place") % BITS) / 8).cast("int"), F.lit(1))), 16, 10).cast("int")
+    bit = F.call_function("getbit", byte, (F.col("__cw_place") % 8).cast("int"))
+    joined = here.join(F.broadcast(bitmaps), F.col("__cw_of") == F.col("__cw_map"), "left")
+    return joined.withColumn("__cw_hit", F.coalesce(bit == 1, F.lit(False))).drop("__cw_place", "__cw_of", "__cw_map", "__cw_bits")
+
+
+def without(docs: DataFrame, keys: list[Column], gone: DataFrame) -> DataFrame:
+    """docs without the rows whose keys (compared null-safe) are a row of gone; only rows that may be gone are moved."""
+    spread = F.xxhash64(*keys)
+    marked = maybe_in(docs, spread, F.xxhash64(*gone.columns), gone)
+    same = [k.eqNullSafe(gone[c]) for k, c in zip(keys, gone.columns, strict=True)]
+    match = same[0]
+    for more in same[1:]:
+        match = match & more
+    doubtful = marked.filter("__cw_hit").join(gone.hint("merge"), match, "left_anti")
+    return marked.filter("NOT __cw_hit").unionByName(doubtful).drop("__cw_hit")

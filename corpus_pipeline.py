@@ -1,15 +1,48 @@
-"""Corpus pipeline: stages that turn documents into training text, each on what its predecessor kept."""
+"""Corpus pipeline: stages that turn documents into training text, each on what its predecessor kept.
+
+The classifier drops documents it grades poor or toxic; exact copies go, then near copies (five-word shingles, similarity 0.8); sources are mixed to
+their weights, so that documents repeat, are cut or fall away as their source's budget asks; the last stage encodes the texts.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-STAGES: list = []
+from caseworks.llm import bpe, exact_dedup, mixing, near_dedup, quality
+from caseworks.llm.workspace import settle
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return quality.select(docs, quality.train(docs, quality.graded(labels)))
+
+
+def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return exact_dedup.without_duplicates(docs)
+
+
+def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return near_dedup.without_near_duplicates(docs)
+
+
+def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mixing.repeated(docs, settle(mixing.mix(docs), "mixed"))
+
+
+def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return bpe.encode_documents(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+STAGES = [("quality classifier", quality_stage), ("exact dedup", exact_stage), ("near dedup", near_stage), ("mix sources", mix_stage), ("byte-level BPE", bpe_stage)]
+#: Not expressible in SQL; tests hold run() against a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if k + 1 < len(STAGES):
+            docs = settle(docs, "stage")
     return docs
