@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window as W, functions as F
 
 from caseworks.functions import semantics as S
 from caseworks.operators import features as X
 from caseworks.plans.registry import each
 from caseworks.sources import case_view as V
+from caseworks.sources.text_tables import read_csv, write_csv
+from caseworks.sources.working import shared_dir
 
 c = F.col
 cases, policies = V.cases, V.policies
@@ -154,3 +158,14 @@ on_cases("j28_at_certification", "SELECT case_id FROM cases WHERE (timeper1 = 'a
 WEIGHT_SQL = "fywgt / (CAST(sum(CAST(fywgt AS DECIMAL(28, 6))) OVER (PARTITION BY state, year) AS DOUBLE) / count(fywgt) OVER (PARTITION BY state, year)) AS weight FROM cases"
 on_cases("j29_rescaled_weight", J + WEIGHT_SQL, lambda df: df.select("case_id", X.rescaled_weight().alias("weight")))
 each("j30_prepared_cases", "SELECT case_id, error_status, ratio_c, payment_error FROM (SELECT * EXCLUDE (state), state AS st, CASE WHEN rawben / benmax > 1e0 THEN 1e0 ELSE rawben / benmax END AS ratio_c, CASE WHEN status = 'overissuance' AND over_threshold = 1 THEN 1 ELSE 0 END AS payment_error FROM strata) JOIN policy ON st = policy.\"State\" WHERE year BETWEEN 2017 AND 2023 AND status IS NOT NULL AND (status = 'amount correct' OR abs(abs(fsben - rawben) - amterr) <= 5e0) AND (status = 'amount correct' OR coalesce(element1 IN (" + ", ".join("'" + e.replace("'", "''") + "'" for e in X.EARNED_ELEMENTS + X.UNEARNED_ELEMENTS) + "), false)) AND NOT (status = 'amount correct' AND amterr > 0e0) AND rawben <= benmax", lambda s, d: X.prepare_cases(cases(s, d), V.details(s, d), policies(s, d)).select("case_id", "error_status", c("ratio_capped").alias("ratio_c"), "payment_error"))
+
+
+def csv_round_trip(spark, d):
+    """The policy table through a CSV file and back under its declared schema."""
+    path = f"{shared_dir(spark)}/policy-{uuid.uuid4().hex}.csv"
+    table = policies(spark, d)
+    write_csv(table, path, one_file=True)
+    return read_csv(spark, path, table.schema)
+
+
+each("a01_csv_scan", "SELECT * FROM policy", csv_round_trip)
