@@ -15,13 +15,17 @@ from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from caseworks.llm.workspace import SPACE_CLASS, fresh_path, settle
+from caseworks.llm.workspace import SPACE_CLASS, fresh_path, maybe_in, settle, without
 
 #: A digest is hot if it has more than one in so many rows: at most so many are.
 HOT_PARTS = 1000
 SALTS = 64
-STORE = "spark.sql.streaming.stateStore.providerClass"
-ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: State on local disk and, by change logs, in the shared folder; without disk set aside in advance, for there are many small stores.
+STORE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+}
 
 
 def normalised(text: Column) -> Column:
@@ -33,13 +37,15 @@ def sha256(text: Column) -> Column:
 
 
 @contextmanager
-def _conf(spark: SparkSession, key: str, value: str):
-    before = spark.conf.get(key, None)
-    spark.conf.set(key, value)
+def _conf(spark: SparkSession, settings: dict[str, str]):
+    before = {key: spark.conf.get(key, None) for key in settings}
+    for key, value in settings.items():
+        spark.conf.set(key, value)
     try:
         yield
     finally:
-        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
 
 
 def keyed_state(ledger: DataFrame, path: str) -> DataFrame:
@@ -50,7 +56,7 @@ def keyed_state(ledger: DataFrame, path: str) -> DataFrame:
     spark, state = ledger.sparkSession, f"{path}-state"
     stream = spark.readStream.schema(ledger.schema).parquet(path)
     keyed = stream.groupBy("digest").agg(F.min("doc_id"), F.min_by("at", "doc_id"), F.max(-F.col("at")), F.count(F.lit(1)))
-    with _conf(spark, STORE, ROCKS):
+    with _conf(spark, STORE):
         query = keyed.writeStream.format("noop").outputMode("update").option("checkpointLocation", state).trigger(availableNow=True).start()
     query.awaitTermination()
     stored = spark.read.format("statestore").load(state)
@@ -84,13 +90,14 @@ def exact_duplicates(docs: DataFrame, digest=sha256) -> DataFrame:
         return dealt(rows, by).withColumn("_salt", F.col("_salt").cast("int"))
 
     # Full bytes of every hit: one row for each digest and text; a digest with two texts is a collision.
-    several = copied(state.filter("n > 1")).select("digest", "_salt")
-    hits = salted(hashed.select("doc_id", "digest", "text_sha256", "_norm"), F.xxhash64("doc_id")).join(several, ["digest", "_salt"])
+    several = copied(state.filter("n > 1")).select("digest", "_salt").hint("merge")
+    maybe = maybe_in(hashed, F.xxhash64("digest"), F.xxhash64("digest"), state.filter("n > 1")).filter("__cw_hit").drop("__cw_hit")  # other texts stay where they are
+    hits = salted(maybe, F.xxhash64("doc_id")).join(several, ["digest", "_salt"])
     texts = hits.groupBy("digest", "_salt", "_norm").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("n"))
     texts = texts.groupBy("digest", "_norm").agg(F.min("keep_id").alias("keep_id"), F.sum("n").alias("n"))
     apart = settle(texts.groupBy("digest").agg(F.count(F.lit(1)).alias("_texts")).filter("_texts > 1").select("digest"), "collisions")
 
-    joined = salted(ledger, F.col("at")).join(copied(state), ["digest", "_salt"])
+    joined = salted(ledger, F.col("at")).join(copied(state).hint("merge"), ["digest", "_salt"])
     sha = F.lower(F.hex("digest")) if digest is sha256 else F.col("text_sha256")
     out = joined.select("doc_id", "keep_id", F.col("n").alias("group_size"), (F.col("at") == F.col("keep_at")).alias("kept"), sha.alias("text_sha256"), "digest")
     if not apart.isEmpty():  # texts of these digests go by their bytes
@@ -105,17 +112,14 @@ def exact_duplicates(docs: DataFrame, digest=sha256) -> DataFrame:
 def without_duplicates(docs: DataFrame) -> DataFrame:
     """docs without the rows that exact_duplicates drops, all columns kept; of rows alike in identifier and text one stays."""
     marks = settle(exact_duplicates(docs), "duplicates")
-    gone = marks.filter(~F.col("kept")).select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"), (F.col("doc_id").eqNullSafe(F.col("keep_id"))).alias("_twin"))
+    twin = F.col("doc_id").eqNullSafe(F.col("keep_id"))
+    gone = marks.filter(~F.col("kept") & ~twin).select(F.col("doc_id").alias("__cw_id"), F.col("text_sha256").alias("__cw_sha")).distinct()
     sha = F.sha2(normalised(F.col("text")), 256)
-    here = lambda rows: F.col("doc_id").eqNullSafe(rows["_id"]) & (F.col("_own") == rows["_sha"])
-    marked = docs.withColumn("_own", sha)
-    others = gone.filter(~F.col("_twin")).distinct()
-    rest = marked.join(others, here(others), "left_anti")
-    twins = gone.filter("_twin").distinct()
-    if not twins.isEmpty():
-        alike = rest.join(twins, here(twins), "left_semi").dropDuplicates(["doc_id", "_own"])
-        rest = rest.join(twins, here(twins), "left_anti").unionByName(alike)
-    return rest.drop("_own")
+    rest = without(docs.withColumn("__cw_own", sha), [F.col("doc_id"), F.col("__cw_own")], gone)
+    twins = marks.filter(~F.col("kept") & twin)
+    if not twins.isEmpty():  # rows alike in identifier and text
+        rest = rest.dropDuplicates(["doc_id", "__cw_own"])
+    return rest.drop("__cw_own")
 
 
 ORACLE = """
