@@ -123,12 +123,18 @@ def test_oracles(spark, duck, name):
 
 @pytest.mark.parametrize("operator, oracle", [(mixing.mix, mixing.ORACLE), (rules.quality_rules, rules.ORACLE)])
 def test_edge_rows_against_oracle(edge, operator, oracle):
-    con = duckdb.connect()
-    documents = edge.toArrow()  # noqa: F841
-    con.register("documents", documents)
+    con, edge = duckdb.connect(), edge.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id"])
+    con.register("documents", edge.toArrow())
     same(operator(edge), con.sql(oracle))
 
 
+def test_repeated_rows_are_repeated(edge):
+    rows = [tuple(r) for r in rules.quality_rules(edge).filter("doc_id = 4").collect()]
+    assert len(rows) == 2 and rows[0] == rows[1]
+    rows = [tuple(r) for r in mixing.mix(edge).filter("doc_id = 4").collect()]
+    assert len(rows) == 2 and sum(r[1] for r in rows) == 12
+
+
 def test_empty_tables(spark, empty):
     assert mixing.mix(empty).count() == 0
     assert rules.quality_rules(empty).count() == 0
