@@ -50,10 +50,10 @@ def five_numbers(df: DataFrame, column: str, *by: str) -> DataFrame:
     return df.groupBy(*by).agg(F.min(x).alias("lowest"), quartiles.alias("_q"), (exact_sum(x) / F.count(x)).alias("mean"), F.max(x).alias("highest")).select(*by, "lowest", *(F.col("_q")[k].alias(f"q{k + 1}") for k in range(3)), "mean", "highest")
 
 
-def padded_sequence(df: DataFrame, by: str, order: Sequence[Column], k: int) -> DataFrame:
-    """Number the rows of each group and keep k numbers in each, with nulls where a group has fewer rows."""
+def padded_sequence(df: DataFrame, by: str, order: Sequence[Column], k: int, groups: DataFrame | None = None) -> DataFrame:
+    """Number the rows of each group and keep k numbers in each, with nulls where a group has fewer rows; groups adds those that have none."""
     numbered = df.withColumn("place", F.row_number().over(W.partitionBy(by).orderBy(*order)))
-    frame = df.select(by).distinct().withColumn("place", F.explode(F.sequence(F.lit(1), F.lit(k))))
+    frame = (df if groups is None else groups).select(by).distinct().withColumn("place", F.explode(F.sequence(F.lit(1), F.lit(k))))
     return frame.join(numbered, [by, "place"], "left")
 
 

@@ -110,7 +110,7 @@ def preorder(node: Column) -> Column:
 def split_table(forest: Forest, k: int) -> DataFrame:
     """The first k splits of each tree in preorder, padded with nulls."""
     inner = forest.nodes.filter(~F.col("is_leaf")).withColumn("path", preorder(F.col("node")))
-    padded = padded_sequence(inner, "group", [F.col("path")], k)
+    padded = padded_sequence(inner, "group", [F.col("path")], k, forest.nodes)
     return padded.select("group", F.col("place").alias("split_order"), F.col("feature").alias("variable"), F.col("threshold").alias("split_value"), "node", F.col("mean").alias("node_mean"), "depth")
 
 
