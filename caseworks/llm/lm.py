@@ -37,15 +37,19 @@ GROUPS, MEMBERS, WIDTH, STRIDE = 33, 32, 24, 8
 VOCAB = GROUPS * MEMBERS
 #: Commonest words whose counts are sent to every task.
 FREQUENT = 200_000
-WORDS_KEPT = 400_000
-#: Windows from each training document; rounds, each on its part of the windows; windows that one task trains on in a round, and its least number of steps.
-PER_DOCUMENT, TRAIN_ROUNDS, PER_TASK, LEAST_STEPS, BATCH = 8, 4, 25_600, 200, 128
+WORDS_KEPT = 250_000
+#: Places in each training document, and windows in a row from each; rounds, each on its part of the windows; windows that one task trains on in a round, and its least number of steps.
+SPANS, RUN, TRAIN_ROUNDS, PER_TASK, LEAST_STEPS, BATCH = 2, 4, 4, 25_600, 200, 128
 COUNTS_HELD = 400_000
 FAN_IN = 32
+#: Windows whose states, and whose output, are computed in one go: as many as caches hold.
+STATE_CHUNK, CHUNK = 512, 2048
 #: Share of the attention model in the mixture.
 SHARE = 0.15
 END = 0
 PAD = VOCAB
+#: Bound on logits: exponentials of as much stay finite in single precision.
+LARGEST = 60.0
 SHAPES = {"e": (VOCAB, WIDTH), "q": (VOCAB, WIDTH), "k": (VOCAB, WIDTH), "u": (VOCAB, WIDTH), "r": (2 * STRIDE,), "wg": (WIDTH, GROUPS), "bg": (GROUPS,), "wm": (GROUPS, WIDTH, MEMBERS), "bm": (GROUPS, MEMBERS)}
 
 
@@ -120,9 +124,10 @@ class Attention:
         """What scoring looks up: attention scores of all pairs (the pad's are minus infinity), and values, with a row for the pad."""
         w = self.w
         self.pair = np.full((VOCAB + 1, VOCAB + 1), -1e9, np.float32)
-        self.pair[:VOCAB, :VOCAB] = w["q"] @ w["k"].T / np.sqrt(WIDTH)
+        self.pair[:VOCAB, :VOCAB] = np.clip(w["q"] @ w["k"].T / np.sqrt(WIDTH), -LARGEST, LARGEST)  # so that no maximum need be taken off
         self.pair[PAD, PAD] = 0  # keeps the softmax of a padded query finite
-        self.value = np.vstack([w["u"], np.zeros((1, WIDTH), np.float32)])
+        self.value = np.ones((VOCAB + 1, WIDTH + 1), np.float32)  # the last column adds up the attention
+        self.value[:VOCAB, :WIDTH], self.value[PAD, :WIDTH] = w["u"], 0
         self.own = np.vstack([w["e"], np.zeros((1, WIDTH), np.float32)])
         i, j = np.arange(STRIDE)[:, None] + STRIDE, np.arange(2 * STRIDE)[None, :]
         self.bias = np.where(j <= i, w["r"][np.clip(i - j, 0, None)], np.float32(-1e9)).astype(np.float32)
@@ -132,32 +137,37 @@ class Attention:
         asks = windows[:, STRIDE:]
         score = self.pair.ravel().take(asks[:, :, None] * (VOCAB + 1) + windows[:, None, :])
         score += self.bias
-        score -= score.max(axis=2, keepdims=True)
         np.exp(score, out=score)
-        score /= score.sum(axis=2, keepdims=True)
-        return self.own[asks] + score @ self.value[windows]
+        summed = score @ self.value[windows]
+        return self.own[asks] + summed[:, :, :WIDTH] / summed[:, :, WIDTH:]
+
+    @staticmethod
+    def _bounded(logits: np.ndarray, bias: np.ndarray) -> np.ndarray:
+        logits += bias
+        return np.minimum(logits, LARGEST, out=logits) if logits.size and logits.max() > LARGEST else logits
 
     def log_probabilities(self, hidden: np.ndarray, targets: np.ndarray, opening: int) -> tuple[np.ndarray, np.ndarray]:
         """Natural logarithms of each target's probability and of that of any word's beginning there; hidden has a row for each target."""
         w = self.w
-        logits = hidden @ w["wg"] + w["bg"]
-        group = targets // MEMBERS
-        rows = np.arange(len(targets))
-        top = logits.max(axis=1)
-        logits -= top[:, None]
+        order = np.argsort((targets // MEMBERS).astype(np.uint8), kind="stable")
+        hidden, targets = hidden[order], targets[order]
+        group, rows = targets // MEMBERS, np.arange(len(targets))
+        logits = self._bounded(hidden @ w["wg"], w["bg"])
         own = logits[rows, group]
         np.exp(logits, out=logits)
-        total = np.log(logits.sum(axis=1))
-        out, begin = own - total, np.log(logits[:, :opening].sum(axis=1) + 1e-30) - total
-        order = np.argsort(group, kind="stable")
-        edges = np.searchsorted(group[order], np.arange(GROUPS + 1))
+        ones = np.ones(max(GROUPS, MEMBERS), np.float32)
+        total = np.log(logits @ ones[:GROUPS])
+        out, begin = own - total, np.log(logits[:, :opening] @ ones[:opening]) - total
+        edges = np.searchsorted(group, np.arange(GROUPS + 1))
         for g in range(GROUPS):
-            at = order[edges[g] : edges[g + 1]]
-            if len(at):
-                inner = hidden[at] @ w["wm"][g] + w["bm"][g]
-                top = inner.max(axis=1)
-                out[at] += inner[np.arange(len(at)), targets[at] % MEMBERS] - top - np.log(np.exp(inner - top[:, None]).sum(axis=1))
-        return out, begin
+            a, b = edges[g], edges[g + 1]
+            if b > a:
+                inner = self._bounded(hidden[a:b] @ w["wm"][g], w["bm"][g])
+                own = inner[rows[: b - a], targets[a:b] % MEMBERS]
+                out[a:b] += own - np.log(np.exp(inner, out=inner) @ ones[:MEMBERS])
+        back = np.empty(len(order), np.int64)
+        back[order] = rows
+        return out[back], begin[back]
 
     def gradient(self, windows: np.ndarray, targets: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
         """Mean loss of windows (n, 2 * STRIDE) and targets (n, STRIDE; PAD where there is none), and its gradient."""
@@ -269,15 +279,15 @@ def gather(docs: DataFrame, path: str, pattern: str) -> DataFrame:
                 ends += 1
                 mark = xxhash.xxh3_64_intdigest(b" ".join(words))
                 mine = set()
-                for k in range(PER_DOCUMENT):
+                for k in range(SPANS):
                     begin = max(0, xxhash.xxh3_64_intdigest(bytes([k]), seed=mark) % (len(words) + STRIDE) - STRIDE)
-                    near = words[begin : begin + 2 * STRIDE + 2]
+                    near = words[begin : begin + STRIDE * (RUN + 1)]
                     last = begin + len(near) >= len(words)
                     seq = np.concatenate([[END] if begin == 0 else [], np.frombuffer(b"".join(map(subwords.__getitem__, near)), "<u2"), [END] if last else []]).astype(np.int32)
                     if len(seq) > 1:
                         whole, goals = blocks(seq)
-                        at = (mark >> k) % len(whole)
-                        mine.add(np.concatenate([whole[at], goals[at]]).astype("<u2").tobytes())
+                        at = 0 if begin == 0 else min(1, len(whole) - 1)  # the first has no context unless the text begins there
+                        mine.add(np.concatenate([whole[at : at + RUN], goals[at : at + RUN]], axis=1).astype("<u2").tobytes())
                 windows += sorted(mine)
             if len(counts) >= COUNTS_HELD or windows:
                 yield told(windows) if len(counts) >= COUNTS_HELD else pa.RecordBatch.from_arrays([pa.nulls(len(windows), pa.int64()), pa.nulls(len(windows), pa.int64()), pa.array(windows, pa.binary())], names=["hash", "n", "window"])
@@ -290,7 +300,7 @@ def gather(docs: DataFrame, path: str, pattern: str) -> DataFrame:
 
 def train(spark: SparkSession, windows: DataFrame) -> np.ndarray:
     """Packed weights after rounds of local training and averaging; windows is a settled table (window)."""
-    total = windows.count()
+    total = windows.agg(F.coalesce(F.sum(F.length("window")), F.lit(0))).first()[0] // (6 * STRIDE)
     flat = Attention.pack(Attention.initial())
     tasks = max(1, -(-total // (PER_TASK * TRAIN_ROUNDS)))
     if not total:
@@ -328,76 +338,116 @@ def train(spark: SparkSession, windows: DataFrame) -> np.ndarray:
     return flat
 
 
+class WordTable:
+    """What scoring looks up for each word, as arrays by a word's number; number 0 is the end mark."""
+
+    def __init__(self, subwords: Subwords, order: np.ndarray, number: np.ndarray, total: int, end: int):
+        self.subwords, self.order, self.number, self.total = subwords, order, number, max(1, total)
+        self.of: dict[bytes, int] = {}
+        self.hash, self.count = np.zeros(1, np.int64), np.zeros(1, np.int64)
+        self.share, self.pool, self.start, self.size = np.array([end / self.total]), np.array([END], np.uint16), np.zeros(1, np.int64), np.ones(1, np.int64)
+
+    def add(self, words: list[bytes]) -> None:
+        hashes = np.array([word_hash(w) for w in words], np.int64)
+        at = np.minimum(np.searchsorted(self.order, hashes), max(0, len(self.order) - 1))
+        hit = self.order[at] == hashes if len(self.order) else np.zeros(len(hashes), bool)
+        counts = np.where(hit, self.number[at], 0) if len(self.order) else np.zeros(len(hashes), np.int64)
+        packed = [self.subwords[w] for w in words]
+        sizes = np.array([len(x) // 2 for x in packed], np.int64)
+        self.of.update(zip(words, range(len(self.hash), len(self.hash) + len(words)), strict=True))
+        self.start = np.concatenate([self.start, len(self.pool) + np.cumsum(sizes) - sizes])
+        self.pool = np.concatenate([self.pool, np.frombuffer(b"".join(packed), "<u2")])
+        self.hash, self.count, self.size = (np.concatenate(pair) for pair in ((self.hash, hashes), (self.count, counts), (self.size, sizes)))
+        self.share = np.concatenate([self.share, counts / self.total])
+
+    def numbers(self, texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of all texts' words one after another, an end mark behind each text, and the number of each text's words and mark."""
+        if new := list({w for words in texts for w in words if w not in self.of}):
+            self.add(new)
+        out = np.zeros(sum(map(len, texts)) + len(texts), np.int64)
+        at = 0
+        for words in texts:
+            out[at : at + len(words)] = np.fromiter(map(self.of.__getitem__, words), np.int64, len(words))
+            at += len(words) + 1
+        return out, np.array([len(words) + 1 for words in texts])
+
+    def tokens(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Subwords of words one after another, and how many each word has."""
+        sizes = self.size[numbers]
+        return self.pool[np.repeat(self.start[numbers] - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())].astype(np.int32), sizes
+
+
+def all_blocks(tokens: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """blocks() of many texts at once; tokens holds each text's targets, the end mark last."""
+    parts = -(-lengths // STRIDE)
+    first = np.cumsum(parts) - parts
+    place = np.repeat(first * STRIDE - (np.cumsum(lengths) - lengths), lengths) + np.arange(len(tokens))
+    goals, inputs = (np.full(parts.sum() * STRIDE, PAD, np.int32) for _ in range(2))
+    goals[place] = tokens
+    inputs[place[1:]] = tokens[:-1]
+    inputs[first * STRIDE] = END
+    inputs = inputs.reshape(-1, STRIDE)
+    before = np.concatenate([np.full((1, STRIDE), PAD, np.int32), inputs[:-1]])
+    before[first] = PAD
+    return np.concatenate([before, inputs], axis=1), goals.reshape(-1, STRIDE)
+
+
 def score(docs: DataFrame, flat: np.ndarray, frequent: dict[int, int], tokens_in_all: int, path: str, pattern: str) -> DataFrame:
     """For each row (doc_id, held_out, text): a row number, n_tokens, what frequent words add to n_known and the base score, the other words, and score."""
     ship(docs.sparkSession)
-    order, frequent_end = np.array(sorted(frequent), np.int64), frequent.get(END_HASH, 0)
-    shared = docs.sparkSession.sparkContext.broadcast((flat, order, np.array([frequent[h] for h in order.tolist()], np.int64)))
+    order = np.array(sorted(frequent), np.int64)
+    shared = docs.sparkSession.sparkContext.broadcast((flat, order, np.array([frequent[h] for h in order.tolist()], np.int64), frequent.get(END_HASH, 0)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        flat, order, number = shared.value
-        end_share = frequent_end / tokens_in_all if tokens_in_all else 0.0
+        flat, order, number, end = shared.value
         subwords, model = _subwords(path, pattern), Attention(Attention.unpack(flat))
         model.tables()
-        shares: dict[bytes, float] = {}
-        known: dict[bytes, tuple[int, float]] = {}  # a word's count and logarithm, or its hash and None if it is not frequent
-
-        def look(words: list[bytes]) -> None:
-            hashes = np.array([word_hash(w) for w in words], np.int64)
-            at = np.minimum(np.searchsorted(order, hashes), max(0, len(order) - 1))
-            hit = order[at] == hashes if len(order) else np.zeros(len(hashes), bool)
-            for w, h, yes, a in zip(words, hashes.tolist(), hit.tolist(), at.tolist(), strict=True):
-                known[w] = (int(number[a]), float(np.log10(number[a] + 0.1))) if yes else (h, None)
-                shares[w] = number[a] / tokens_in_all if yes else 0.0
-
-        def model_scores(texts: list[list[bytes]]) -> list[float]:
-            """log10 probabilities of the texts, given as words."""
-            packed = [[subwords[w] for w in words] for words in texts]
-            parts = [blocks(sequence(b"".join(p))) for p in packed]
-            windows, goals = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+        table = WordTable(subwords, order, number, tokens_in_all, end)
+
+        def model_scores(numbers: np.ndarray, words: np.ndarray) -> np.ndarray:
+            """log10 probabilities of texts."""
+            tokens, sizes = table.tokens(numbers)
+            ends = np.cumsum(words) - 1
+            windows, goals = all_blocks(tokens, np.add.reduceat(sizes, ends - words + 1))
             logs, begins = np.zeros(goals.size), np.zeros(goals.size)
-            for start in range(0, len(windows), 2048):
-                w, t = windows[start : start + 2048], goals[start : start + 2048].ravel()
+            for start in range(0, len(windows), CHUNK):
+                w, t = windows[start : start + CHUNK], goals[start : start + CHUNK].ravel()
                 live = np.flatnonzero(t != PAD)
                 at = start * STRIDE + live
-                logs[at], begins[at] = model.log_probabilities(model.hidden(w).reshape(-1, WIDTH)[live], t[live], subwords.opening)
+                states = np.concatenate([model.hidden(w[k : k + STATE_CHUNK]) for k in range(0, len(w), STATE_CHUNK)])
+                logs[at], begins[at] = model.log_probabilities(states.reshape(-1, WIDTH)[live], t[live], subwords.opening)
             live = goals.ravel() != PAD
             logs, begins = logs[live], begins[live]
-            # Each word's subwords, then its end mark: where words begin, over all texts one after another.
-            first = np.cumsum([0, *chain.from_iterable([*(len(i) // 2 for i in p), 1] for p in packed)])[:-1]
-            ends = np.cumsum([len(p) + 1 for p in packed]) - 1
+            first = np.cumsum(sizes) - sizes
+            # A word's subwords, given that a word begins, and that another begins after it; nothing follows the end mark.
             word = np.add.reduceat(logs, first) - begins[first]
             after = np.append(begins[first][1:], 0.0)
-            after[ends] = 0.0  # nothing follows the end mark
-            word += after
-            share = np.fromiter(chain.from_iterable(([*(shares[w] for w in words), end_share]) for words in texts), float, len(first))
-            mixed = np.log10(SHARE * np.exp(np.minimum(word, 0.0)) + (1 - SHARE) * share + 1e-300)
-            return np.add.reduceat(mixed, np.concatenate([[0], ends[:-1] + 1])).tolist()
-
-        number_of, context = 0, TaskContext.get()
-        base_row = context.partitionId() << 36
+            after[ends] = 0.0
+            mixed = np.log10(SHARE * np.exp(np.minimum(word + after, 0.0)) + (1 - SHARE) * table.share[numbers] + 1e-300)
+            return np.add.reduceat(mixed, ends - words + 1)
+
+        row = TaskContext.get().partitionId() << 36
         for batch in batches:
             for start in range(0, batch.num_rows, 128):
                 part = batch.slice(start, 128)
                 texts = [(t.as_py() or "").encode().lower().split() for t in part.column(2)]
-                counted = [*map(Counter, texts)]
-                if len(known) > WORDS_KEPT:
-                    known.clear()
-                    shares.clear()
-                look([*{w for c in counted for w in c if w not in known}])
-                tokens, n_known, base, rare = [], [], [], []
-                for c in counted:
-                    tokens.append(sum(c.values()) + 1)
-                    found = [(n, known[w]) for w, n in c.items()]
-                    n_known.append(sum(n for n, (_, log) in found if log is not None))
-                    base.append(sum(n * log for n, (_, log) in found if log is not None))
-                    rare.append([{"hash": h, "n": n} for n, (h, log) in found if log is None])
-                rows = [base_row + number_of + i for i in range(part.num_rows)]
-                number_of += part.num_rows
+                if len(table.of) > WORDS_KEPT:
+                    table = WordTable(subwords, order, number, tokens_in_all, end)
+                numbers, words = table.numbers(texts)
+                begin = np.cumsum(words) - words
+                counts = table.count[numbers]
+                often = counts > 0
+                base = np.add.reduceat(np.where(often, np.log10(counts + 0.1), 0.0), begin)
+                rare = np.flatnonzero(~often & (numbers > 0))
+                pairs, times = np.unique((np.repeat(np.arange(len(words)), words)[rare] << 32) | numbers[rare], return_counts=True)
+                edges = np.searchsorted(pairs >> 32, np.arange(len(words) + 1)).astype(np.int32)
+                others = pa.StructArray.from_arrays([pa.array(table.hash[pairs & 0xFFFFFFFF]), pa.array(times.astype(np.int64))], names=["hash", "n"])
+                known = np.add.reduceat(often.astype(np.int64), begin)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(rows, pa.int64()), part.column(0), part.column(1), pa.array(tokens, pa.int64()), pa.array(n_known, pa.int64()), pa.array(base, pa.float64()), pa.array(rare, pa.list_(pa.struct([("hash", pa.int64()), ("n", pa.int64())]))), pa.array(model_scores(texts), pa.float64())],
+                    [pa.array(np.arange(row, row + len(words))), part.column(0), part.column(1), pa.array(words.astype(np.int64)), pa.array(known), pa.array(base), pa.ListArray.from_arrays(pa.array(edges), others), pa.array(model_scores(numbers, words))],
                     names=["row", "doc_id", "held_out", "n_tokens", "n_known", "base", "rare", "score"],
                 )
+                row += len(words)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "held_out", "text").mapInArrow(run, f"row long, doc_id {kind}, held_out boolean, n_tokens long, n_known long, base double, rare array<struct<hash:long,n:long>>, score double")

@@ -283,6 +283,9 @@ def test_lm_probabilities_sum_to_one_and_windows_cover():
     windows, goals = lm.blocks(seq)
     assert goals[goals != lm.PAD].tolist() == seq[1:].tolist()
     assert windows[0, lm.STRIDE] == lm.END and (windows[0, : lm.STRIDE] == lm.PAD).all()
+    seqs = [lm.sequence(np.arange(1, 1 + n, dtype="<u2").tobytes()) for n in (0, 7, 8, 30)]
+    windows, goals = lm.all_blocks(np.concatenate([s[1:] for s in seqs]), np.array([len(s) - 1 for s in seqs]))
+    assert (windows == np.concatenate([lm.blocks(s)[0] for s in seqs])).all() and (goals == np.concatenate([lm.blocks(s)[1] for s in seqs])).all()
 
 
 def test_lm_scores(docs):
