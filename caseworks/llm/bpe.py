@@ -16,6 +16,7 @@ import struct
 from collections.abc import Iterator
 from functools import lru_cache
 
+import ahocorasick
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -24,7 +25,7 @@ from pyspark.sql.types import BinaryType, BooleanType, LongType, StructField, St
 from caseworks.llm.workspace import ship
 
 #: Entries that a worker keeps of pieces seen and of token pairs judged. They bound memory only; results do not depend on them.
-PIECES_KEPT = 600_000
+PIECES_KEPT = 500_000
 PAIRS_KEPT = 1_000_000
 
 
@@ -42,12 +43,10 @@ class PrefixEncoder:
         self.tokens = {rank: token for token, rank in ranks.items()}
         self.pattern = regex.compile(pattern)
         self.size = max(ranks.values()) + 1
-        self._endings: dict = {}
+        self._endings = ahocorasick.Automaton()
         for token, rank in ranks.items():
-            node = self._endings
-            for byte in reversed(token):
-                node = node.setdefault(byte, {})
-            node[-1] = rank
+            self._endings.add_word(token.decode("latin-1"), (len(token), rank))
+        self._endings.make_automaton()
         self._pairs: dict[int, bool] = {}
         self._stands: dict[int, bool] = {}
 
@@ -78,28 +77,23 @@ class PrefixEncoder:
 
     def extend(self, piece: bytes, table: list[int]) -> list[int]:
         """Add to the table the last tokens of the prefixes that it lacks; entry i is for the first i + 1 bytes."""
-        pairs, size, root = self._pairs, self.size, self._endings
-        for last in range(len(table), len(piece)):
-            # Walk back from the last byte through the tree of token endings; the longest candidate is right most often.
-            node, at, fit = root, last, []
-            while at >= 0 and (node := node.get(piece[at])):
-                token = node.get(-1)
-                if token is not None:
-                    fit.append((at, token))
-                at -= 1
-            for start, token in reversed(fit):
-                if start:
-                    left = table[start - 1]
-                    good = pairs.get(left * size + token)
-                    if good is None:
-                        good = self._adjacent(left, token)
-                else:
-                    good = self._reachable(token)
-                if good:
-                    table.append(token)
-                    break
+        pairs, size = self._pairs, self.size
+        for last, (length, token) in self._endings.iter(piece.decode("latin-1")):  # every token that ends at each byte
+            if last != len(table):
+                if last < len(table):  # this prefix has its token
+                    continue
+                break
+            if length > last:
+                good = self._reachable(token)
             else:
-                raise ValueError("the vocabulary lacks a single byte")
+                left = table[last - length]
+                good = pairs.get(left * size + token)
+                if good is None:
+                    good = self._adjacent(left, token)
+            if good:
+                table.append(token)
+        if len(table) != len(piece):
+            raise ValueError("the vocabulary lacks a single byte")
         return table
 
     def ids_from(self, table: list[int]) -> list[int]:
@@ -179,9 +173,9 @@ class _Packed(dict):
         self.make = make
 
     def __missing__(self, key: str) -> bytes:
-        packed = self.make(key)
-        if len(self) < PIECES_KEPT:
-            self[key] = packed
+        if len(self) >= PIECES_KEPT:  # begin anew: what is frequent comes back at once
+            self.clear()
+        packed = self[key] = self.make(key)
         return packed
 
 
