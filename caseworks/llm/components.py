@@ -15,7 +15,7 @@ def large_star(links: DataFrame) -> DataFrame:
     """Link each larger neighbour of a node to the smallest node around it."""
     near = _both_ways(links)
     least = near.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    return near.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    return near.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
 def small_star(links: DataFrame) -> DataFrame:

@@ -1,10 +1,10 @@
 """Near-duplicate groups by minhash: many universal hash minima, banding, signature check, full sets, connected components.
 
 Documents with equal shingle sets are one class, and only the smallest identifier of a class goes on. Classes that share a band meet in a
-bucket. In each bucket every class is compared with one pivot, not with all others. Links found so join most of a bucket into one
-component; what is left is settled by more pivots and at last by all pairs that lie in different components and were not compared. No bucket is
-cut and no candidate dropped. Signatures rule pairs out only six standard deviations below the threshold; every link is confirmed on the full
-shingle sets of the two texts.
+bucket; there each is compared with one pivot, not with all others. Buckets connect classes into families, and the links found split a family
+into components. Where there is more than one, the classes outside the largest are compared with all of their family, in blocks of bounded
+volume that only emit links. No bucket is cut and no candidate dropped. Signatures rule pairs out only six standard deviations below the
+threshold; every link is confirmed on the full shingle sets of the two texts.
 
 Behaviour at the edges: null text, or text without words, has an empty set and links with nothing; a text with fewer words than a
 shingle has its whole word sequence as one shingle; rows that share an identifier are placed each by its own text; rows without identifier form no links and are kept;
@@ -20,14 +20,14 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from caseworks.llm.components import components
-from caseworks.llm.workspace import fresh_path, settle, ship, without
+from caseworks.llm.workspace import fresh_path, maybe_in, settle, ship, without
 
 ROWS, BANDS = 6, 42
-#: All-pairs comparison of what pivots left begins when it needs at most so many pairs for each row of the buckets.
-PAIRS_PER_ROW = 8
+#: Shingles in a block of documents that are compared with each other in one place.
+BLOCK = 1_500_000
 WORDS_KEPT = 1_000_000
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 
@@ -158,6 +158,65 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) ->
     return joined.sortWithinPartitions("v").mapInArrow(run, f"u {kind}, v {kind}")
 
 
+def _across(loose: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links (u, v) between components of a family: for each document outside the largest component, one to each component that it reaches.
+
+    The documents outside meet all of their family in blocks of bounded volume. No pair leaves a block unless it is a link.
+    """
+    ship(loose.sparkSession)
+    kind = loose.schema["doc_id"].dataType.simpleString()
+    spread = lambda n: F.pmod(F.xxhash64("doc_id"), F.col(n)).cast("int")
+    asks = loose.filter("comp <> top_comp").withColumns({"row": spread("long"), "col": F.explode(F.sequence(F.lit(0), F.col("wide") - 1)), "asks": F.lit(True)})
+    all_of = loose.withColumns({"col": spread("wide"), "row": F.explode(F.sequence(F.lit(0), F.col("long") - 1)), "asks": F.lit(False)})
+    rows = asks.select("family", "row", "col", "asks", "doc_id", "comp").unionByName(all_of.select("family", "row", "col", "asks", "doc_id", "comp"))
+    signer = Signer(width)
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([signer.hashes(t.as_py()).tobytes() for t in batch.column(1)], pa.binary())], names=["doc_id", "hashes"])
+
+    def links(asking: list[tuple], held: list[tuple]) -> list[tuple]:
+        sizes = np.array([len(h) for _, _, h in held])
+        every = np.concatenate([h for _, _, h in held])
+        owner = np.repeat(np.arange(len(held)), sizes)
+        order = np.argsort(every, kind="stable")
+        every, owner = every[order], owner[order]
+        comps, out = [c for _, c, _ in held], []
+        for doc, comp, mine in asking:
+            low, high = np.searchsorted(every, mine), np.searchsorted(every, mine, "right")
+            count = high - low
+            at = np.repeat(low - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())
+            both = np.bincount(owner[at], minlength=len(held))
+            done = {comp}
+            for k in np.flatnonzero(100 * both >= percent * (sizes + len(mine) - both)):
+                if comps[k] not in done:
+                    done.add(comps[k])
+                    out.append((doc, held[k][0]))
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, asking, held = None, [], []
+
+        def told() -> pa.RecordBatch:
+            found = links(asking, held) if asking and held else []
+            return pa.RecordBatch.from_arrays([pa.array([u for u, _ in found], id_type), pa.array([v for _, v in found], id_type)], names=["u", "v"])
+
+        for batch in batches:
+            id_type = batch.schema.field("doc_id").type
+            for family, row, col, asks, doc, comp, hashes in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (family, row, col) != now:
+                    if now is not None:
+                        yield told()
+                    now, asking, held = (family, row, col), [], []
+                (asking if asks else held).append((doc, comp, np.frombuffer(hashes, np.uint64)))
+        if now is not None:
+            yield told()
+
+    hashed = texts.join(loose.select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"]).select("doc_id", "text").mapInArrow(sets, f"doc_id {kind}, hashes binary")
+    dealt = rows.join(hashed, "doc_id").select("family", "row", "col", "asks", "doc_id", "comp", "hashes").repartition("family", "row", "col").sortWithinPartitions("family", "row", "col")
+    return dealt.mapInArrow(run, f"u {kind}, v {kind}")
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """For each row: doc_id, n_shingles, component_id (smallest identifier reachable by links) and kept (it is its own component_id)."""
     spark = docs.sparkSession
@@ -166,42 +225,38 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     classes = linkable.groupBy("class").agg(F.min("doc_id").alias("rep"))
     firsts = linkable.join(classes.select(F.col("rep").alias("doc_id"), "class"), ["doc_id", "class"]).dropDuplicates(["doc_id", "class"])
     keyed = firsts.select(F.col("doc_id").alias("id"), F.explode("bands").alias("key"))
-    buckets = keyed.groupBy("key").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    members = settle(keyed.join(buckets, "key"), "buckets")
-    wanted = members.select(F.col("id").alias("doc_id")).distinct()
-    sketches = linkable.select("doc_id", "sketch")
-    texts = settle(docs.select("doc_id", "text").join(wanted, "doc_id", "left_semi"), "texts")
+    buckets = keyed.groupBy("key").agg(F.min("id").alias("pivot"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    members = keyed.join(buckets, "key").filter("id <> pivot")
+    stars = settle(members.select(F.col("id").alias("u"), F.col("pivot").alias("v")).distinct(), "stars")
+    wanted = settle(stars.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct(), "wanted")
+    # Sketches and texts of the documents in buckets, by marks of fixed size: the others stay where they are.
+    mine = F.xxhash64("doc_id")
+    sketches = settle(maybe_in(linkable.select("doc_id", "sketch"), mine, mine, wanted).filter("__cw_hit").drop("__cw_hit"), "sketches")
+    texts = settle(maybe_in(docs.select("doc_id", "text"), mine, mine, wanted).filter("__cw_hit").drop("__cw_hit"), "texts")
 
     path = fresh_path(spark, "confirmed")
     kind = docs.schema["doc_id"].dataType.simpleString()
 
-    def compare(pairs: DataFrame) -> DataFrame:
-        """Add the links among the pairs to those found; returns the components of all."""
+    def compare(pairs: DataFrame) -> None:
+        """Add the links among the pairs to those found."""
         ordered = pairs.select(F.least("u", "v").alias("v"), F.greatest("u", "v").alias("u")).filter("u <> v").distinct()
         _confirmed(_alike(ordered, sketches, percent), texts, width, percent).write.mode("append").parquet(path)
-        return components(spark.read.schema(f"u {kind}, v {kind}").parquet(path))
-
-    found = compare(members.select(F.col("first").alias("u"), F.col("id").alias("v")))
-    turn = 0
-    while True:
-        placed = members.join(found.select(F.col("u").alias("id"), F.col("v").alias("comp")), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
-        sizes = placed.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("size"))
-        top = sizes.groupBy("key").agg(F.max(F.struct("size", "comp")).alias("top"), F.sum("size").alias("n"), F.count(F.lit(1)).alias("comps")).filter("comps > 1 AND n > 2")
-        open_rows = settle(placed.join(top.select("key", F.col("top.comp").alias("top_comp")), "key"), "open")
-        outside = open_rows.filter("comp <> top_comp")
-        need = open_rows.groupBy("key").agg((F.count(F.lit(1)) * F.sum((F.col("comp") != F.col("top_comp")).cast("long"))).alias("pairs"), F.count(F.lit(1)).alias("n")).agg(F.sum("pairs"), F.sum("n")).first()
-        if not need[0]:
-            break
-        turn += 1
-        if need[0] > PAIRS_PER_ROW * need[1] and turn <= 3:  # another pivot in each bucket, from outside its largest component
-            pivots = outside.groupBy("key").agg(F.min_by(F.struct("id", "comp"), F.xxhash64("id", F.lit(turn))).alias("p"))
-            found = compare(open_rows.join(pivots, "key").filter("comp <> p.comp").select(F.col("p.id").alias("u"), F.col("id").alias("v")))
-            continue
-        # Every pair in different components has one end outside the largest; pairs with the first pivot are known.
-        left = outside.filter("id <> first").select("key", F.col("id").alias("u"), F.col("comp").alias("u_comp"))
-        right = open_rows.filter("id <> first").select("key", F.col("id").alias("v"), F.col("comp").alias("v_comp"))
-        found = compare(left.join(right, "key").filter("u_comp <> v_comp").select("u", "v"))
-        break
+
+    compare(stars)
+    found = components(spark.read.schema(f"u {kind}, v {kind}").parquet(path))
+    # What buckets hold beside the pivots' links: families, which buckets connect, with more than one component.
+    family = components(stars).select(F.col("u").alias("doc_id"), F.col("v").alias("family"))
+    comp = found.select(F.col("u").alias("doc_id"), F.col("v").alias("comp"))
+    sized = wanted.join(linkable.select("doc_id", "n_shingles").groupBy("doc_id").agg(F.max("n_shingles").alias("size")), "doc_id")
+    placed = sized.join(family, "doc_id", "left").join(comp, "doc_id", "left").select("doc_id", "size", F.coalesce("family", "doc_id").alias("family"), F.coalesce("comp", "doc_id").alias("comp"))
+    placed = settle(placed, "placed")
+    by_comp = placed.groupBy("family", "comp").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("size"))
+    split = by_comp.groupBy("family").agg(F.max(F.struct("n", "comp", "size")).alias("top"), F.sum("n").alias("n"), F.sum("size").alias("size"), F.count(F.lit(1)).alias("comps")).filter("comps > 1 AND n > 2")
+    split = split.select("family", F.col("top.comp").alias("top_comp"), F.ceil(F.col("size") / BLOCK).cast("int").alias("wide"), F.ceil((F.col("size") - F.col("top.size")) / BLOCK).cast("int").alias("long"))
+    loose = settle(placed.join(split, "family"), "loose")
+    if not loose.isEmpty():
+        compare(_across(loose, texts, width, percent))
+        found = components(spark.read.schema(f"u {kind}, v {kind}").parquet(path).unionByName(found))
 
     of_class = classes.join(found.select(F.col("u").alias("rep"), F.col("v").alias("comp")), "rep", "left").select(F.col("class"), F.coalesce("comp", "rep").alias("comp"))
     rows = signed.select("doc_id", "n_shingles", "class").join(of_class, "class", "left")
