@@ -453,6 +453,21 @@ def score(docs: DataFrame, flat: np.ndarray, frequent: dict[int, int], tokens_in
     return docs.select("doc_id", "held_out", "text").mapInArrow(run, f"row long, doc_id {kind}, held_out boolean, n_tokens long, n_known long, base double, rare array<struct<hash:long,n:long>>, score double")
 
 
+def commonest(counts: DataFrame, most: int) -> dict[int, int]:
+    """Counts of the commonest words, at most so many: all whose count reaches a level, eight levels to each doubling. No sort, and no task sees all words."""
+    leveled = counts.withColumn("level", F.floor(8 * F.log2("c")))
+    sizes = sorted(((r["level"], r["n"]) for r in leveled.groupBy("level").agg(F.count(F.lit(1)).alias("n")).collect()), reverse=True)
+    least, held = None, 0
+    for level, n in sizes:
+        if held + n > most:
+            break
+        least, held = level, held + n
+    if least is None:
+        return {}
+    found = leveled.filter(F.col("level") >= least).select("hash", "c").toArrow()
+    return dict(zip(found["hash"].to_pylist(), found["c"].to_pylist(), strict=True))
+
+
 def score_documents(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score (log10 of the model's probability) of each row."""
     spark = docs.sparkSession
@@ -462,8 +477,7 @@ def score_documents(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame
     tokens, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
     windows = gathered.filter("window IS NOT NULL").select("window")
     flat = train(spark, windows)
-    top = counts.orderBy(F.col("c").desc(), "hash").limit(FREQUENT)
-    frequent = {h: c for h, c in zip(*(x.to_pylist() for x in top.toArrow().columns), strict=True)}
+    frequent = commonest(counts, FREQUENT)
     end = counts.filter(F.col("hash") == END_HASH).first()
     scored = settle(score(marked, flat, frequent, int(tokens), ranks_path, pattern), "scored")
     # Words outside the bounded list meet their counts here; a word that was never counted has c = 0.
