@@ -25,8 +25,8 @@ from pyspark.sql.types import BinaryType, BooleanType, LongType, StructField, St
 from caseworks.llm.workspace import ship
 
 #: Entries that a worker keeps of pieces seen and of token pairs judged. They bound memory only; results do not depend on them.
-PIECES_KEPT = 500_000
-PAIRS_KEPT = 1_000_000
+PIECES_KEPT = 400_000
+PAIRS_KEPT = 400_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:

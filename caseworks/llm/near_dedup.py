@@ -28,7 +28,7 @@ from caseworks.llm.workspace import fresh_path, maybe_in, settle, ship, without
 ROWS, BANDS = 6, 42
 #: Shingles in a block of documents that are compared with each other in one place.
 BLOCK = 1_500_000
-WORDS_KEPT = 1_000_000
+WORDS_KEPT = 200_000
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 
 

@@ -26,7 +26,7 @@ from caseworks.llm.workspace import ship
 SAMPLE = 12_000
 BINS = 1 << 18
 EPOCHS, BATCH, RATE, DECAY = 12, 64, 0.05, 2e-5
-WORDS_KEPT = 600_000
+WORDS_KEPT = 200_000
 GRADES = 3
 
 _UPPER, _LOWER, _DIGIT = regex.compile(r"\p{Lu}+"), regex.compile(r"[\p{Ll}\p{Lo}]+"), regex.compile(r"\p{N}+")
