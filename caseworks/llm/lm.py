@@ -5,8 +5,8 @@ mark begins and ends the sequence. One attention layer looks back over a window.
 a bias, so all scores come from one table. The output is a two-level softmax (group, then member). Windows overlap by half: each
 token is scored once, with at least a stride of context where there is as much.
 
-Every training document gives windows to training, placed by hash; tasks train on their share from common weights, and the weights are averaged,
-round by round. Word by word, the model's probability is mixed (SHARE) with the share of that word among all training words, if it is one of
+All windows of every training document train the model, once at least; documents move in runs of windows, which hash spreads over rounds and chance over tasks.
+Tasks train on their share from common weights, and the weights are averaged, round by round. Word by word, the model's probability is mixed (SHARE) with the share of that word among all training words, if it is one of
 the FREQUENT commonest; a word's probability is that of its subwords, given that a word begins, times that of another beginning after it, so that the
 mixture is a distribution over words. Beside the score stands a smoothed unigram score from exact counts of all words in all training
 documents: the counts of the FREQUENT commonest words (a bounded list) are sent to all tasks, the other words meet their counts in a join.
@@ -38,8 +38,8 @@ VOCAB = GROUPS * MEMBERS
 #: Commonest words whose counts are sent to every task.
 FREQUENT = 200_000
 WORDS_KEPT = 250_000
-#: Places in each training document, and windows in a row from each; rounds, each on its part of the windows; windows that one task trains on in a round, and its least number of steps.
-SPANS, RUN, TRAIN_ROUNDS, PER_TASK, LEAST_STEPS, BATCH = 2, 4, 4, 25_600, 200, 128
+#: Windows in a row that move together; rounds, each on its part of the runs; windows that one task trains on in a round, and its least number of steps.
+RUN, TRAIN_ROUNDS, PER_TASK, LEAST_STEPS, BATCH = 64, 4, 25_600, 200, 128
 COUNTS_HELD = 400_000
 FAN_IN = 32
 #: Windows whose states, and whose output, are computed in one go: as many as caches hold.
@@ -225,7 +225,7 @@ def train_locally(weights: dict[str, np.ndarray], windows: np.ndarray, seed: int
     while step < total:
         order = rng.permutation(len(windows))
         for start in range(0, len(order), BATCH):
-            part = windows[order[start : start + BATCH]]
+            part = windows[order[start : start + BATCH]].astype(np.int32)
             _, slope = model.gradient(part[:, : 2 * STRIDE], part[:, 2 * STRIDE :])
             step += 1
             for k, g in slope.items():
@@ -252,68 +252,77 @@ def blocks(seq: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([parts[:-1], parts[1:]], axis=1), goals.reshape(n, STRIDE)
 
 
+def runs(seq: np.ndarray) -> list[bytes]:
+    """The windows of a sequence in runs of at most RUN, each as the ids of its windows without overlap, led by a stride of context, and one last target."""
+    n = -(-(len(seq) - 1) // STRIDE)
+    padded = np.full((n + 1) * STRIDE + 1, PAD, "<u2")
+    padded[STRIDE : STRIDE + len(seq)] = seq
+    return [padded[a * STRIDE : (min(n, a + RUN) + 1) * STRIDE + 1].tobytes() for a in range(0, n, RUN)]
+
+
+def windows_of(run: bytes) -> np.ndarray:
+    """Windows of a run as blocks() gives them, each followed by its targets (n, 3 * STRIDE)."""
+    ids = np.frombuffer(run, "<u2")
+    goals = ids[1:]
+    parts = np.where(goals == PAD, PAD, ids[:-1]).astype(np.uint16).reshape(-1, STRIDE)  # an end mark that nothing follows is no input
+    return np.concatenate([parts[:-1], parts[1:], goals.reshape(-1, STRIDE)[1:]], axis=1)
+
+
 def held_out(doc_id: Column, parts: int = 10, part: int = 0) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % parts == part, F.lit(False))
 
 
 def gather(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """From training texts: rows (hash, n) of word counts, several for a word, and rows (window) for training, in one table."""
+    """From training texts: rows (hash, n) of word counts, several for a word, and rows (run) of all windows for training, in one table."""
     ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         subwords, counts = _subwords(path, pattern), Counter()
 
-        def told(found: list[bytes] | None) -> pa.RecordBatch:
+        def told(found: list[bytes]) -> pa.RecordBatch:
             hashes, numbers = [word_hash(w) for w in counts], [*counts.values()]
             counts.clear()
-            some, windows = len(hashes), found or []
-            columns = pa.array(hashes + [None] * len(windows), pa.int64()), pa.array(numbers + [None] * len(windows), pa.int64()), pa.array([None] * some + windows, pa.binary())
-            return pa.RecordBatch.from_arrays([*columns], names=["hash", "n", "window"])
+            some = len(hashes)
+            columns = pa.array(hashes + [None] * len(found), pa.int64()), pa.array(numbers + [None] * len(found), pa.int64()), pa.array([None] * some + found, pa.binary())
+            return pa.RecordBatch.from_arrays([*columns], names=["hash", "n", "run"])
 
         ends = 0
         for batch in batches:
-            windows: list[bytes] = []
-            for text in batch.column(0):
-                words = (text.as_py() or "").encode().lower().split()
-                counts.update(words)
-                ends += 1
-                mark = xxhash.xxh3_64_intdigest(b" ".join(words))
-                mine = set()
-                for k in range(SPANS):
-                    begin = max(0, xxhash.xxh3_64_intdigest(bytes([k]), seed=mark) % (len(words) + STRIDE) - STRIDE)
-                    near = words[begin : begin + STRIDE * (RUN + 1)]
-                    last = begin + len(near) >= len(words)
-                    seq = np.concatenate([[END] if begin == 0 else [], np.frombuffer(b"".join(map(subwords.__getitem__, near)), "<u2"), [END] if last else []]).astype(np.int32)
-                    if len(seq) > 1:
-                        whole, goals = blocks(seq)
-                        at = 0 if begin == 0 else min(1, len(whole) - 1)  # the first has no context unless the text begins there
-                        mine.add(np.concatenate([whole[at : at + RUN], goals[at : at + RUN]], axis=1).astype("<u2").tobytes())
-                windows += sorted(mine)
-            if len(counts) >= COUNTS_HELD or windows:
-                yield told(windows) if len(counts) >= COUNTS_HELD else pa.RecordBatch.from_arrays([pa.nulls(len(windows), pa.int64()), pa.nulls(len(windows), pa.int64()), pa.array(windows, pa.binary())], names=["hash", "n", "window"])
-        yield told(None)
+            for start in range(0, batch.num_rows, 128):
+                found: list[bytes] = []
+                for text in batch.column(0).slice(start, 128):
+                    words = (text.as_py() or "").encode().lower().split()
+                    counts.update(words)
+                    ends += 1
+                    found += runs(sequence(b"".join(map(subwords.__getitem__, words))))
+                if len(counts) >= COUNTS_HELD:
+                    yield told(found)
+                else:
+                    yield pa.RecordBatch.from_arrays([pa.nulls(len(found), pa.int64()), pa.nulls(len(found), pa.int64()), pa.array(found, pa.binary())], names=["hash", "n", "run"])
+        yield told([])
         if ends:
-            yield pa.RecordBatch.from_arrays([pa.array([END_HASH], pa.int64()), pa.array([ends], pa.int64()), pa.nulls(1, pa.binary())], names=["hash", "n", "window"])
+            yield pa.RecordBatch.from_arrays([pa.array([END_HASH], pa.int64()), pa.array([ends], pa.int64()), pa.nulls(1, pa.binary())], names=["hash", "n", "run"])
 
-    return docs.select("text").mapInArrow(run, "hash long, n long, window binary")
+    return docs.select("text").mapInArrow(run, "hash long, n long, run binary")
 
 
-def train(spark: SparkSession, windows: DataFrame) -> np.ndarray:
-    """Packed weights after rounds of local training and averaging; windows is a settled table (window)."""
-    total = windows.agg(F.coalesce(F.sum(F.length("window")), F.lit(0))).first()[0] // (6 * STRIDE)
+def train(spark: SparkSession, runs: DataFrame) -> np.ndarray:
+    """Packed weights after rounds of local training and averaging; runs is a settled table (run)."""
+    total = runs.agg(F.coalesce(F.sum(F.floor(F.length("run") / (2 * STRIDE)) - 1), F.lit(0))).first()[0]
     flat = Attention.pack(Attention.initial())
     tasks = max(1, -(-total // (PER_TASK * TRAIN_ROUNDS)))
     if not total:
         return flat
-    numbered = settle(windows.withColumn("part", F.pmod(F.xxhash64("window"), F.lit(TRAIN_ROUNDS))).repartition(tasks, F.rand(1)), "windows")
+    numbered = settle(runs.withColumn("part", F.pmod(F.xxhash64("run"), F.lit(TRAIN_ROUNDS))).repartition(tasks, F.rand(1)), "runs")
     for turn in range(TRAIN_ROUNDS):
-        dealt = numbered.filter(F.col("part") == turn).select("window")
+        dealt = numbered.filter(F.col("part") == turn).select("run")
         start, rate = spark.sparkContext.broadcast(flat), 0.02 / (1 + turn)
 
         def learn(batches: Iterator[pa.RecordBatch], start=start, rate=rate) -> Iterator[pa.RecordBatch]:
-            held = b"".join(chain.from_iterable(batch.column(0).to_pylist() for batch in batches))
+            held = [windows_of(run) for run in chain.from_iterable(batch.column(0).to_pylist() for batch in batches)]
             if held:
-                mine = np.frombuffer(held, "<u2").reshape(-1, 3 * STRIDE).astype(np.int32)
+                mine = np.concatenate(held)
+                held.clear()
                 got = Attention.pack(train_locally(Attention.unpack(start.value), mine, 11, rate))
                 yield pa.RecordBatch.from_arrays([pa.array([float(len(mine))]), pa.array([got.tobytes()], pa.binary())], names=["n", "weights"])
 
@@ -475,8 +484,7 @@ def score_documents(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame
     gathered = settle(gather(marked.filter("NOT held_out"), ranks_path, pattern), "gathered")
     counts = settle(gathered.filter("hash IS NOT NULL").groupBy("hash").agg(F.sum("n").alias("c")), "word-counts")
     tokens, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
-    windows = gathered.filter("window IS NOT NULL").select("window")
-    flat = train(spark, windows)
+    flat = train(spark, gathered.filter("run IS NOT NULL").select("run"))
     frequent = commonest(counts, FREQUENT)
     end = counts.filter(F.col("hash") == END_HASH).first()
     scored = settle(score(marked, flat, frequent, int(tokens), ranks_path, pattern), "scored")

@@ -300,6 +300,16 @@ def test_lm_scores(docs):
         assert r["score"] < 0
 
 
+def test_lm_trains_on_all_windows(spark):
+    texts = ["", "one two", "word " * 300, " ".join(f"w{k % 97}x{k}" for k in range(5000))]
+    df = spark.createDataFrame(list(zip(texts)), "text string")
+    found = [r["run"] for r in lm.gather(df, RANKS, P.PATTERN).filter("run IS NOT NULL").collect()]
+    got = np.concatenate([lm.windows_of(bytes(r)) for r in found]).tolist()
+    subwords = lm.Subwords(RANKS, P.PATTERN)
+    want = [np.concatenate(lm.blocks(lm.sequence(b"".join(subwords[w] for w in t.encode().split()))), axis=1) for t in texts]
+    assert sorted(got) == sorted(np.concatenate(want).tolist())
+
+
 def test_lm_rare_words_meet_their_counts(docs, monkeypatch):
     monkeypatch.setattr(lm, "FREQUENT", 5)
     monkeypatch.setattr(lm, "TRAIN_ROUNDS", 1)
