@@ -6,10 +6,9 @@ a bias, so all scores come from one table. The output is a two-level softmax (gr
 token is scored once, with at least a stride of context where there is as much.
 
 All windows of every training document train the model, once at least; documents move in runs of windows, which hash spreads over rounds and chance over tasks.
-Tasks train on their share from common weights, and the weights are averaged, round by round. Word by word, the model's probability is mixed (SHARE) with the share of that word among all training words, if it is one of
-the FREQUENT commonest; a word's probability is that of its subwords, given that a word begins, times that of another beginning after it, so that the
+Tasks train on their share from common weights, and the weights are averaged, round by round. Word by word, the model's probability is mixed (SHARE) with the share of that word among all training words; a word's probability is that of its subwords, given that a word begins, times that of another beginning after it, so that the
 mixture is a distribution over words. Beside the score stands a smoothed unigram score from exact counts of all words in all training
-documents: the counts of the FREQUENT commonest words (a bounded list) are sent to all tasks, the other words meet their counts in a join.
+documents: the counts of the FREQUENT commonest words (a bounded list) are sent to all tasks, the other words meet their counts in a join, where their part of both scores is added.
 
 Behaviour at the edges: null text counts as empty and has the end mark only; rows without identifier are training rows; rows that repeat
 are counted and scored each; without training rows the counts are 0 and the model is its initial one; empty tables give no rows.
@@ -401,20 +400,20 @@ def all_blocks(tokens: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.
     return np.concatenate([before, inputs], axis=1), goals.reshape(-1, STRIDE)
 
 
-def score(docs: DataFrame, flat: np.ndarray, frequent: dict[int, int], tokens_in_all: int, path: str, pattern: str) -> DataFrame:
-    """For each row (doc_id, held_out, text): a row number, n_tokens, what frequent words add to n_known and the base score, the other words, and score."""
+def score(docs: DataFrame, flat: np.ndarray, frequent: dict[int, int], tokens_in_all: int, ends_in_all: int, path: str, pattern: str) -> DataFrame:
+    """For each row (doc_id, held_out, text): a row number, n_tokens, what frequent words add to n_known, the base score and the score, and the other words with the model's probability at each place."""
     ship(docs.sparkSession)
     order = np.array(sorted(frequent), np.int64)
-    shared = docs.sparkSession.sparkContext.broadcast((flat, order, np.array([frequent[h] for h in order.tolist()], np.int64), frequent.get(END_HASH, 0)))
+    shared = docs.sparkSession.sparkContext.broadcast((flat, order, np.array([frequent[h] for h in order.tolist()], np.int64)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        flat, order, number, end = shared.value
+        flat, order, number = shared.value
         subwords, model = _subwords(path, pattern), Attention(Attention.unpack(flat))
         model.tables()
-        table = WordTable(subwords, order, number, tokens_in_all, end)
+        table = WordTable(subwords, order, number, tokens_in_all, ends_in_all)
 
-        def model_scores(numbers: np.ndarray, words: np.ndarray) -> np.ndarray:
-            """log10 probabilities of texts."""
+        def model_chances(numbers: np.ndarray, words: np.ndarray) -> np.ndarray:
+            """The model's probability of each word."""
             tokens, sizes = table.tokens(numbers)
             ends = np.cumsum(words) - 1
             windows, goals = all_blocks(tokens, np.add.reduceat(sizes, ends - words + 1))
@@ -432,8 +431,7 @@ def score(docs: DataFrame, flat: np.ndarray, frequent: dict[int, int], tokens_in
             word = np.add.reduceat(logs, first) - begins[first]
             after = np.append(begins[first][1:], 0.0)
             after[ends] = 0.0
-            mixed = np.log10(SHARE * np.exp(np.minimum(word + after, 0.0)) + (1 - SHARE) * table.share[numbers] + 1e-300)
-            return np.add.reduceat(mixed, ends - words + 1)
+            return np.exp(np.minimum(word + after, 0.0))
 
         row = TaskContext.get().partitionId() << 36
         for batch in batches:
@@ -441,25 +439,31 @@ def score(docs: DataFrame, flat: np.ndarray, frequent: dict[int, int], tokens_in
                 part = batch.slice(start, 128)
                 texts = [(t.as_py() or "").encode().lower().split() for t in part.column(2)]
                 if len(table.of) > WORDS_KEPT:
-                    table = WordTable(subwords, order, number, tokens_in_all, end)
+                    table = WordTable(subwords, order, number, tokens_in_all, ends_in_all)
                 numbers, words = table.numbers(texts)
                 begin = np.cumsum(words) - words
                 counts = table.count[numbers]
                 often = counts > 0
                 base = np.add.reduceat(np.where(often, np.log10(counts + 0.1), 0.0), begin)
                 rare = np.flatnonzero(~often & (numbers > 0))
-                pairs, times = np.unique((np.repeat(np.arange(len(words)), words)[rare] << 32) | numbers[rare], return_counts=True)
+                chance = model_chances(numbers, words)
+                mixed = np.log10(SHARE * chance + (1 - SHARE) * table.share[numbers] + 1e-300)
+                mixed[rare] = 0.0
+                keys = (np.repeat(np.arange(len(words)), words)[rare] << 32) | numbers[rare]
+                sort = np.argsort(keys, kind="stable")
+                pairs, first = np.unique(keys[sort], return_index=True)
                 edges = np.searchsorted(pairs >> 32, np.arange(len(words) + 1)).astype(np.int32)
-                others = pa.StructArray.from_arrays([pa.array(table.hash[pairs & 0xFFFFFFFF]), pa.array(times.astype(np.int64))], names=["hash", "n"])
+                places = pa.ListArray.from_arrays(pa.array(np.append(first, len(rare)).astype(np.int32)), pa.array(chance[rare][sort]))
+                others = pa.StructArray.from_arrays([pa.array(table.hash[pairs & 0xFFFFFFFF]), places], names=["hash", "p"])
                 known = np.add.reduceat(often.astype(np.int64), begin)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.arange(row, row + len(words))), part.column(0), part.column(1), pa.array(words.astype(np.int64)), pa.array(known), pa.array(base), pa.ListArray.from_arrays(pa.array(edges), others), pa.array(model_scores(numbers, words))],
+                    [pa.array(np.arange(row, row + len(words))), part.column(0), part.column(1), pa.array(words.astype(np.int64)), pa.array(known), pa.array(base), pa.ListArray.from_arrays(pa.array(edges), others), pa.array(np.add.reduceat(mixed, begin))],
                     names=["row", "doc_id", "held_out", "n_tokens", "n_known", "base", "rare", "score"],
                 )
                 row += len(words)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "held_out", "text").mapInArrow(run, f"row long, doc_id {kind}, held_out boolean, n_tokens long, n_known long, base double, rare array<struct<hash:long,n:long>>, score double")
+    return docs.select("doc_id", "held_out", "text").mapInArrow(run, f"row long, doc_id {kind}, held_out boolean, n_tokens long, n_known long, base double, rare array<struct<hash:long,p:array<double>>>, score double")
 
 
 def commonest(counts: DataFrame, most: int) -> dict[int, int]:
@@ -487,16 +491,18 @@ def score_documents(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame
     flat = train(spark, gathered.filter("run IS NOT NULL").select("run"))
     frequent = commonest(counts, FREQUENT)
     end = counts.filter(F.col("hash") == END_HASH).first()
-    scored = settle(score(marked, flat, frequent, int(tokens), ranks_path, pattern), "scored")
+    n_end = end["c"] if end else 0
+    scored = settle(score(marked, flat, frequent, int(tokens), int(n_end), ranks_path, pattern), "scored")
     # Words outside the bounded list meet their counts here; a word that was never counted has c = 0.
-    others = scored.select("row", F.explode("rare").alias("w")).select("row", F.col("w.hash").alias("hash"), F.col("w.n").alias("n"))
+    others = scored.select("row", F.explode("rare").alias("w")).select("row", F.col("w.hash").alias("hash"), F.col("w.p").alias("p"), F.size("w.p").alias("n"))
+    share = F.coalesce("c", F.lit(0)) * F.lit((1 - SHARE) / max(1, int(tokens)))
+    mixed = F.aggregate("p", F.lit(0.0), lambda held, p: held + F.log10(F.lit(SHARE) * p + share + F.lit(1e-300)))
     met = others.join(counts, "hash", "left").groupBy("row").agg(
-        F.sum(F.when(F.col("c").isNotNull(), F.col("n")).otherwise(0)).alias("more"), F.sum(F.col("n") * F.log10(F.coalesce("c", F.lit(0)) + F.lit(0.1))).alias("add")
+        F.sum(F.when(F.col("c").isNotNull(), F.col("n")).otherwise(0)).alias("more"), F.sum(F.col("n") * F.log10(F.coalesce("c", F.lit(0)) + F.lit(0.1))).alias("add"), F.sum(mixed).alias("mixed")
     )
-    n_end = end["c"] if end else 0
     whole = F.col("base") + F.coalesce("add", F.lit(0.0)) + F.lit(float(np.log10(n_end + 0.1)))
     base = whole - F.col("n_tokens") * F.lit(float(np.log10(tokens + 0.1 * (distinct + 1))))
     return scored.join(met, "row", "left").select(
         "doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("more", F.lit(0)) + F.lit(int(n_end > 0))).alias("n_known"),
-        F.lit(int(tokens)).cast("long").alias("train_tokens"), base.alias("base_score"), "score",
+        F.lit(int(tokens)).cast("long").alias("train_tokens"), base.alias("base_score"), (F.col("score") + F.coalesce("mixed", F.lit(0.0))).alias("score"),
     )

@@ -320,6 +320,14 @@ def test_lm_rare_words_meet_their_counts(docs, monkeypatch):
         assert few[r["doc_id"]][0] == r["n_known"] and few[r["doc_id"]][1] == pytest.approx(r["base_score"])
 
 
+def test_lm_score_does_not_depend_on_the_bounded_list(docs, monkeypatch):
+    monkeypatch.setattr(lm, "train", lambda spark, runs: lm.Attention.pack(lm.Attention.initial()))
+    whole = {r["doc_id"]: r["score"] for r in lm.score_documents(docs, RANKS, P.PATTERN).collect()}
+    monkeypatch.setattr(lm, "FREQUENT", 5)
+    for r in lm.score_documents(docs, RANKS, P.PATTERN).collect():
+        assert r["score"] == pytest.approx(whole[r["doc_id"]])
+
+
 def test_quality_held_out(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     grades = quality.graded(spark.read.parquet("/root/testdata/sf0.01/labels.parquet"))
