@@ -134,3 +134,50 @@ picked AS (SELECT * EXCLUDE (rk) FROM (SELECT *, rank() OVER (PARTITION BY state
 each("k16_tradeoff_tiers", f"WITH {TIER_SQL} SELECT state, option, recall, precision, {', '.join(K.bounds_of(SURFACE))} FROM picked", lambda s, d: K.pr_tiers(surface(s, d), "state").select("state", "option", "recall", "precision", *K.bounds_of(SURFACE)))
 each("k17_fpr_constraint", f"WITH {TIER_SQL} SELECT state, option, fpr, fpr < 5e-1 AS meets_fpr, {', '.join(K.bounds_of(SURFACE))} FROM picked", lambda s, d: K.pr_tiers(surface(s, d), "state").select("state", "option", "fpr", "meets_fpr", *K.bounds_of(SURFACE)))
 each("k18_leaf_verification", f"WITH {RULED_SQL} SELECT count(*) AS n, CAST(sum(CAST(amterr AS DECIMAL(28, 6))) AS DOUBLE) / count(*) AS mean_error FROM ruled WHERE year >= 2022 AND earned_by_size >= 5e2 AND rawben_rel < 8e-1 AND coalesce(status, '') <> '{CORRECT}'", lambda s, d: ruled(s, d).filter((c("year") >= 2022) & (c("earned_by_size") >= 500) & (c("rawben_rel") < 0.8) & (F.coalesce("status", F.lit("")) != CORRECT)).agg(F.count(F.lit(1)).alias("n"), (F.sum(c("amterr").cast("decimal(28,6)")).cast("double") / F.count(F.lit(1))).alias("mean_error")))
+
+# The reference's whole grids: the ranges of its runs, and the defaults of its functions. DuckDB joins every case with every rule, which is too slow here, so that
+# tests hold these grids against brute force instead; the smaller grids above keep their oracles.
+EARNED_RUN = [
+    K.Axis("earned_by_size", ">=", tuple(steps(1, 501, 50))), K.Axis("rawben_rel", "band", lower=tuple(steps(0.4, 1, 0.05)), upper=(1.0,)),
+    K.Axis("shelter_by_size", "<=", tuple(steps(0, 2000, 100))), K.Axis("shelter_ratio", ">=", (0.0, 2.0)),
+]
+EARNED_DEFAULT = [
+    K.Axis("earned_by_size", ">=", tuple(steps(0, 600, 50))), K.Axis("rawben_rel", "band", lower=tuple(steps(0, 1, 0.1)), upper=tuple(steps(0, 1, 0.1))),
+    K.Axis("shelter_by_size", "<=", tuple(steps(0, 800, 100))), K.Axis("shelter_ratio", ">=", tuple(steps(0, 2, 0.1))),
+]
+UNEARNED_RUN = [
+    K.Axis("unearned_by_size", ">=", tuple(steps(0, 1000, 100))), K.Axis("fssltexp", "band", lower=tuple(steps(100, 1500, 100)), upper=tuple(steps(100, 1500, 100))),
+    K.Axis("deductions_by_size", "<=", (2000.0,)), K.Axis("rawben_rel", ">=", tuple(steps(0.4, 1, 0.05))), K.Axis("fsusize", ">=", (1.0,)),
+]
+UNEARNED_DEFAULT = [
+    K.Axis("unearned_by_size", ">=", tuple(steps(0, 600, 50))), K.Axis("fssltexp", "band", lower=tuple(steps(0, 1000, 100)), upper=tuple(steps(0, 1000, 100))),
+    K.Axis("deductions_by_size", "<=", tuple(steps(0, 800, 100))), K.Axis("rawben_rel", ">=", tuple(steps(0, 1, 0.1))), K.Axis("fsusize", ">=", tuple(steps(1, 6, 1))),
+]
+UNDERPAID_RUN = [K.Axis("earned_by_size", ">=", tuple(steps(0, 600, 50))), K.Axis("rawben_rel", "band", lower=tuple(steps(0.1, 0.9, 0.05)), upper=tuple(steps(0.1, 0.9, 0.05))), K.Axis("shelter_by_size", "<", tuple(steps(0, 2000, 100)))]
+UNDERPAID_DEFAULT = [K.Axis("earned_by_size", ">=", tuple(steps(0, 600, 50))), K.Axis("rawben_rel", "band", lower=tuple(steps(0.5, 1, 0.05)), upper=tuple(steps(0.5, 1, 0.05))), K.Axis("shelter_by_size", "<", tuple(steps(0, 800, 100)))]
+SURFACE_RUN = [K.Axis("fsearn", ">=", tuple(steps(200, 1300, 50))), K.Axis("rawben_rel", ">=", tuple(steps(0.1, 1, 0.05))), K.Axis("shelter_ratio", "<", tuple(steps(0, 4, 0.05)))]
+
+
+def surface_run(spark, d):
+    return K.pr_surface(ruled(spark, d), SURFACE_RUN, "state", c("over_threshold") == 1)
+
+
+def tiers_run(spark, d):
+    return K.pr_tiers(surface_run(spark, d), "state")
+
+
+for _name, _axes, _args in (
+    ("k01_earned_grid_run", EARNED_RUN, {}), ("k01_earned_grid_default", EARNED_DEFAULT, {}), ("k02_unearned_grid_run", UNEARNED_RUN, {}), ("k02_unearned_grid_default", UNEARNED_DEFAULT, {}),
+    ("k03_underissuance_grid_run", UNDERPAID_RUN, UNDER_ARGS), ("k03_underissuance_grid_default", UNDERPAID_DEFAULT, UNDER_ARGS),
+):
+    each(_name, None, lambda s, d, axes=_axes, args=_args: K.mine_rules(ruled(s, d), axes, **args))
+each("k07_best_rule_run", None, lambda s, d: K.best_rules(K.mine_rules(ruled(s, d), EARNED_RUN), EARNED_RUN, **LIMITS))
+each("k08_top_5_by_recall_run", None, lambda s, d: first_per_group(K.mine_rules(ruled(s, d), EARNED_RUN).filter("precision >= 0.2"), ["geography_value"], [c("dollar_recall").desc(), *(c(b) for b in reversed(K.bounds_of(EARNED_RUN)))], 5).select("geography_value", *K.bounds_of(EARNED_RUN), "dollar_recall"))
+each("k09_apply_over_rules_run", None, tested(EARNED_RUN))
+each("k10_apply_under_rules_run", None, tested(UNDERPAID_RUN, **UNDER_ARGS))
+each("k11_train_test_change_run", None, lambda s, d: tested(EARNED_RUN)(s, d).select("geography_value", "recall_change", "precision_change"))
+each("k12_overall_summary_run", None, lambda s, d: K.overall_summary(tested(EARNED_RUN)(s, d)))
+each("k13_degraded_run", None, lambda s, d: K.degraded(tested(EARNED_RUN)(s, d)).select("geography_value"))
+each("k15_pr_surface_run", None, surface_run)
+each("k16_tradeoff_tiers_run", None, lambda s, d: tiers_run(s, d).select("state", "option", "recall", "precision", *K.bounds_of(SURFACE_RUN)))
+each("k17_fpr_constraint_run", None, lambda s, d: tiers_run(s, d).select("state", "option", "fpr", "meets_fpr", *K.bounds_of(SURFACE_RUN)))

@@ -1,10 +1,14 @@
+import itertools
 import math
+import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from caseworks.functions import semantics as S
 from caseworks.operators import features as X, rules as K, trees as T
+from caseworks.plans import rule_queries as R
 from caseworks.sources import case_view as V
 
 DATA = "/root/testdata/sf0.001"
@@ -109,3 +113,39 @@ def test_planted_split_is_found(spark):
     df = spark.createDataFrame([(i, 100.0 if i % 50 >= 20 else 0.0, "g", float(i % 50), float(i % 3)) for i in range(400)], "case_id long, y double, g string, x double, noise double")
     root = T.grow(df, "y", ["noise", "x"], "g").nodes.filter("node = 1").first()
     assert (root["feature"], root["threshold"]) == ("x", 19.5)
+
+
+def brute_rules(axes, values):
+    """For each rule that flags a row (nulls are NaN): its bounds and the rows it flags."""
+    found = {}
+    sides = [[(lo, hi) for lo in a.lower for hi in a.upper if lo <= hi] if a.op == "band" else [(b,) for b in a.bounds] for a in axes]
+    compare = {">=": np.greater_equal, "<=": np.less_equal, "<": np.less}
+    hits = [[(v >= b[0]) & (v < b[1]) if a.op == "band" else compare[a.op](v, b[0]) for b in s] for a, s, v in zip(axes, sides, values, strict=True)]
+    for rule in itertools.product(*(range(len(s)) for s in sides)):
+        hit = np.logical_and.reduce([h[k] for h, k in zip(hits, rule, strict=True)])
+        if hit.any():
+            found[tuple(x for s, k in zip(sides, rule, strict=True) for x in s[k])] = hit
+    return math.prod(map(len, sides)), found
+
+
+def test_whole_surface_equals_brute_force(spark):
+    rnd = random.Random(3)
+    rows = [("s", None if k % 9 == 0 else float(rnd.choice(range(100, 1500, 25))), rnd.choice([0.1, 0.35, 0.7, 0.95, 1.0]), rnd.choice([0.0, 0.05, 0.62, 1.5, 3.97]), rnd.random() < 0.4) for k in range(12)]
+    df = spark.createDataFrame(rows, "state string, fsearn double, rawben_rel double, shelter_ratio double, pos boolean")
+    table = [np.array([np.nan if r[k] is None else r[k] for r in rows]) for k in (1, 2, 3)]
+    size, want = brute_rules(R.SURFACE_RUN, table)
+    pos = np.array([r[4] for r in rows])
+    assert size == 23 * 19 * 81
+    got = {tuple(r[n] for n in K.bounds_of(R.SURFACE_RUN)): (r["tp"], r["fp"]) for r in K.pr_surface(df, R.SURFACE_RUN, "state", F.col("pos")).collect()}
+    assert got == {k: (int((h & pos).sum()), int((h & ~pos).sum())) for k, h in want.items()}
+
+
+@pytest.mark.parametrize("axes, size", [(R.EARNED_DEFAULT, 162_162), (R.UNEARNED_DEFAULT, 509_652), (R.UNDERPAID_DEFAULT, 7_722), (R.EARNED_RUN, 11 * 13 * 21 * 2), (R.UNEARNED_RUN, 11 * 120 * 13), (R.UNDERPAID_RUN, 13 * 153 * 21)])
+def test_whole_grids_equal_brute_force(spark, axes, size):
+    rnd = random.Random(4)
+    marks = [a.marks for a in axes]
+    rows = [(["overissuance", "amount correct"][k % 2], 60.0, 1.0, *(rnd.choice(m) + rnd.choice([0.0, 0.01]) for m in marks)) for k in range(4)]
+    df = spark.createDataFrame([("s", *r) for r in rows], "state string, status string, amterr double, fywgt double, " + ", ".join(f"{a.column} double" for a in axes))
+    whole, want = brute_rules(axes, [np.array([r[3 + k] for r in rows]) for k in range(len(axes))])
+    got = {tuple(r[n] for n in K.bounds_of(axes)): r["n_flagged"] for r in K.mine_rules(df, axes, min_dollars=0).collect()}
+    assert whole == size and got == {k: int(h.sum()) for k, h in want.items()}
