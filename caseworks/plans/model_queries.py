@@ -75,6 +75,9 @@ each("l12_tree_graphs", None, dot_files)
 
 NUMBERS = ["fsearn", "fsunearn", "fssltexp", "fsusize", "fstotded"]
 
+#: Trees of the forests m01 and m03 (m02 has twice as many), and folds of all three; the penalties that m11 compares.
+TREES, FOLDS, PENALTIES = 500, 5, [0.0, *(10.0 ** (-6 + k / 3) for k in range(19))]
+
 
 def labelled(spark, d, seed: int = 1, k: int = 4):
     """Cases with a 0/1 label for a counted payment error and a fold."""
@@ -86,12 +89,12 @@ def scores(spark, rows, *kinds: str):
 
 
 MD5_FOLD = "(row_number() OVER (PARTITION BY CAST(over_threshold = 1 AS INTEGER) ORDER BY md5('1:' || CAST(case_id AS VARCHAR)), case_id) - 1)"
-each("m01_forest_regression", None, lambda s, d: scores(s, [(M.fold_error(M.vectors(labelled(s, d, k=2), NUMBERS, c("amterr")), M.RandomForestRegressor(numTrees=20, seed=1), 2),)], "rmse", "double"))
-each("m01_forest_importance", None, lambda s, d: scores(s, [(n, float(v)) for n, v in zip(NUMBERS, M.forest_regression(M.vectors(labelled(s, d), NUMBERS, c("amterr")), 20).featureImportances.toArray(), strict=True)], "variable", "string", "importance", "double"))
-each("m02_forest_classification", None, lambda s, d: scores(s, [(M.fold_area(M.vectors(labelled(s, d, k=2), NUMBERS, c("error")), M.forest_classifier(20, "auto", 5), 2),)], "area_under_pr", "double"))
-each("m03_ablation", None, lambda s, d: scores(s, M.ablation(labelled(s, d, k=2), NUMBERS[:3], c("amterr"), M.RandomForestRegressor(numTrees=5, seed=1), 2), "left_out", "string", "rmse", "double"))
-each("m04_forest_specification", None, lambda s, d: M.forest_classifier(30, "all", 30).fit(M.vectors(labelled(s, d), NUMBERS, c("error"))).transform(M.vectors(labelled(s, d), NUMBERS, c("error"))).select("case_id", M.probability().alias("p")))
-each("m05_boosted_trees", None, lambda s, d: M.boosted_classifier(5, 3).fit(M.vectors(labelled(s, d), NUMBERS, c("error"))).transform(M.vectors(labelled(s, d), NUMBERS, c("error"))).select("case_id", M.probability().alias("p")))
+each("m01_forest_regression", None, lambda s, d: scores(s, [(M.fold_error(M.vectors(labelled(s, d, k=FOLDS), NUMBERS, c("amterr")), M.RandomForestRegressor(numTrees=TREES, seed=1), FOLDS),)], "rmse", "double"))
+each("m01_forest_importance", None, lambda s, d: scores(s, [(n, float(v)) for n, v in zip(NUMBERS, M.forest_regression(M.vectors(labelled(s, d), NUMBERS, c("amterr"))).featureImportances.toArray(), strict=True)], "variable", "string", "importance", "double"))
+each("m02_forest_classification", None, lambda s, d: scores(s, [(M.fold_area(M.vectors(labelled(s, d, k=FOLDS), NUMBERS, c("error")), M.forest_classifier(2 * TREES, "3", 14), FOLDS),)], "area_under_pr", "double"))
+each("m03_ablation", None, lambda s, d: scores(s, M.ablation(labelled(s, d, k=FOLDS), NUMBERS, c("amterr"), M.RandomForestRegressor(numTrees=TREES, seed=1), FOLDS), "left_out", "string", "rmse", "double"))
+each("m04_forest_specification", None, lambda s, d: M.forest_classifier(per_split="all").fit(M.vectors(labelled(s, d), NUMBERS, c("error"))).transform(M.vectors(labelled(s, d), NUMBERS, c("error"))).select("case_id", M.probability().alias("p")))
+each("m05_boosted_trees", None, lambda s, d: M.boosted_classifier(depth=8).fit(M.vectors(labelled(s, d), NUMBERS, c("error"))).transform(M.vectors(labelled(s, d), NUMBERS, c("error"))).select("case_id", M.probability().alias("p")))
 
 
 def multinomial(spark, d):
@@ -120,8 +123,8 @@ each("m10_stratified_split", f"SELECT case_id, {MD5_FOLD} % 4 < 3 AS train FROM
 
 
 def tuned(spark, d):
-    model = M.tuned(M.vectors(labelled(spark, d), NUMBERS, c("error")), M.LogisticRegression(maxIter=20), {"regParam": [0.0, 0.1]}, k=2)
-    return scores(spark, [(float(p), float(a)) for p, a in zip([0.0, 0.1], model.avgMetrics, strict=True)], "penalty", "double", "area_under_roc", "double")
+    model = M.tuned(M.vectors(labelled(spark, d), NUMBERS, c("error")), M.LogisticRegression(), {"regParam": PENALTIES})
+    return scores(spark, [(float(p), float(a)) for p, a in zip(PENALTIES, model.avgMetrics, strict=True)], "penalty", "double", "area_under_roc", "double")
 
 
 each("m11_tuning", None, tuned)

@@ -7,8 +7,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from caseworks.functions import semantics as S
-from caseworks.operators import features as X, rules as K, trees as T
-from caseworks.plans import rule_queries as R
+from caseworks.operators import features as X, models as M, rules as K, trees as T
+from caseworks.plans import model_queries as Q, rule_queries as R
+from caseworks.plans.registry import QUERIES
 from caseworks.sources import case_view as V
 
 DATA = "/root/testdata/sf0.001"
@@ -149,3 +150,25 @@ def test_whole_grids_equal_brute_force(spark, axes, size):
     whole, want = brute_rules(axes, [np.array([r[3 + k] for r in rows]) for k in range(len(axes))])
     got = {tuple(r[n] for n in K.bounds_of(axes)): r["n_flagged"] for r in K.mine_rules(df, axes, min_dollars=0).collect()}
     assert whole == size and got == {k: int(h.sum()) for k, h in want.items()}
+
+
+def test_model_queries_fit_the_whole_job(spark, monkeypatch):
+    seen = []
+
+    def fit(self, rows, params=None):
+        seen.append({p.name: v for p, v in self.extractParamMap().items()})
+        raise InterruptedError
+
+    for kind in (M.RandomForestRegressor, M.RandomForestClassifier, M.GBTClassifier, M.CrossValidator):
+        monkeypatch.setattr(kind, "fit", fit)
+    for name in ("m01_forest_regression", "m01_forest_importance", "m02_forest_classification", "m03_ablation", "m04_forest_specification", "m05_boosted_trees", "m11_tuning"):
+        with pytest.raises(InterruptedError):
+            QUERIES[name](spark, DATA)
+    assert [s.get("numTrees") for s in seen[:5]] == [500, 500, 1000, 500, 2500]
+    assert (seen[5]["maxIter"], seen[5]["maxDepth"], len(seen[6]["estimatorParamMaps"]), seen[6]["numFolds"]) == (1500, 8, 20, 5)
+
+
+def test_ablation_leaves_out_every_number(spark, monkeypatch):
+    monkeypatch.setattr(Q, "TREES", 1)
+    monkeypatch.setattr(Q, "FOLDS", 2)
+    assert [r["left_out"] for r in QUERIES["m03_ablation"](spark, DATA).collect()] == ["none", *Q.NUMBERS]
