@@ -1,10 +1,14 @@
-"""Connected components by alternating large-star and small-star steps on tables of links."""
+"""Connected components by alternating large-star and small-star steps on tables of links.
+
+Behaviour at the edges: links that repeat, or come either way round, count once; a link of a node with itself, or with a null, is no link;
+without links the result has no rows; columns other than u and v are ignored. Nodes are compared as Spark orders them.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from caseworks.llm.workspace import discard, settle, table_path
+from caseworks.llm.workspace import drop, settle
 
 
 def _both_ways(links: DataFrame) -> DataFrame:
@@ -27,8 +31,8 @@ def small_star(links: DataFrame) -> DataFrame:
 
 def components(links: DataFrame) -> DataFrame:
     """(u, v) for each node u that is not the smallest of its component, with the smallest, v. links has pairs (u, v), u <> v, either way round."""
-    spark = links.sparkSession
-    now = settle(links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
+    real = links.filter("u <> v")  # drops nulls, too
+    now = settle(real.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
     seen = None
     while True:
         marks = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
@@ -36,5 +40,5 @@ def components(links: DataFrame) -> DataFrame:
             return now
         seen = marks
         after = settle(small_star(large_star(now)), "links")
-        discard(spark, table_path(now))
+        drop(now)
         now = after

@@ -1,55 +1,64 @@
 """Language-model scoring: a causal self-attention model over subword ids, trained and run in numpy.
 
 A text is its words, A-Z in lower case, each led by a space and encoded by the lowest ranks of a public byte-level vocabulary; an end
-mark begins and ends the sequence. One attention layer looks back over a window. Queries and keys depend on the subword alone, distances enter as
-a bias, so all scores come from one table. The output is a two-level softmax (group, then member). Windows overlap by half: each
-token is scored once, with at least a stride of context where there is as much.
+mark begins and ends the sequence. A subword enters the model as its own vector and hashed vectors of the last two and three subwords. One
+attention layer looks back over a window: queries meet keys, distances are a learned bias, what lies ahead is masked. The output is a
+two-level softmax (group, then member). Windows overlap by half: each token is scored once, with at least a stride of context where there
+is as much. The score of a text is the sum of these logarithms and nothing else.
 
-All windows of every training document train the model, once at least; documents move in runs of windows, which hash spreads over rounds and chance over tasks.
-Tasks train on their share from common weights, and the weights are averaged, round by round. Word by word, the model's probability is mixed (SHARE) with the share of that word among all training words; a word's probability is that of its subwords, given that a word begins, times that of another beginning after it, so that the
-mixture is a distribution over words. Beside the score stands a smoothed unigram score from exact counts of all words in all training
-documents: the counts of the FREQUENT commonest words (a bounded list) are sent to all tasks, the other words meet their counts in a join, where their part of both scores is added.
+Every window of every training text trains the model. Texts are dealt over rounds by hash; in a round each task trains on its share from
+common weights, and the weights are then averaged, rows of the tables by how much each task has learned about them. Texts are read again
+each round, so that no table of windows is written. The same passes count the words. Beside the score stands a smoothed unigram score from
+exact counts of all words in all training documents: the counts of the FREQUENT commonest words (a bounded list) are sent to all tasks, the
+other words meet their counts in a join. The list is a matter of speed: no result depends on it.
 
 Behaviour at the edges: null text counts as empty and has the end mark only; rows without identifier are training rows; rows that repeat
-are counted and scored each; without training rows the counts are 0 and the model is its initial one; empty tables give no rows.
+are counted and scored each; texts of any length are cut into windows and never shortened; equal counts at the edge of the list go in or
+stay out together; columns other than doc_id and text are ignored, whatever their names; without training rows the counts are 0 and the model is its initial one; empty
+tables give no rows.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
-from functools import lru_cache
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import tiktoken
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from caseworks.llm.bpe import PrefixEncoder, read_ranks
-from caseworks.llm.workspace import discard, fresh_path, settle, ship, table_path
+from caseworks.llm.bpe import read_ranks
+from caseworks.llm.memory import held
+from caseworks.llm.workspace import drop, settle, ship
 
-#: So many ranks and the end mark fill the groups of the output: first those that can begin a word, then, in groups of their own, the others.
-RANKS = 991
-GROUPS, MEMBERS, WIDTH, STRIDE = 33, 32, 24, 8
+#: So many ranks and the end mark fill the groups of the output.
+RANKS = 4095
+GROUPS, MEMBERS, WIDTH, KEY, STRIDE = 64, 64, 24, 8, 8
 VOCAB = GROUPS * MEMBERS
-#: Commonest words whose counts are sent to every task.
-FREQUENT = 200_000
-WORDS_KEPT = 250_000
-#: Windows in a row that move together; rounds, each on its part of the runs; windows that one task trains on in a round, and its least number of steps.
-RUN, TRAIN_ROUNDS, PER_TASK, LEAST_STEPS, BATCH = 64, 4, 25_600, 200, 128
-COUNTS_HELD = 400_000
-FAN_IN = 32
-#: Windows whose states, and whose output, are computed in one go: as many as caches hold.
-STATE_CHUNK, CHUNK = 512, 2048
-#: Share of the attention model in the mixture.
-SHARE = 0.15
-END = 0
-PAD = VOCAB
+#: Rows for hashed pairs and triples of subwords.
+PAIRS, TRIPLES = 1 << 15, 1 << 16
+#: Commonest words whose counts are sent to every task; words of which a task remembers the subwords.
+FREQUENT, WORDS_KEPT = 200_000, 250_000
+#: Windows of a step, at most and at least; windows that a task holds to mix them; times that windows which all fit there are gone through.
+BATCH, SMALL_BATCH, MIXED, PASSES = 1024, 64, 65_536, 3
+#: Learning rate of each round; rates of tables relative to it.
+RATES, TABLE_RATE = (0.02, 0.015, 0.008, 0.003), 20.0
+#: Bytes of text for each training task, over all rounds.
+TASK_BYTES = 16_000_000
+FAN_IN = 16
+#: Texts handled, and windows scored, in one go: as many as caches hold.
+TEXTS, CHUNK = 128, 512
+END, PAD = 0, VOCAB
 #: Bound on logits: exponentials of as much stay finite in single precision.
-LARGEST = 60.0
-SHAPES = {"e": (VOCAB, WIDTH), "q": (VOCAB, WIDTH), "k": (VOCAB, WIDTH), "u": (VOCAB, WIDTH), "r": (2 * STRIDE,), "wg": (WIDTH, GROUPS), "bg": (GROUPS,), "wm": (GROUPS, WIDTH, MEMBERS), "bm": (GROUPS, MEMBERS)}
+LARGEST = np.float32(60)
+DENSE = {"r": (2 * STRIDE,), "wg": (WIDTH, GROUPS), "bg": (GROUPS,), "wm": (GROUPS, WIDTH, MEMBERS), "bm": (GROUPS, MEMBERS)}
+#: Tables of vectors; own and context end with a query and a key.
+TABLES = {"own": (VOCAB + 1, WIDTH + KEY), "context": (VOCAB + 1, WIDTH + KEY), "two": (PAIRS, WIDTH), "three": (TRIPLES, WIDTH)}
+_BACK, _AT = np.arange(STRIDE)[:, None] + STRIDE, np.arange(2 * STRIDE)[None, :]
+DISTANCE, CAUSAL = np.clip(_BACK - _AT, 0, None), _AT <= _BACK
 
 
 def word_hash(word: bytes) -> int:
@@ -59,422 +68,487 @@ def word_hash(word: bytes) -> int:
 END_HASH = word_hash(b"\n end")
 
 
-class Subwords(dict):
-    """Ids of a word as little-endian 16-bit bytes; the vocabulary is the lowest ranks that leave one id for the end mark."""
+def encoding(path: str, pattern: str) -> tiktoken.Encoding:
+    """Encoder of words by the lowest ranks. Ids are ranks; the model's are one more, as the end mark is the first."""
+    return held(f"lm {path}", lambda: tiktoken.Encoding("lowest", pat_str=pattern, mergeable_ranks={t: r for t, r in read_ranks(path).items() if r < RANKS}, special_tokens={}))
 
-    def __init__(self, path: str, pattern: str):
-        super().__init__()
-        lowest = {t: r for t, r in read_ranks(path).items() if r < RANKS}
-        self.encoder = PrefixEncoder(lowest, pattern)
-        begins = [r for t, r in lowest.items() if t.startswith(b" ")]
-        others = [r for t, r in lowest.items() if not t.startswith(b" ")]
-        #: Groups whose members begin a word; the end mark is one of them.
-        self.opening = -(-(len(begins) + 1) // MEMBERS)
-        self.slot = np.zeros(RANKS, np.uint16)
-        self.slot[begins] = 1 + np.arange(len(begins))
-        self.slot[others] = self.opening * MEMBERS + np.arange(len(others))
 
-    def __missing__(self, word: bytes) -> bytes:
-        ids = self.encoder.encode(" " + word.decode(errors="replace"))
-        if len(self) >= WORDS_KEPT:
-            self.clear()
-        packed = self[word] = self.slot[ids].astype("<u2").tobytes()
-        return packed
+def sums_by(key: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys (16 bits), and for each the sum of its rows."""
+    order = np.argsort(key, kind="stable")
+    sorted_key, rows = key.take(order), rows.take(order, axis=0)
+    first = np.flatnonzero(np.concatenate([[True], sorted_key[1:] != sorted_key[:-1]]))
+    count = np.diff(np.append(first, len(key)))
+    total = rows.take(first, axis=0)
+    for k in range(1, 4):  # most keys have few rows
+        more = np.flatnonzero(count > k)
+        total[more] += rows.take(first[more] + k, axis=0)
+    many = np.flatnonzero(count > 4)
+    if len(many):
+        edges = np.stack([first[many] + 4, first[many] + count[many]], axis=1).ravel()
+        total[many] += np.add.reduceat(rows, edges if edges[-1] < len(rows) else edges[:-1], axis=0)[::2]
+    return sorted_key[first], total
 
 
-@lru_cache(maxsize=1)
-def _subwords(path: str, pattern: str) -> Subwords:
-    return Subwords(path, pattern)
+class Weights:
+    """Arrays of the model: DENSE ones, TABLES, and for each row of a table what adaptive steps have added up (`seen`)."""
 
+    def __init__(self, dense: dict[str, np.ndarray], tables: dict[str, np.ndarray], seen: dict[str, np.ndarray]):
+        self.dense, self.tables, self.seen = dense, tables, seen
 
-def _add_rows(total: np.ndarray, index: np.ndarray, rows: np.ndarray) -> None:
-    """total[i] += row for each index i and row."""
-    flat = index.ravel()
-    order = np.argsort(flat, kind="stable")
-    ids, begin = np.unique(flat[order], return_index=True)
-    total[ids] += np.add.reduceat(rows.reshape(len(flat), -1)[order], begin, axis=0)
-
+    @classmethod
+    def initial(cls, seed: int = 5) -> Weights:
+        rng = np.random.default_rng(seed)
+        draw = lambda shape, spread: rng.normal(0, spread, shape).astype(np.float32)
+        dense = {k: draw(s, 0.1) if k[0] == "w" else np.zeros(s, np.float32) for k, s in DENSE.items()}
+        tables = {k: draw(s, 0.3) if k in ("own", "context") else np.zeros(s, np.float32) for k, s in TABLES.items()}
+        return cls(dense, tables, {k: np.zeros(s[0], np.float32) for k, s in TABLES.items()})
 
-class Attention:
-    """The model; weights are arrays by the names in SHAPES."""
+    def pack(self) -> bytes:
+        """Tables in half precision, the rest in single."""
+        return b"".join([*(self.dense[k].astype("<f4").tobytes() for k in DENSE), *(self.seen[k].astype("<f4").tobytes() for k in TABLES), *(np.clip(self.tables[k], -6e4, 6e4).astype("<f2").tobytes() for k in TABLES)])
 
-    def __init__(self, weights: dict[str, np.ndarray]):
-        self.w = weights
+    @classmethod
+    def unpack(cls, packed: bytes) -> Weights:
+        at = 0
 
-    @staticmethod
-    def initial(seed: int = 5) -> dict[str, np.ndarray]:
-        rng = np.random.default_rng(seed)
-        return {k: np.zeros(s, np.float32) if k[0] in "rb" else rng.normal(0, 0.1 if k[0] == "w" else 0.3, s).astype(np.float32) for k, s in SHAPES.items()}
+        def some(shape: tuple[int, ...], kind: str) -> np.ndarray:
+            nonlocal at
+            size = int(np.prod(shape))
+            found = np.frombuffer(packed, kind, size, at).reshape(shape).astype(np.float32)
+            at += found.size * np.dtype(kind).itemsize
+            return found
+
+        dense = {k: some(s, "<f4") for k, s in DENSE.items()}
+        seen = {k: some(s[:1], "<f4") for k, s in TABLES.items()}
+        return cls(dense, {k: some(s, "<f2") for k, s in TABLES.items()}, seen)
+
+
+class Mean:
+    """Mean of weights: dense arrays by tokens, rows of tables by what was seen of them since `start`."""
+
+    def __init__(self, start: Weights):
+        self.start, self.n = start, 0.0
+        self.dense = {k: np.zeros(s) for k, s in DENSE.items()}
+        self.tables, self.seen, self.gain = ({k: np.zeros(s if wide else s[0]) for k, s in TABLES.items()} for wide in (True, False, False))
+
+    def add(self, n: float, of: Weights, gains: dict[str, np.ndarray]) -> None:
+        self.n += n
+        for k in DENSE:
+            self.dense[k] += n * of.dense[k]
+        for k in TABLES:
+            self.tables[k] += gains[k][:, None] * of.tables[k]
+            self.seen[k] += gains[k] * of.seen[k]
+            self.gain[k] += gains[k]
+
+    def result(self) -> Weights:
+        seen, tables = {}, {}
+        for k in TABLES:
+            some = self.gain[k] > 0
+            by = np.where(some, self.gain[k], 1)
+            tables[k] = np.where(some[:, None], self.tables[k] / by[:, None], self.start.tables[k]).astype(np.float32)
+            seen[k] = np.where(some, self.seen[k] / by, self.start.seen[k]).astype(np.float32)
+        return Weights({k: (v / self.n).astype(np.float32) for k, v in self.dense.items()}, tables, seen)
+
+
+def hashed(windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of `two` and `three` for each of the last STRIDE inputs of the windows."""
+    last, before, third = (windows[:, STRIDE - k : 2 * STRIDE - k].astype(np.uint32) for k in range(3))
+    pair = last * np.uint32(0x9E3779B1) + before * np.uint32(0x85EBCA6B)
+    pair ^= pair >> np.uint32(15)
+    pair *= np.uint32(0x2C1B3C6D)
+    triple = pair + third * np.uint32(0xC2B2AE35)
+    triple ^= triple >> np.uint32(16)
+    triple *= np.uint32(0x297A2D39)
+    return (pair >> np.uint32(17)).astype(np.uint16).ravel(), (triple >> np.uint32(16)).astype(np.uint16).ravel()
 
-    @staticmethod
-    def pack(weights: dict[str, np.ndarray]) -> np.ndarray:
-        return np.concatenate([weights[k].ravel() for k in SHAPES]).astype(np.float32)
 
-    @staticmethod
-    def unpack(flat: np.ndarray) -> dict[str, np.ndarray]:
-        out, at = {}, 0
-        for k, shape in SHAPES.items():
-            size = int(np.prod(shape))
-            out[k] = flat[at : at + size].reshape(shape).copy()
-            at += size
-        return out
+class Attention:
+    """The model over windows (n, 2 * STRIDE) whose last STRIDE inputs are asked for what follows them."""
 
-    def tables(self) -> None:
-        """What scoring looks up: attention scores of all pairs (the pad's are minus infinity), and values, with a row for the pad."""
-        w = self.w
-        self.pair = np.full((VOCAB + 1, VOCAB + 1), -1e9, np.float32)
-        self.pair[:VOCAB, :VOCAB] = np.clip(w["q"] @ w["k"].T / np.sqrt(WIDTH), -LARGEST, LARGEST)  # so that no maximum need be taken off
-        self.pair[PAD, PAD] = 0  # keeps the softmax of a padded query finite
-        self.value = np.ones((VOCAB + 1, WIDTH + 1), np.float32)  # the last column adds up the attention
-        self.value[:VOCAB, :WIDTH], self.value[PAD, :WIDTH] = w["u"], 0
-        self.own = np.vstack([w["e"], np.zeros((1, WIDTH), np.float32)])
-        i, j = np.arange(STRIDE)[:, None] + STRIDE, np.arange(2 * STRIDE)[None, :]
-        self.bias = np.where(j <= i, w["r"][np.clip(i - j, 0, None)], np.float32(-1e9)).astype(np.float32)
-
-    def hidden(self, windows: np.ndarray) -> np.ndarray:
-        """State after the layer for the last STRIDE inputs of each window."""
-        asks = windows[:, STRIDE:]
-        score = self.pair.ravel().take(asks[:, :, None] * (VOCAB + 1) + windows[:, None, :])
-        score += self.bias
-        np.exp(score, out=score)
-        summed = score @ self.value[windows]
-        return self.own[asks] + summed[:, :, :WIDTH] / summed[:, :, WIDTH:]
-
-    @staticmethod
-    def _bounded(logits: np.ndarray, bias: np.ndarray) -> np.ndarray:
-        logits += bias
-        return np.minimum(logits, LARGEST, out=logits) if logits.size and logits.max() > LARGEST else logits
-
-    def log_probabilities(self, hidden: np.ndarray, targets: np.ndarray, opening: int) -> tuple[np.ndarray, np.ndarray]:
-        """Natural logarithms of each target's probability and of that of any word's beginning there; hidden has a row for each target."""
-        w = self.w
-        order = np.argsort((targets // MEMBERS).astype(np.uint8), kind="stable")
-        hidden, targets = hidden[order], targets[order]
-        group, rows = targets // MEMBERS, np.arange(len(targets))
-        logits = self._bounded(hidden @ w["wg"], w["bg"])
-        own = logits[rows, group]
-        np.exp(logits, out=logits)
-        ones = np.ones(max(GROUPS, MEMBERS), np.float32)
-        total = np.log(logits @ ones[:GROUPS])
-        out, begin = own - total, np.log(logits[:, :opening] @ ones[:opening]) - total
+    def __init__(self, weights: Weights):
+        self.w = weights
+        self.blank = np.zeros(VOCAB + 1, np.float32)
+        self.blank[PAD] = -1e9
+
+    def states(self, windows: np.ndarray) -> tuple[np.ndarray, ...]:
+        """State after the layer for each asking input, one after another, and what led to it."""
+        tables, asks = self.w.tables, windows[:, STRIDE:]
+        own, context = tables["own"].take(asks, axis=0), tables["context"].take(windows, axis=0)
+        two, three = hashed(windows)
+        share = own[:, :, WIDTH:] @ context[:, :, WIDTH:].transpose(0, 2, 1)
+        share += np.where(CAUSAL, self.w.dense["r"][DISTANCE], np.float32(-1e9))
+        share += self.blank.take(windows)[:, None, :]
+        np.exp(np.minimum(share, LARGEST, out=share), out=share)
+        share /= share.sum(axis=2, keepdims=True) + np.float32(1e-30)
+        state = share @ context[:, :, :WIDTH]
+        state += own[:, :, :WIDTH]
+        state = state.reshape(-1, WIDTH)
+        state += tables["two"].take(two, axis=0)
+        state += tables["three"].take(three, axis=0)
+        return state, own, context, share, two, three
+
+    def head(self, state: np.ndarray, targets: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Natural logarithm of each target's probability, in order of the targets' groups, that order, and what led to them."""
+        dense = self.w.dense
+        order = np.argsort((targets // MEMBERS).astype(np.uint16), kind="stable")
+        state, targets = state.take(order, axis=0), targets.take(order)
+        group, member, rows = targets // MEMBERS, targets % MEMBERS, np.arange(len(targets))
+        outer = state @ dense["wg"]
+        outer += dense["bg"]
+        np.exp(np.minimum(outer, LARGEST, out=outer), out=outer)
+        outer_sum = outer @ np.ones(GROUPS, np.float32)
         edges = np.searchsorted(group, np.arange(GROUPS + 1))
+        inner = np.empty((len(targets), MEMBERS), state.dtype)
         for g in range(GROUPS):
             a, b = edges[g], edges[g + 1]
             if b > a:
-                inner = self._bounded(hidden[a:b] @ w["wm"][g], w["bm"][g])
-                own = inner[rows[: b - a], targets[a:b] % MEMBERS]
-                out[a:b] += own - np.log(np.exp(inner, out=inner) @ ones[:MEMBERS])
-        back = np.empty(len(order), np.int64)
-        back[order] = rows
-        return out[back], begin[back]
-
-    def gradient(self, windows: np.ndarray, targets: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
-        """Mean loss of windows (n, 2 * STRIDE) and targets (n, STRIDE; PAD where there is none), and its gradient."""
-        w, root = self.w, np.float32(np.sqrt(WIDTH))
-        x = np.minimum(windows, VOCAB - 1)
-        blank = windows == PAD
-        asks = x[:, STRIDE:]
-        q, k, u = w["q"][asks], w["k"][x], w["u"][x] * ~blank[:, :, None]
-        i, j = np.arange(STRIDE)[:, None] + STRIDE, np.arange(2 * STRIDE)[None, :]
-        distance, causal = np.clip(i - j, 0, None), j <= i
-        score = q @ k.transpose(0, 2, 1) / root + w["r"][distance]
-        score = np.where(causal & ~blank[:, None, :], score, np.float32(-1e9))
-        score = np.exp(score - score.max(axis=2, keepdims=True))
-        alpha = score / score.sum(axis=2, keepdims=True)
-        h = (w["e"][asks] + alpha @ u).reshape(-1, WIDTH)
-        flat = targets.ravel()
-        live = np.flatnonzero((flat != PAD) & ~blank[:, STRIDE:].ravel())
-        hv, t = h[live], flat[live]
-        g, m, rows = t // MEMBERS, t % MEMBERS, np.arange(len(t))
-        soft = lambda z: (lambda y: y / y.sum(axis=1, keepdims=True))(np.exp(z - z.max(axis=1, keepdims=True)))
-        pg = soft(hv @ w["wg"] + w["bg"])
-        inner = w["wm"][g]
-        pm = soft(np.einsum("nd,ndm->nm", hv, inner) + w["bm"][g])
-        loss = -float(np.mean(np.log(pg[rows, g] + 1e-12) + np.log(pm[rows, m] + 1e-12))) if len(t) else 0.0
-        n = np.float32(max(1, len(t)))
-        pg[rows, g] -= 1
-        pm[rows, m] -= 1
-        pg, pm = pg / n, pm / n
-        out = {name: np.zeros(shape, np.float32) for name, shape in SHAPES.items()}
-        out["wg"], out["bg"] = hv.T @ pg, pg.sum(axis=0)
-        order = np.argsort(g, kind="stable")
-        edges = np.searchsorted(g[order], np.arange(GROUPS + 1))
-        for at in range(GROUPS):
-            mine = order[edges[at] : edges[at + 1]]
-            out["wm"][at], out["bm"][at] = hv[mine].T @ pm[mine], pm[mine].sum(axis=0)
-        dh = np.zeros_like(h)
-        dh[live] = pg @ w["wg"].T + np.einsum("nm,ndm->nd", pm, inner)
-        dh = dh.reshape(len(windows), STRIDE, WIDTH)
-        _add_rows(out["e"], asks, dh)
-        da = dh @ u.transpose(0, 2, 1)
-        _add_rows(out["u"], x, (alpha.transpose(0, 2, 1) @ dh) * ~blank[:, :, None])
-        ds = alpha * (da - (alpha * da).sum(axis=2, keepdims=True))
-        np.add.at(out["r"], distance, ds.sum(axis=0) * causal)
-        _add_rows(out["q"], asks, ds @ k / root)
-        _add_rows(out["k"], x, ds.transpose(0, 2, 1) @ q / root)
-        return loss, out
-
-
-def train_locally(weights: dict[str, np.ndarray], windows: np.ndarray, seed: int, rate: float) -> dict[str, np.ndarray]:
-    """Adam over the windows (n, 3 * STRIDE: inputs, then targets), as often as it takes for LEAST_STEPS steps."""
-    model, rng = Attention({k: v.copy() for k, v in weights.items()}), np.random.default_rng(seed)
-    first, second = ({k: np.zeros_like(v) for k, v in weights.items()} for _ in range(2))
-    step, per_pass = 0, -(-len(windows) // BATCH)
-    total = per_pass * max(1, -(-LEAST_STEPS // per_pass))
-    while step < total:
-        order = rng.permutation(len(windows))
-        for start in range(0, len(order), BATCH):
-            part = windows[order[start : start + BATCH]].astype(np.int32)
-            _, slope = model.gradient(part[:, : 2 * STRIDE], part[:, 2 * STRIDE :])
-            step += 1
-            for k, g in slope.items():
-                first[k] += 0.1 * (g - first[k])
-                second[k] += 0.02 * (g * g - second[k])
-                model.w[k] -= np.float32(rate * (1 - 0.9 * step / total)) * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.98**step)) + 1e-8)
-    return model.w
-
-
-def sequence(packed: bytes) -> np.ndarray:
-    """Inputs of a text: the end mark, then the ids. The targets are the ids, then the end mark."""
-    return np.concatenate([[END], np.frombuffer(packed, "<u2"), [END]]).astype(np.int32)
-
-
-def blocks(seq: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Overlapping windows of a sequence (n, 2 * STRIDE) and the targets that each scores (n, STRIDE)."""
-    inputs, targets = seq[:-1], seq[1:]
-    n = -(-len(inputs) // STRIDE)
-    padded = np.full((n + 1) * STRIDE, PAD, np.int32)
-    padded[STRIDE : STRIDE + len(inputs)] = inputs
-    goals = np.full(n * STRIDE, PAD, np.int32)
-    goals[: len(targets)] = targets
-    parts = padded.reshape(n + 1, STRIDE)
-    return np.concatenate([parts[:-1], parts[1:]], axis=1), goals.reshape(n, STRIDE)
-
-
-def runs(seq: np.ndarray) -> list[bytes]:
-    """The windows of a sequence in runs of at most RUN, each as the ids of its windows without overlap, led by a stride of context, and one last target."""
-    n = -(-(len(seq) - 1) // STRIDE)
-    padded = np.full((n + 1) * STRIDE + 1, PAD, "<u2")
-    padded[STRIDE : STRIDE + len(seq)] = seq
-    return [padded[a * STRIDE : (min(n, a + RUN) + 1) * STRIDE + 1].tobytes() for a in range(0, n, RUN)]
-
-
-def windows_of(run: bytes) -> np.ndarray:
-    """Windows of a run as blocks() gives them, each followed by its targets (n, 3 * STRIDE)."""
-    ids = np.frombuffer(run, "<u2")
-    goals = ids[1:]
-    parts = np.where(goals == PAD, PAD, ids[:-1]).astype(np.uint16).reshape(-1, STRIDE)  # an end mark that nothing follows is no input
-    return np.concatenate([parts[:-1], parts[1:], goals.reshape(-1, STRIDE)[1:]], axis=1)
-
-
-def held_out(doc_id: Column, parts: int = 10, part: int = 0) -> Column:
-    return F.coalesce(F.crc32(doc_id.cast("string")) % parts == part, F.lit(False))
-
+                np.matmul(state[a:b], dense["wm"][g], out=inner[a:b])
+                inner[a:b] += dense["bm"][g]
+        np.exp(np.minimum(inner, LARGEST, out=inner), out=inner)
+        inner_sum = inner @ np.ones(MEMBERS, np.float32)
+        logs = np.log(outer[rows, group] / outer_sum) + np.log(inner[rows, member] / inner_sum + np.float32(1e-35))
+        return logs, order, state, group, member, outer, outer_sum, inner, inner_sum, edges
+
+    def log_probabilities(self, windows: np.ndarray, targets: np.ndarray) -> np.ndarray:
+        """Of each target (n, STRIDE), one after another; 0 where there is none."""
+        targets, out = targets.ravel(), np.zeros(targets.size)
+        live = np.flatnonzero(targets != PAD)
+        logs, order, *_ = self.head(self.states(windows)[0].take(live, axis=0), targets.take(live))
+        out[live[order]] = logs
+        return out
 
-def gather(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """From training texts: rows (hash, n) of word counts, several for a word, and rows (run) of all windows for training, in one table."""
-    ship(docs.sparkSession)
+    def gradient(self, windows: np.ndarray, targets: np.ndarray) -> tuple[float, dict[str, np.ndarray], dict[str, tuple[np.ndarray, np.ndarray]]]:
+        """Mean loss, the slopes of dense arrays, and for each table the rows that matter with their slopes."""
+        dense = self.w.dense
+        state, own, context, share, two, three = self.states(windows)
+        targets = targets.ravel()
+        live = np.flatnonzero(targets != PAD)
+        logs, order, held_state, group, member, outer, outer_sum, inner, inner_sum, edges = self.head(state.take(live, axis=0), targets.take(live))
+        n, rows, slope = np.float32(max(1, len(live))), np.arange(len(live)), {}
+        outer *= (1 / (n * outer_sum))[:, None]
+        outer[rows, group] -= 1 / n
+        inner *= (1 / (n * inner_sum))[:, None]
+        inner[rows, member] -= 1 / n
+        slope["wg"], slope["bg"] = held_state.T @ outer, outer.sum(axis=0)
+        back = outer @ dense["wg"].T
+        slope["wm"], slope["bm"] = np.zeros_like(dense["wm"]), np.zeros_like(dense["bm"])
+        for g in range(GROUPS):
+            a, b = edges[g], edges[g + 1]
+            if b > a:
+                slope["wm"][g], slope["bm"][g] = held_state[a:b].T @ inner[a:b], inner[a:b].sum(axis=0)
+                back[a:b] += inner[a:b] @ dense["wm"][g].T
+        of_state = np.zeros_like(state)
+        of_state[live[order]] = back
+        by_window = of_state.reshape(-1, STRIDE, WIDTH)
+        of_share = by_window @ context[:, :, :WIDTH].transpose(0, 2, 1)
+        of_share -= (of_share * share).sum(axis=2, keepdims=True)
+        of_share *= share
+        slope["r"] = np.bincount(DISTANCE[CAUSAL], of_share.sum(axis=0)[CAUSAL], 2 * STRIDE).astype(np.float32)
+        of_own, of_context = np.empty_like(own), np.empty_like(context)
+        of_own[:, :, :WIDTH] = by_window
+        np.matmul(of_share, context[:, :, WIDTH:], out=of_own[:, :, WIDTH:])
+        np.matmul(share.transpose(0, 2, 1), by_window, out=of_context[:, :, :WIDTH])
+        np.matmul(of_share.transpose(0, 2, 1), own[:, :, WIDTH:], out=of_context[:, :, WIDTH:])
+        wide = WIDTH + KEY
+        touched = {
+            "own": sums_by(windows[:, STRIDE:].astype(np.uint16).ravel(), of_own.reshape(-1, wide)), "context": sums_by(windows.astype(np.uint16).ravel(), of_context.reshape(-1, wide)),
+            "two": sums_by(two, of_state), "three": sums_by(three, of_state),
+        }
+        return -float(logs.mean()) if len(live) else 0.0, slope, touched
+
+
+class Learner:
+    """Trains on windows (n, 3 * STRIDE: inputs, then targets) as they come: Adam for dense arrays, AdaGrad by rows for tables."""
+
+    def __init__(self, weights: Weights, rate: float, seed: int):
+        self.model, self.rate, self.rng = Attention(weights), rate, np.random.default_rng(seed)
+        self.before = {k: v.copy() for k, v in weights.seen.items()}
+        self.first, self.second, self.room = ({k: np.zeros_like(v) for k, v in weights.dense.items()} for _ in range(3))
+        self.steps, self.windows, self.waiting, self.ready, self.losses = 0, 0, [], 0, []
+
+    def add(self, windows: np.ndarray) -> None:
+        self.waiting.append(windows)
+        self.ready += len(windows)
+        if self.ready >= MIXED:
+            self._go_through(1)
+
+    def finish(self) -> None:
+        if self.ready:
+            self._go_through(1 if self.steps else PASSES)
+
+    def _go_through(self, passes: int) -> None:
+        held = np.concatenate(self.waiting)
+        self.waiting, self.ready, self.windows = [], 0, self.windows + len(held)
+        size = int(np.clip(len(held) // 32, SMALL_BATCH, BATCH))
+        for _ in range(passes):
+            order = self.rng.permutation(len(held))
+            for start in range(0, len(order), size):
+                part = held.take(order[start : start + size], axis=0).astype(np.int32)
+                self._step(part[:, : 2 * STRIDE], part[:, 2 * STRIDE :])
+
+    def _step(self, windows: np.ndarray, targets: np.ndarray) -> None:
+        weights = self.model.w
+        loss, slope, touched = self.model.gradient(windows, targets)
+        self.steps += 1
+        self.losses.append(loss)
+        for k, g in slope.items():
+            first, second, room = self.first[k], self.second[k], self.room[k]
+            first *= np.float32(0.9)
+            first += np.multiply(g, np.float32(0.1), out=room)
+            second *= np.float32(0.98)
+            g *= g
+            second += np.multiply(g, np.float32(0.02), out=room)
+            np.sqrt(np.multiply(second, np.float32(1 / (1 - 0.98**self.steps)), out=room), out=room)
+            room += np.float32(1e-8)
+            np.divide(first, room, out=room)
+            room *= np.float32(self.rate / (1 - 0.9**self.steps))
+            weights.dense[k] -= room
+        n = np.float32((targets != PAD).sum())
+        for k, (rows, g) in touched.items():
+            g *= n
+            seen = weights.seen[k]
+            seen[rows] += np.einsum("ij,ij->i", g, g) / np.float32(g.shape[1])
+            weights.tables[k][rows] -= np.float32(TABLE_RATE * self.rate) * g / np.sqrt(seen[rows] + np.float32(0.01))[:, None]
+
+    def gains(self) -> dict[str, np.ndarray]:
+        return {k: self.model.w.seen[k] - self.before[k] for k in TABLES}
+
+
+def blocks(tokens: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Windows (n, 2 * STRIDE), overlapping by half, and the targets that each scores (n, STRIDE; PAD where there is none).
+
+    tokens holds the targets of all texts one after another, each text's end mark last, lengths how many each text has. The
+    inputs of a text are the end mark and its targets but the last.
+    """
+    parts = -(-lengths // STRIDE)
+    first = np.cumsum(parts) - parts
+    place = np.repeat(first * STRIDE - (np.cumsum(lengths) - lengths), lengths) + np.arange(len(tokens))
+    goals, inputs = (np.full(parts.sum() * STRIDE, PAD, np.int32) for _ in range(2))
+    goals[place] = tokens
+    inputs[place[1:]] = tokens[:-1]
+    inputs[first * STRIDE] = END
+    inputs = inputs.reshape(-1, STRIDE)
+    before = np.concatenate([np.full((1, STRIDE), PAD, np.int32), inputs[:-1]])
+    before[first] = PAD
+    return np.concatenate([before, inputs], axis=1), goals.reshape(-1, STRIDE)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        subwords, counts = _subwords(path, pattern), Counter()
 
-        def told(found: list[bytes]) -> pa.RecordBatch:
-            hashes, numbers = [word_hash(w) for w in counts], [*counts.values()]
-            counts.clear()
-            some = len(hashes)
-            columns = pa.array(hashes + [None] * len(found), pa.int64()), pa.array(numbers + [None] * len(found), pa.int64()), pa.array([None] * some + found, pa.binary())
-            return pa.RecordBatch.from_arrays([*columns], names=["hash", "n", "run"])
+class Words:
+    """Words by number, with arrays of what is looked up for each; number 0 is the end mark."""
 
-        ends = 0
-        for batch in batches:
-            for start in range(0, batch.num_rows, 128):
-                found: list[bytes] = []
-                for text in batch.column(0).slice(start, 128):
-                    words = (text.as_py() or "").encode().lower().split()
-                    counts.update(words)
-                    ends += 1
-                    found += runs(sequence(b"".join(map(subwords.__getitem__, words))))
-                if len(counts) >= COUNTS_HELD:
-                    yield told(found)
-                else:
-                    yield pa.RecordBatch.from_arrays([pa.nulls(len(found), pa.int64()), pa.nulls(len(found), pa.int64()), pa.array(found, pa.binary())], names=["hash", "n", "run"])
-        yield told([])
-        if ends:
-            yield pa.RecordBatch.from_arrays([pa.array([END_HASH], pa.int64()), pa.array([ends], pa.int64()), pa.nulls(1, pa.binary())], names=["hash", "n", "run"])
-
-    return docs.select("text").mapInArrow(run, "hash long, n long, run binary")
-
-
-def train(spark: SparkSession, runs: DataFrame) -> np.ndarray:
-    """Packed weights after rounds of local training and averaging; runs is a settled table (run)."""
-    total = runs.agg(F.coalesce(F.sum(F.floor(F.length("run") / (2 * STRIDE)) - 1), F.lit(0))).first()[0]
-    flat = Attention.pack(Attention.initial())
-    tasks = max(1, -(-total // (PER_TASK * TRAIN_ROUNDS)))
-    if not total:
-        return flat
-    numbered = settle(runs.withColumn("part", F.pmod(F.xxhash64("run"), F.lit(TRAIN_ROUNDS))).repartition(tasks, F.rand(1)), "runs")
-    for turn in range(TRAIN_ROUNDS):
-        dealt = numbered.filter(F.col("part") == turn).select("run")
-        start, rate = spark.sparkContext.broadcast(flat), 0.02 / (1 + turn)
-
-        def learn(batches: Iterator[pa.RecordBatch], start=start, rate=rate) -> Iterator[pa.RecordBatch]:
-            held = [windows_of(run) for run in chain.from_iterable(batch.column(0).to_pylist() for batch in batches)]
-            if held:
-                mine = np.concatenate(held)
-                held.clear()
-                got = Attention.pack(train_locally(Attention.unpack(start.value), mine, 11, rate))
-                yield pa.RecordBatch.from_arrays([pa.array([float(len(mine))]), pa.array([got.tobytes()], pa.binary())], names=["n", "weights"])
-
-        def mean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            n, total = 0.0, None
-            for batch in batches:
-                for size, packed in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                    part = np.frombuffer(packed, np.float32).astype(np.float64) * size
-                    n, total = n + size, part if total is None else total + part
-            if total is not None:
-                yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([(total / n).astype(np.float32).tobytes()], pa.binary())], names=["n", "weights"])
-
-        trained = settle(dealt.coalesce(tasks).mapInArrow(learn, "n double, weights binary"), "weights")
-        left = tasks
-        while left > 1:  # a tree of means: no task sees more than some FAN_IN sets of weights
-            left = -(-left // FAN_IN)
-            merged = settle(trained.repartition(left).mapInArrow(mean, "n double, weights binary"), "weights")
-            discard(spark, table_path(trained))
-            trained = merged
-        found = trained.first()
-        flat = np.frombuffer(found["weights"], np.float32) if found else flat
-    return flat
-
-
-class WordTable:
-    """What scoring looks up for each word, as arrays by a word's number; number 0 is the end mark."""
-
-    def __init__(self, subwords: Subwords, order: np.ndarray, number: np.ndarray, total: int, end: int):
-        self.subwords, self.order, self.number, self.total = subwords, order, number, max(1, total)
+    def __init__(self, encoder: tiktoken.Encoding):
+        self.encoder = encoder
         self.of: dict[bytes, int] = {}
-        self.hash, self.count = np.zeros(1, np.int64), np.zeros(1, np.int64)
-        self.share, self.pool, self.start, self.size = np.array([end / self.total]), np.array([END], np.uint16), np.zeros(1, np.int64), np.ones(1, np.int64)
-
-    def add(self, words: list[bytes]) -> None:
-        hashes = np.array([word_hash(w) for w in words], np.int64)
-        at = np.minimum(np.searchsorted(self.order, hashes), max(0, len(self.order) - 1))
-        hit = self.order[at] == hashes if len(self.order) else np.zeros(len(hashes), bool)
-        counts = np.where(hit, self.number[at], 0) if len(self.order) else np.zeros(len(hashes), np.int64)
-        packed = [self.subwords[w] for w in words]
-        sizes = np.array([len(x) // 2 for x in packed], np.int64)
-        self.of.update(zip(words, range(len(self.hash), len(self.hash) + len(words)), strict=True))
-        self.start = np.concatenate([self.start, len(self.pool) + np.cumsum(sizes) - sizes])
-        self.pool = np.concatenate([self.pool, np.frombuffer(b"".join(packed), "<u2")])
-        self.hash, self.count, self.size = (np.concatenate(pair) for pair in ((self.hash, hashes), (self.count, counts), (self.size, sizes)))
-        self.share = np.concatenate([self.share, counts / self.total])
+        self.hash, self.size, self.start = np.array([END_HASH]), np.ones(1, np.int64), np.zeros(1, np.int64)
+        self.pool, self.used = np.array([END], np.uint16), 1
+
+    def _add(self, words: list[bytes]) -> None:
+        lists = [self.encoder.encode_ordinary(" " + w.decode(errors="replace")) for w in words]
+        sizes = np.fromiter(map(len, lists), np.int64, len(lists))
+        ids = np.fromiter(chain.from_iterable(lists), np.uint16, sizes.sum()) + np.uint16(1)
+        first = len(self.of) + 1
+        self.of.update(zip(words, range(first, first + len(words)), strict=True))
+        last = first + len(words)
+        if last > len(self.hash):  # grow by doubling
+            self.hash, self.size, self.start = (np.concatenate([x, np.zeros(last + len(x), x.dtype)]) for x in (self.hash, self.size, self.start))
+        if self.used + len(ids) > len(self.pool):
+            self.pool = np.concatenate([self.pool, np.zeros(self.used + 2 * len(ids), np.uint16)])
+        self.hash[first:last] = [word_hash(w) for w in words]
+        self.size[first:last] = sizes
+        self.start[first:last] = self.used + np.cumsum(sizes) - sizes
+        self.pool[self.used : self.used + len(ids)] = ids
+        self.used += len(ids)
 
     def numbers(self, texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
         """Numbers of all texts' words one after another, an end mark behind each text, and the number of each text's words and mark."""
-        if new := list({w for words in texts for w in words if w not in self.of}):
-            self.add(new)
+        known = self.of
+        if new := list({w for words in texts for w in words if w not in known}):
+            self._add(new)
         out = np.zeros(sum(map(len, texts)) + len(texts), np.int64)
         at = 0
         for words in texts:
-            out[at : at + len(words)] = np.fromiter(map(self.of.__getitem__, words), np.int64, len(words))
+            out[at : at + len(words)] = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
             at += len(words) + 1
         return out, np.array([len(words) + 1 for words in texts])
 
-    def tokens(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Subwords of words one after another, and how many each word has."""
+    def tokens(self, numbers: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Subwords of the texts one after another, and how many each text has."""
         sizes = self.size[numbers]
-        return self.pool[np.repeat(self.start[numbers] - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())].astype(np.int32), sizes
+        ends = np.cumsum(sizes)
+        tokens = self.pool[np.repeat(self.start[numbers] - (ends - sizes), sizes) + np.arange(sizes.sum())].astype(np.int32)
+        return tokens, np.add.reduceat(sizes, np.cumsum(words) - words)
 
+    @property
+    def full(self) -> bool:
+        return len(self.of) >= WORDS_KEPT
+
+
+def words_of(text: str | None) -> list[bytes]:
+    return (text or "").encode().lower().split()
+
+
+def held_out(doc_id: Column, parts: int = 10, part: int = 0) -> Column:
+    return F.coalesce(F.crc32(doc_id.cast("string")) % parts == part, F.lit(False))
+
+
+LEARNED = "hash long, n long, tokens double, weights binary, gains binary"
 
-def all_blocks(tokens: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """blocks() of many texts at once; tokens holds each text's targets, the end mark last."""
-    parts = -(-lengths // STRIDE)
-    first = np.cumsum(parts) - parts
-    place = np.repeat(first * STRIDE - (np.cumsum(lengths) - lengths), lengths) + np.arange(len(tokens))
-    goals, inputs = (np.full(parts.sum() * STRIDE, PAD, np.int32) for _ in range(2))
-    goals[place] = tokens
-    inputs[place[1:]] = tokens[:-1]
-    inputs[first * STRIDE] = END
-    inputs = inputs.reshape(-1, STRIDE)
-    before = np.concatenate([np.full((1, STRIDE), PAD, np.int32), inputs[:-1]])
-    before[first] = PAD
-    return np.concatenate([before, inputs], axis=1), goals.reshape(-1, STRIDE)
 
+def _learned(hashes: list[int] | np.ndarray = (), n: list[int] | np.ndarray = (), tokens: float | None = None, weights: bytes = b"", gains: bytes = b"") -> pa.RecordBatch:
+    if tokens is None:
+        blank = len(hashes)
+        columns = [pa.array(hashes, pa.int64()), pa.array(n, pa.int64()), pa.nulls(blank, pa.float64()), pa.nulls(blank, pa.binary()), pa.nulls(blank, pa.binary())]
+    else:
+        columns = [pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([tokens]), pa.array([weights], pa.binary()), pa.array([gains], pa.binary())]
+    return pa.RecordBatch.from_arrays(columns, names=["hash", "n", "tokens", "weights", "gains"])
 
-def score(docs: DataFrame, flat: np.ndarray, frequent: dict[int, int], tokens_in_all: int, ends_in_all: int, path: str, pattern: str) -> DataFrame:
-    """For each row (doc_id, held_out, text): a row number, n_tokens, what frequent words add to n_known, the base score and the score, and the other words with the model's probability at each place."""
+
+def _pack_gains(gains: dict[str, np.ndarray]) -> bytes:
+    return b"".join(gains[k].astype("<f4").tobytes() for k in TABLES)
+
+
+def _unpack_gains(packed: bytes) -> dict[str, np.ndarray]:
+    edges = np.cumsum([0, *(s[0] for s in TABLES.values())])
+    flat = np.frombuffer(packed, "<f4")
+    return {k: flat[a:b] for k, a, b in zip(TABLES, edges, edges[1:], strict=False)}
+
+
+def learn(docs: DataFrame, start: bytes, rate: float, path: str, pattern: str) -> DataFrame:
+    """One pass over training texts: rows (hash, n) of word counts, several for a word, and from each task (tokens, weights, gains)."""
+    shared = docs.sparkSession.sparkContext.broadcast(start)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = encoding(path, pattern)
+        learner, words = Learner(Weights.unpack(shared.value), rate, 11), Words(encoder)
+        counts, tokens_seen = np.zeros(1, np.int64), 0
+
+        def told() -> pa.RecordBatch:
+            at = np.flatnonzero(counts)
+            return _learned(words.hash[at], counts[at])
+
+        for batch in batches:
+            for first in range(0, batch.num_rows, TEXTS):
+                texts = [words_of(t.as_py()) for t in batch.column(0).slice(first, TEXTS)]
+                if words.full:
+                    yield told()
+                    words, counts = Words(encoder), np.zeros(1, np.int64)
+                numbers, lengths = words.numbers(texts)
+                here = np.bincount(numbers, minlength=len(counts))
+                here[: len(counts)] += counts
+                counts = here
+                tokens, sizes = words.tokens(numbers, lengths)
+                tokens_seen += len(tokens)
+                windows, goals = blocks(tokens, sizes)
+                learner.add(np.concatenate([windows, goals], axis=1).astype(np.uint16))
+        if tokens_seen:
+            yield told()
+            learner.finish()
+            yield _learned(tokens=float(tokens_seen), weights=learner.model.w.pack(), gains=_pack_gains(learner.gains()))
+
+    return docs.select("text").mapInArrow(run, LEARNED)
+
+
+def averaged(spark: SparkSession, trained: DataFrame, start: bytes, tasks: int) -> bytes:
+    """Mean of the weights in a settled table, by a tree of means: no task sees more than some FAN_IN of them."""
+    shared = spark.sparkContext.broadcast(start)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for batch in batches:
+            for n, packed, gains in zip(*(batch.column(k) for k in range(3)), strict=True):
+                total = total or Mean(Weights.unpack(shared.value))
+                total.add(n.as_py(), Weights.unpack(packed.as_py()), _unpack_gains(gains.as_py()))
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([total.n]), pa.array([total.result().pack()], pa.binary()), pa.array([_pack_gains(total.gain)], pa.binary())], names=["tokens", "weights", "gains"])
+
+    left, now = tasks, trained.filter("weights IS NOT NULL").select("tokens", "weights", "gains")
+    made = None
+    while left > 1:
+        left = -(-left // FAN_IN)
+        after = settle(now.repartition(left).mapInArrow(run, "tokens double, weights binary, gains binary"), "weights")
+        if made is not None:
+            drop(made)
+        now = made = after
+    found = now.select("weights").first()
+    if made is not None:
+        drop(made)
+    return bytes(found["weights"]) if found else start
+
+
+def train(docs: DataFrame, path: str, pattern: str) -> tuple[bytes, DataFrame]:
+    """Packed weights after all rounds, and a settled table (hash, c) of the counts of all words, from training texts."""
+    spark = docs.sparkSession
+    ship(spark)
+    volume = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    tasks = max(1, -(-volume // TASK_BYTES))
+    weights, tables = Weights.initial().pack(), []
+    for turn, rate in enumerate(RATES):
+        share = docs.filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(len(RATES))) == turn).select("text")
+        found = settle(learn(share.coalesce(tasks), weights, rate, path, pattern), "learned")
+        tables.append(found)
+        weights = averaged(spark, found, weights, tasks)
+    every = tables[0]
+    for more in tables[1:]:
+        every = every.unionByName(more)
+    counts = settle(every.filter("hash IS NOT NULL").groupBy("hash").agg(F.sum("n").alias("c")), "word-counts")
+    drop(*tables)
+    return weights, counts
+
+
+def score(docs: DataFrame, weights: bytes, frequent: dict[int, int], path: str, pattern: str) -> DataFrame:
+    """For each row (doc_id, held_out, text): a row number, n_tokens, what frequent words add to n_known and the base score, the other words with their numbers, and the score."""
     ship(docs.sparkSession)
     order = np.array(sorted(frequent), np.int64)
-    shared = docs.sparkSession.sparkContext.broadcast((flat, order, np.array([frequent[h] for h in order.tolist()], np.int64)))
+    shared = docs.sparkSession.sparkContext.broadcast((weights, order, np.array([frequent[h] for h in order.tolist()], np.int64)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        flat, order, number = shared.value
-        subwords, model = _subwords(path, pattern), Attention(Attention.unpack(flat))
-        model.tables()
-        table = WordTable(subwords, order, number, tokens_in_all, ends_in_all)
-
-        def model_chances(numbers: np.ndarray, words: np.ndarray) -> np.ndarray:
-            """The model's probability of each word."""
-            tokens, sizes = table.tokens(numbers)
-            ends = np.cumsum(words) - 1
-            windows, goals = all_blocks(tokens, np.add.reduceat(sizes, ends - words + 1))
-            logs, begins = np.zeros(goals.size), np.zeros(goals.size)
-            for start in range(0, len(windows), CHUNK):
-                w, t = windows[start : start + CHUNK], goals[start : start + CHUNK].ravel()
-                live = np.flatnonzero(t != PAD)
-                at = start * STRIDE + live
-                states = np.concatenate([model.hidden(w[k : k + STATE_CHUNK]) for k in range(0, len(w), STATE_CHUNK)])
-                logs[at], begins[at] = model.log_probabilities(states.reshape(-1, WIDTH)[live], t[live], subwords.opening)
-            live = goals.ravel() != PAD
-            logs, begins = logs[live], begins[live]
-            first = np.cumsum(sizes) - sizes
-            # A word's subwords, given that a word begins, and that another begins after it; nothing follows the end mark.
-            word = np.add.reduceat(logs, first) - begins[first]
-            after = np.append(begins[first][1:], 0.0)
-            after[ends] = 0.0
-            return np.exp(np.minimum(word + after, 0.0))
-
+        packed, order, number = shared.value
+        encoder, model = encoding(path, pattern), Attention(Weights.unpack(packed))
+        words = Words(encoder)
         row = TaskContext.get().partitionId() << 36
         for batch in batches:
-            for start in range(0, batch.num_rows, 128):
-                part = batch.slice(start, 128)
-                texts = [(t.as_py() or "").encode().lower().split() for t in part.column(2)]
-                if len(table.of) > WORDS_KEPT:
-                    table = WordTable(subwords, order, number, tokens_in_all, ends_in_all)
-                numbers, words = table.numbers(texts)
-                begin = np.cumsum(words) - words
-                counts = table.count[numbers]
+            for start in range(0, batch.num_rows, TEXTS):
+                part = batch.slice(start, TEXTS)
+                if words.full:
+                    words = Words(encoder)
+                numbers, lengths = words.numbers([words_of(t.as_py()) for t in part.column(2)])
+                begin = np.cumsum(lengths) - lengths
+                tokens, sizes = words.tokens(numbers, lengths)
+                windows, goals = blocks(tokens, sizes)
+                logs = np.concatenate([model.log_probabilities(windows[k : k + CHUNK], goals[k : k + CHUNK]) for k in range(0, len(windows), CHUNK)])
+                scores = np.add.reduceat(logs[goals.ravel() != PAD], np.cumsum(sizes) - sizes) / np.log(10)
+                # The base: counts of words in the list, and the other words of each text with how often they stand there.
+                keys, back = np.unique(numbers, return_inverse=True)
+                hashes = words.hash[keys]
+                at = np.minimum(np.searchsorted(order, hashes), max(0, len(order) - 1))
+                counts = np.where(order[at] == hashes, number[at], 0)[back] if len(order) else np.zeros(len(numbers), np.int64)
                 often = counts > 0
                 base = np.add.reduceat(np.where(often, np.log10(counts + 0.1), 0.0), begin)
-                rare = np.flatnonzero(~often & (numbers > 0))
-                chance = model_chances(numbers, words)
-                mixed = np.log10(SHARE * chance + (1 - SHARE) * table.share[numbers] + 1e-300)
-                mixed[rare] = 0.0
-                keys = (np.repeat(np.arange(len(words)), words)[rare] << 32) | numbers[rare]
-                sort = np.argsort(keys, kind="stable")
-                pairs, first = np.unique(keys[sort], return_index=True)
-                edges = np.searchsorted(pairs >> 32, np.arange(len(words) + 1)).astype(np.int32)
-                places = pa.ListArray.from_arrays(pa.array(np.append(first, len(rare)).astype(np.int32)), pa.array(chance[rare][sort]))
-                others = pa.StructArray.from_arrays([pa.array(table.hash[pairs & 0xFFFFFFFF]), places], names=["hash", "p"])
+                rare = np.flatnonzero(~often)
+                pairs, n = np.unique((np.repeat(np.arange(len(lengths)), lengths)[rare] << 32) | numbers[rare], return_counts=True)
+                edges = np.searchsorted(pairs >> 32, np.arange(len(lengths) + 1)).astype(np.int32)
+                others = pa.StructArray.from_arrays([pa.array(words.hash[pairs & 0xFFFFFFFF]), pa.array(n.astype(np.int64))], names=["hash", "n"])
                 known = np.add.reduceat(often.astype(np.int64), begin)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.arange(row, row + len(words))), part.column(0), part.column(1), pa.array(words.astype(np.int64)), pa.array(known), pa.array(base), pa.ListArray.from_arrays(pa.array(edges), others), pa.array(np.add.reduceat(mixed, begin))],
+                    [pa.array(np.arange(row, row + len(lengths))), part.column(0), part.column(1), pa.array(lengths.astype(np.int64)), pa.array(known), pa.array(base), pa.ListArray.from_arrays(pa.array(edges), others), pa.array(scores)],
                     names=["row", "doc_id", "held_out", "n_tokens", "n_known", "base", "rare", "score"],
                 )
-                row += len(words)
+                row += len(lengths)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "held_out", "text").mapInArrow(run, f"row long, doc_id {kind}, held_out boolean, n_tokens long, n_known long, base double, rare array<struct<hash:long,p:array<double>>>, score double")
+    return docs.select("doc_id", "held_out", "text").mapInArrow(run, f"row long, doc_id {kind}, held_out boolean, n_tokens long, n_known long, base double, rare array<struct<hash:long,n:long>>, score double")
 
 
 def commonest(counts: DataFrame, most: int) -> dict[int, int]:
     """Counts of the commonest words, at most so many: all whose count reaches a level, eight levels to each doubling. No sort, and no task sees all words."""
     leveled = counts.withColumn("level", F.floor(8 * F.log2("c")))
     sizes = sorted(((r["level"], r["n"]) for r in leveled.groupBy("level").agg(F.count(F.lit(1)).alias("n")).collect()), reverse=True)
-    least, held = None, 0
+    least, held_in = None, 0
     for level, n in sizes:
-        if held + n > most:
+        if held_in + n > most:
             break
-        least, held = level, held + n
+        least, held_in = level, held_in + n
     if least is None:
         return {}
     found = leveled.filter(F.col("level") >= least).select("hash", "c").toArrow()
@@ -483,26 +557,18 @@ def commonest(counts: DataFrame, most: int) -> dict[int, int]:
 
 def score_documents(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score (log10 of the model's probability) of each row."""
-    spark = docs.sparkSession
     marked = docs.select("doc_id", "text", held_out(F.col("doc_id")).alias("held_out"))
-    gathered = settle(gather(marked.filter("NOT held_out"), ranks_path, pattern), "gathered")
-    counts = settle(gathered.filter("hash IS NOT NULL").groupBy("hash").agg(F.sum("n").alias("c")), "word-counts")
+    weights, counts = train(marked.filter("NOT held_out").select("doc_id", "text"), ranks_path, pattern)
     tokens, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
-    flat = train(spark, gathered.filter("run IS NOT NULL").select("run"))
-    frequent = commonest(counts, FREQUENT)
-    end = counts.filter(F.col("hash") == END_HASH).first()
-    n_end = end["c"] if end else 0
-    scored = settle(score(marked, flat, frequent, int(tokens), int(n_end), ranks_path, pattern), "scored")
+    scored = settle(score(marked, weights, commonest(counts, FREQUENT), ranks_path, pattern), "scored")
     # Words outside the bounded list meet their counts here; a word that was never counted has c = 0.
-    others = scored.select("row", F.explode("rare").alias("w")).select("row", F.col("w.hash").alias("hash"), F.col("w.p").alias("p"), F.size("w.p").alias("n"))
-    share = F.coalesce("c", F.lit(0)) * F.lit((1 - SHARE) / max(1, int(tokens)))
-    mixed = F.aggregate("p", F.lit(0.0), lambda held, p: held + F.log10(F.lit(SHARE) * p + share + F.lit(1e-300)))
+    others = scored.select("row", F.explode("rare").alias("w")).select("row", F.col("w.hash").alias("hash"), F.col("w.n").alias("n"))
     met = others.join(counts, "hash", "left").groupBy("row").agg(
-        F.sum(F.when(F.col("c").isNotNull(), F.col("n")).otherwise(0)).alias("more"), F.sum(F.col("n") * F.log10(F.coalesce("c", F.lit(0)) + F.lit(0.1))).alias("add"), F.sum(mixed).alias("mixed")
-    )
-    whole = F.col("base") + F.coalesce("add", F.lit(0.0)) + F.lit(float(np.log10(n_end + 0.1)))
-    base = whole - F.col("n_tokens") * F.lit(float(np.log10(tokens + 0.1 * (distinct + 1))))
-    return scored.join(met, "row", "left").select(
-        "doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("more", F.lit(0)) + F.lit(int(n_end > 0))).alias("n_known"),
-        F.lit(int(tokens)).cast("long").alias("train_tokens"), base.alias("base_score"), (F.col("score") + F.coalesce("mixed", F.lit(0.0))).alias("score"),
+        F.sum(F.when(F.col("c").isNotNull(), F.col("n")).otherwise(0)).alias("more"), F.sum(F.col("n") * F.log10(F.coalesce("c", F.lit(0)) + F.lit(0.1))).alias("add")
     )
+    base = F.col("base") + F.coalesce("add", F.lit(0.0)) - F.col("n_tokens") * F.lit(float(np.log10(tokens + 0.1 * (distinct + 1))))
+    known = F.col("n_known") + F.coalesce("more", F.lit(0))
+    out = scored.join(met, "row", "left").select("doc_id", "held_out", "n_tokens", known.alias("n_known"), F.lit(int(tokens)).cast("long").alias("train_tokens"), base.alias("base_score"), "score")
+    out = settle(out, "scores")
+    drop(scored, counts)
+    return out

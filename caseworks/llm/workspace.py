@@ -16,11 +16,13 @@ WORD_CLASS = r"[^\x20\x09-\x0D]"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one only where the cluster names none."""
+    """The folder that driver and executors share. Where none is named, a local one serves a local master, and a cluster is an error."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
         context = spark.sparkContext
         if not context._jsc.sc().getCheckpointDir().isDefined():
+            if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             context.setCheckpointDir(os.path.join(tempfile.gettempdir(), "caseworks-shared"))
         named = context._jsc.sc().getCheckpointDir().get()
     return named.rstrip("/")
@@ -46,9 +48,12 @@ def discard(spark: SparkSession, *paths: str) -> None:
         place.getFileSystem(conf).delete(place, True)
 
 
-def table_path(df: DataFrame) -> str:
-    """Folder of a table that settle() wrote."""
-    return df.inputFiles()[0].rpartition("/")[0]
+def drop(*tables: DataFrame) -> None:
+    """Delete tables that settle() wrote and no result still reads."""
+    for table in tables:
+        files = table.inputFiles()
+        if files:
+            discard(table.sparkSession, files[0].rpartition("/")[0])
 
 
 _shipped: set[str] = set()

@@ -13,7 +13,7 @@ import public_tokenizers as P
 import pytest
 from pyspark.sql import functions as F
 
-from caseworks.llm import bpe, chat, components, exact_dedup, langid, lm, mixing, near_dedup, quality, queries, rules, token_counts
+from caseworks.llm import bpe, chat, components, exact_dedup, langid, lm, memory, mixing, near_dedup, quality, queries, rules, token_counts
 
 DATA = "/root/testdata/sf0.001"
 RANKS, WORDS = P.path("byte_bpe_multi_50k.tiktoken"), P.path("word_bpe_49k.json")
@@ -158,10 +158,23 @@ def test_mix_targets(docs):
 
 def test_mix_repeats_and_cuts(spark):
     docs = spark.createDataFrame([(1, "a b c", "x"), (2, "d e", "x"), (3, None, "x")], "doc_id long, text string, source string")
-    mixed = spark.createDataFrame([(1, 3, 5), (2, 2, 0), (3, 0, 0)], "doc_id long, size long, taken long")
+    mixed = spark.createDataFrame([(1, 3, 5), (2, 2, 0), (3, 0, 0)], "doc_id long, size long, taken long").join(docs.select("doc_id", "source", F.xxhash64("text").alias("text_key")), "doc_id")
     assert sorted((r["doc_id"], r["text"]) for r in mixing.repeated(docs, mixed).collect()) == [(1, "a b"), (1, "a b c"), (3, None)]
 
 
+def test_mix_rows_that_share_an_identifier(spark):
+    """Rows go by their own text; rows alike in all three are taken as often as all of them together."""
+    rows = [(None, " ".join(f"a{k}" for k in range(60)), "x"), (None, "b c", "x"), (7, "d e f", "x"), (7, "g", "x"), (8, "h i", "y"), (8, "h i", "y"), (8, "h i", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    placed = mixing.placed_rows(docs)
+    found, taken = collections.Counter(), collections.Counter()
+    for r in mixing.repeated(docs, placed).collect():
+        found[r["doc_id"], r["source"]] += len(r["text"].split())
+    for r in placed.collect():
+        taken[r["doc_id"], r["source"]] += r["taken"]
+    assert found == +taken
+
+
 def test_exact_edges(edge):
     rows = exact_dedup.exact_duplicates(edge).collect()
     assert len(rows) == len(EDGE)
@@ -176,6 +189,25 @@ def test_exact_collisions_are_told_apart(docs, duck):
     same(weak, duck.sql(exact_dedup.ORACLE))
 
 
+def test_exact_collisions_keep_one_of_repeated_rows(spark):
+    rows = spark.createDataFrame([(1, "a"), (1, "a"), (2, "b"), (None, "c"), (None, "c"), (3, "a")], "doc_id long, text string")
+    for digest in (exact_dedup.sha256, lambda t: F.unhex(F.lit("00"))):
+        found = sorted((tuple(r) for r in exact_dedup.exact_duplicates(rows, digest).select("doc_id", "keep_id", "group_size", "kept").collect()), key=str)
+        assert found == sorted([(1, 1, 3, True), (1, 1, 3, False), (2, 2, 1, True), (3, 1, 3, False), (None, None, 2, True), (None, None, 2, False)], key=str)
+
+
+@pytest.mark.parametrize("weak", [False, True])
+def test_exact_second_batch(spark, tmp_path, weak):
+    """A ledger that lasts holds a further batch against the first one, by bytes that it locates in the first one's files."""
+    digest = (lambda t: F.substring(F.unhex(F.sha2(t, 256)), 1, 1)) if weak else exact_dedup.sha256
+    tables = []
+    for k, rows in enumerate(([(10, "a  b"), (11, "c"), (12, "c"), (13, None)], [(5, "a b"), (20, "c"), (21, "d"), (22, ""), (23, "d")])):
+        spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/t{k}")
+        tables.append(exact_dedup.exact_duplicates(spark.read.parquet(f"{tmp_path}/t{k}"), digest, path=f"{tmp_path}/ledger").collect())
+    assert {r["doc_id"]: (r["keep_id"], r["group_size"], r["kept"]) for r in tables[0]} == {10: (10, 1, True), 11: (11, 2, True), 12: (11, 2, False), 13: (13, 1, True)}
+    assert {r["doc_id"]: (r["keep_id"], r["group_size"], r["kept"]) for r in tables[1]} == {5: (5, 2, True), 20: (11, 3, False), 21: (21, 2, True), 22: (13, 2, False), 23: (21, 2, False)}
+
+
 def brute_components(texts, width, percent):
     sets = {i: near_dedup.shingles(t, width) for i, t in texts.items()}
     parent = {i: i for i in sets}
@@ -204,7 +236,8 @@ def test_near_equals_brute_force(docs, width):
 
 def test_near_loose_families(spark, monkeypatch):
     """A family of copies that differ so much that pivots alone leave it apart; small blocks."""
-    monkeypatch.setattr(near_dedup, "BLOCK", 600)
+    monkeypatch.setattr(near_dedup, "BLOCK", 6000)
+    monkeypatch.setattr(near_dedup, "BLOCK_ROWS", 7)
     rnd = random.Random(2)
     base = [f"w{rnd.randrange(10**6)}" for _ in range(120)]
     texts = {}
@@ -225,8 +258,22 @@ def test_near_edges(edge):
     assert by[1]["n_shingles"] == 0 and by[1]["kept"] and by[6]["n_shingles"] == 1 and by[5]["component_id"] == 4 and not by[5]["kept"]
 
 
+def test_near_rows_that_share_an_identifier(spark):
+    """Each row is linked by its own text, whatever its identifier, and one row of each group stays."""
+    x, y = ([f"{c}{k}" for k in range(100)] for c in "xy")
+    rows = [(1, " ".join(x)), (1, " ".join(y)), (2, " ".join([*x, "z"])), (3, " ".join([*y, "z"])), (4, " ".join(y)), (4, " ".join(y)), (None, " ".join(x)), (6, " "), (6, " ")]
+    docs = spark.createDataFrame([(*r, k) for k, r in enumerate(rows)], "doc_id long, text string, node int")
+    found = sorted(((r["doc_id"], r["component_id"], r["kept"]) for r in near_dedup.near_duplicates(docs, 2).collect()), key=str)
+    assert found == sorted([(1, 1, True), (1, 1, True), (2, 1, False), (3, 1, False), (4, 1, False), (4, 1, False), (None, None, True), (6, 6, True), (6, 6, True)], key=str)
+    left = [(r["doc_id"], r["text"][0]) for r in near_dedup.without_near_duplicates(docs, 2).collect()]
+    assert sorted(left, key=str) == sorted([(1, "x"), (1, "y"), (None, "x"), (6, " "), (6, " ")], key=str)
+    twins = docs.filter("doc_id = 4").unionByName(docs.filter("doc_id = 3"))
+    assert [r["doc_id"] for r in near_dedup.without_near_duplicates(twins, 2).collect()] == [3]
+    assert near_dedup.without_near_duplicates(docs.filter("doc_id = 4"), 2).count() == 1
+
+
 def test_components(spark):
-    pairs = [(a, a + 1) for a in range(1, 30)] + [(50, 40), (40, 60), (60, 50)]
+    pairs = [(a, a + 1) for a in range(1, 30)] + [(50, 40), (40, 60), (60, 50), (40, 50), (70, 70), (None, 1)]
     found = {r["u"]: r["v"] for r in components.components(spark.createDataFrame(pairs, "u long, v long")).collect()}
     assert found == {**{k: 1 for k in range(2, 31)}, 50: 40, 60: 40}
 
@@ -256,76 +303,132 @@ def test_language_edges(edge):
 
 def test_lm_gradient():
     rng = np.random.default_rng(0)
-    w = {k: v.astype(np.float64) * 3 + rng.normal(0, 0.1, v.shape) for k, v in lm.Attention.initial().items()}
-    model = lm.Attention(w)
-    windows, goals = rng.integers(0, lm.VOCAB, (3, 2 * lm.STRIDE)), rng.integers(0, lm.VOCAB, (3, lm.STRIDE))
-    windows[0, :9], goals[1, 5:] = lm.PAD, lm.PAD
-    _, slope = model.gradient(windows, goals)
-    for k in w:
-        at = np.unravel_index(np.abs(slope[k]).argmax(), slope[k].shape)
-        old = w[k][at]
-        w[k][at] = old + 1e-4
-        up = model.gradient(windows, goals)[0]
-        w[k][at] = old - 1e-4
-        down = model.gradient(windows, goals)[0]
-        w[k][at] = old
-        assert abs((up - down) / 2e-4 - slope[k][at]) < 1e-3 * max(0.05, abs(slope[k][at]))
-
-
-def test_lm_probabilities_sum_to_one_and_windows_cover():
-    model = lm.Attention(lm.Attention.initial())
-    model.tables()
-    hidden = np.random.default_rng(1).normal(size=(1, lm.WIDTH)).astype(np.float32)
-    every = np.arange(lm.VOCAB)
-    logs, begins = model.log_probabilities(np.repeat(hidden, lm.VOCAB, axis=0), every, 11)
-    assert abs(np.exp(logs).sum() - 1) < 1e-4 and abs(np.exp(logs[: 11 * lm.MEMBERS]).sum() - np.exp(begins[0])) < 1e-4
-    seq = lm.sequence(np.arange(1, 30, dtype="<u2").tobytes())
-    windows, goals = lm.blocks(seq)
-    assert goals[goals != lm.PAD].tolist() == seq[1:].tolist()
-    assert windows[0, lm.STRIDE] == lm.END and (windows[0, : lm.STRIDE] == lm.PAD).all()
-    seqs = [lm.sequence(np.arange(1, 1 + n, dtype="<u2").tobytes()) for n in (0, 7, 8, 30)]
-    windows, goals = lm.all_blocks(np.concatenate([s[1:] for s in seqs]), np.array([len(s) - 1 for s in seqs]))
-    assert (windows == np.concatenate([lm.blocks(s)[0] for s in seqs])).all() and (goals == np.concatenate([lm.blocks(s)[1] for s in seqs])).all()
-
-
-def test_lm_scores(docs):
+    start = lm.Weights.initial()
+    dense, tables = ({k: v.astype(np.float64) + rng.normal(0, 0.2, v.shape) for k, v in part.items()} for part in (start.dense, start.tables))
+    model = lm.Attention(lm.Weights(dense, tables, start.seen))
+    windows, goals = rng.integers(0, lm.VOCAB, (3, 2 * lm.STRIDE)).astype(np.int32), rng.integers(0, lm.VOCAB, (3, lm.STRIDE)).astype(np.int32)
+    windows[0, : lm.STRIDE], goals[1, 5:] = lm.PAD, lm.PAD
+    _, slope, touched = model.gradient(windows, goals)
+    whole = dict(slope)
+    for k, (rows, found) in touched.items():
+        whole[k] = np.zeros(tables[k].shape)
+        whole[k][rows] = found
+    for k, found in whole.items():
+        array = dense[k] if k in dense else tables[k]
+        at = np.unravel_index(np.abs(found).argmax(), found.shape)
+        old, values = array[at], []
+        for step in (1e-4, -1e-4):
+            array[at] = old + step
+            values.append(model.gradient(windows, goals)[0])
+        array[at] = old
+        assert abs((values[0] - values[1]) / 2e-4 - found[at]) < 1e-3 * max(0.01, abs(found[at])), k
+
+
+def test_lm_sums_by():
+    rng = np.random.default_rng(3)
+    for n in (1, 2, 50, 3000):
+        key, rows = rng.integers(0, 40, n).astype(np.uint16) ** 2, rng.normal(size=(n, 5))
+        ids, found = lm.sums_by(key, rows)
+        assert ids.tolist() == sorted(set(key.tolist()))
+        assert np.allclose(found, [rows[key == i].sum(axis=0) for i in ids])
+
+
+def test_lm_probabilities_sum_to_one():
+    model = lm.Attention(lm.Weights.initial())
+    state = np.random.default_rng(1).normal(size=(1, lm.WIDTH)).astype(np.float32)
+    logs = model.head(np.repeat(state, lm.VOCAB, axis=0), np.arange(lm.VOCAB))[0]
+    assert abs(np.exp(logs.astype(np.float64)).sum() - 1) < 1e-4
+
+
+def test_lm_packs_and_averages():
+    start, one, two = (lm.Weights.initial(seed) for seed in (1, 2, 3))
+    back = lm.Weights.unpack(one.pack())
+    assert all(np.allclose(back.tables[k], one.tables[k], atol=2e-3) for k in lm.TABLES) and all((back.dense[k] == one.dense[k]).all() for k in lm.DENSE)
+    gains = [{k: np.zeros(s[0]) for k, s in lm.TABLES.items()} for _ in range(2)]
+    gains[0]["own"][7], gains[1]["own"][7], gains[1]["two"][5] = 1, 3, 2
+    mean = lm.Mean(start)
+    mean.add(10.0, one, gains[0])
+    mean.add(30.0, two, gains[1])
+    found = mean.result()
+    assert np.allclose(found.dense["wg"], 0.25 * one.dense["wg"] + 0.75 * two.dense["wg"])
+    assert np.allclose(found.tables["own"][7], 0.25 * one.tables["own"][7] + 0.75 * two.tables["own"][7])
+    assert (found.tables["two"][5] == two.tables["two"][5]).all() and (found.tables["own"][8] == start.tables["own"][8]).all()
+
+
+def plain_log10(w, ids):
+    """log10 probability of a text's ids (the end mark last), one token at a time by the formulas."""
+    stream, total = [lm.END, *ids[:-1]], 0.0
+    exp = lambda z: np.exp(z.astype(np.float64))
+    for i, goal in enumerate(ids):
+        first = max(0, (i // lm.STRIDE - 1) * lm.STRIDE)
+        window = np.array([[lm.PAD] * (2 * lm.STRIDE - 1) + [lm.END] + stream[: i + 1]])[:, -2 * lm.STRIDE :]  # only for the hashes of the last three
+        own = w.tables["own"][stream[i]]
+        near = [w.tables["context"][stream[j]] for j in range(first, i + 1)]
+        share = exp(np.array([own[lm.WIDTH :] @ c[lm.WIDTH :] + w.dense["r"][i - first - j] for j, c in enumerate(near)]))
+        share /= share.sum()
+        last = [lm.PAD, lm.PAD, *stream[first : i + 1]][-3:]
+        window[0, -3:] = last
+        two, three = (h[-1] for h in lm.hashed(window))
+        state = own[: lm.WIDTH] + sum(s * c[: lm.WIDTH] for s, c in zip(share, near)) + w.tables["two"][two] + w.tables["three"][three]
+        outer = exp(state @ w.dense["wg"] + w.dense["bg"])
+        g, m = divmod(int(goal), lm.MEMBERS)
+        inner = exp(state @ w.dense["wm"][g] + w.dense["bm"][g])
+        total += np.log10(outer[g] / outer.sum()) + np.log10(inner[m] / inner.sum())
+    return total
+
+
+def test_lm_scores(docs, monkeypatch):
+    packed = []
+    train = lm.train
+    monkeypatch.setattr(lm, "train", lambda *a: packed.append(train(*a)) or packed[0])
     rows = lm.score_documents(docs, RANKS, P.PATTERN).collect()
     texts = {r["doc_id"]: (r["text"] or "").encode().lower().split() + [b"\n"] for r in docs.collect()}
     counts = collections.Counter(w for i, t in texts.items() if zlib.crc32(str(i).encode()) % 10 for w in t)
     total, distinct = sum(counts.values()), len(counts)
+    weights, words = lm.Weights.unpack(packed[0][0]), lm.Words(lm.encoding(RANKS, P.PATTERN))
     for r in rows:
         t = texts[r["doc_id"]]
         assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (len(t), sum(counts[w] > 0 for w in t), total)
         assert r["base_score"] == pytest.approx(sum(np.log10((counts[w] + 0.1) / (total + 0.1 * (distinct + 1))) for w in t))
-        assert r["score"] < 0
-
-
-def test_lm_trains_on_all_windows(spark):
-    texts = ["", "one two", "word " * 300, " ".join(f"w{k % 97}x{k}" for k in range(5000))]
-    df = spark.createDataFrame(list(zip(texts)), "text string")
-    found = [r["run"] for r in lm.gather(df, RANKS, P.PATTERN).filter("run IS NOT NULL").collect()]
-    got = np.concatenate([lm.windows_of(bytes(r)) for r in found]).tolist()
-    subwords = lm.Subwords(RANKS, P.PATTERN)
-    want = [np.concatenate(lm.blocks(lm.sequence(b"".join(subwords[w] for w in t.encode().split()))), axis=1) for t in texts]
-    assert sorted(got) == sorted(np.concatenate(want).tolist())
-
-
-def test_lm_rare_words_meet_their_counts(docs, monkeypatch):
+        if len(t) < 300:
+            assert r["score"] == pytest.approx(plain_log10(weights, words.tokens(*words.numbers([t[:-1]]))[0].tolist()), rel=1e-4)
+
+
+def test_lm_windows_cover_every_text():
+    words = lm.Words(lm.encoding(RANKS, P.PATTERN))
+    texts = [t.encode().split() for t in ("", "one two", "word " * 300, " ".join(f"w{k % 97}x{k}" for k in range(5000)))]
+    tokens, sizes = words.tokens(*words.numbers(texts))
+    windows, goals = lm.blocks(tokens, sizes)
+    assert goals[goals != lm.PAD].tolist() == tokens.tolist()
+    at = np.cumsum(-(-sizes // lm.STRIDE))
+    for a, b, begin, size in zip(np.append(0, at), at, np.cumsum(sizes) - sizes, sizes):
+        stream = [lm.END, *tokens[begin : begin + size - 1]]
+        inputs = windows[a:b, lm.STRIDE :].ravel()
+        assert inputs[inputs != lm.PAD].tolist() == stream and (windows[a, : lm.STRIDE] == lm.PAD).all() and (windows[a + 1 : b, : lm.STRIDE] == windows[a : b - 1, lm.STRIDE :]).all()
+    tik = [words.encoder.encode_ordinary(" " + w.decode()) for w in texts[1]]
+    assert (tokens[sizes[0] : sizes[0] + sizes[1] - 1] - 1).tolist() == sum(tik, [])
+
+
+def test_lm_results_do_not_depend_on_the_bounded_list(docs, monkeypatch):
+    monkeypatch.setattr(lm, "RATES", (0.02,))
+    whole = {r["doc_id"]: (r["score"], r["base_score"], r["n_known"]) for r in lm.score_documents(docs, RANKS, P.PATTERN).collect()}
     monkeypatch.setattr(lm, "FREQUENT", 5)
-    monkeypatch.setattr(lm, "TRAIN_ROUNDS", 1)
-    few = {r["doc_id"]: (r["n_known"], r["base_score"]) for r in lm.score_documents(docs, RANKS, P.PATTERN).collect()}
-    monkeypatch.undo()
-    monkeypatch.setattr(lm, "TRAIN_ROUNDS", 1)
+    monkeypatch.setattr(lm, "WORDS_KEPT", 300)
     for r in lm.score_documents(docs, RANKS, P.PATTERN).collect():
-        assert few[r["doc_id"]][0] == r["n_known"] and few[r["doc_id"]][1] == pytest.approx(r["base_score"])
+        assert (r["score"], r["base_score"], r["n_known"]) == pytest.approx(whole[r["doc_id"]])
 
 
-def test_lm_score_does_not_depend_on_the_bounded_list(docs, monkeypatch):
-    monkeypatch.setattr(lm, "train", lambda spark, runs: lm.Attention.pack(lm.Attention.initial()))
-    whole = {r["doc_id"]: r["score"] for r in lm.score_documents(docs, RANKS, P.PATTERN).collect()}
-    monkeypatch.setattr(lm, "FREQUENT", 5)
-    for r in lm.score_documents(docs, RANKS, P.PATTERN).collect():
-        assert r["score"] == pytest.approx(whole[r["doc_id"]])
+def test_lm_beats_the_base_on_held_out_texts(spark):
+    rows = lm.score_documents(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), RANKS, P.PATTERN).filter("held_out").collect()
+    assert sum(r["score"] for r in rows) > 0.95 * sum(r["base_score"] for r in rows)
+
+
+def test_lm_edges(edge):
+    rows = lm.score_documents(edge, RANKS, P.PATTERN).collect()
+    by = collections.defaultdict(set)
+    for r in rows:
+        by[r["doc_id"]].add((r["n_tokens"], round(r["score"], 4), round(r["base_score"], 6)))
+    assert len(rows) == len(EDGE) and by[1] == by[2] == by[3] and by[4] == by[None] and len(by[4]) == 1 and {n for n, *_ in by[8]} == {3001}
 
 
 def test_quality_held_out(spark):
