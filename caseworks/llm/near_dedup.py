@@ -6,9 +6,12 @@ into components. Where there is more than one, the classes outside the largest a
 volume that only emit links. No bucket is cut and no candidate dropped. Signatures rule pairs out only six standard deviations below the
 threshold; every link is confirmed on the full shingle sets of the two texts.
 
+Every row has a number of its own, so that rows which share an identifier are compared and placed each by its own text.
+
 Behaviour at the edges: null text, or text without words, has an empty set and links with nothing; a text with fewer words than a
-shingle has its whole word sequence as one shingle; rows that share an identifier are placed each by its own text; rows without identifier form no links and are kept;
-empty tables give no rows; other columns are ignored.
+shingle has its whole word sequence as one shingle; very long texts have all their shingles compared; rows that repeat are one class and
+have the same component; rows without identifier form no links and are kept; empty tables give no rows; columns other than doc_id and text
+are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -23,12 +26,12 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from caseworks.llm.components import components
-from caseworks.llm.workspace import fresh_path, maybe_in, settle, ship, without
+from caseworks.llm.memory import Memo, held
+from caseworks.llm.workspace import discard, drop, fresh_path, maybe_in, settle, ship, without
 
 ROWS, BANDS = 6, 42
-#: Shingles in a block of documents that are compared with each other in one place.
-BLOCK = 1_500_000
-WORDS_KEPT = 200_000
+#: Shingles, and documents, of either side in a block of documents that are compared with each other in one place.
+BLOCK, BLOCK_ROWS = 1_500_000, 200
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 
 
@@ -50,17 +53,6 @@ def _scatter(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-class _WordHash(dict):
-    def __missing__(self, word: bytes) -> int:
-        value = xxhash.xxh3_64_intdigest(word)
-        if len(self) < WORDS_KEPT:
-            self[word] = value
-        return value
-
-
-_word_hash = _WordHash()
-
-
 class Signer:
     """Minima of universal hash functions over the shingles of a text."""
 
@@ -71,6 +63,7 @@ class Signer:
         self.b = rng.integers(0, 1 << 63, rows * bands, dtype=np.uint64)
         self.fold = rng.integers(1, 1 << 63, rows, dtype=np.uint64) | np.uint64(1)
         self.tag = rng.integers(0, 1 << 63, bands, dtype=np.uint64)
+        self.word_hash = held("near dedup", lambda: Memo(xxhash.xxh3_64_intdigest))
 
     def hashes(self, text: str | None) -> np.ndarray:
         """Sorted distinct 64-bit hashes of the shingles."""
@@ -78,7 +71,7 @@ class Signer:
         n, width = len(found), min(self.width, len(found))
         if not n:
             return np.empty(0, np.uint64)
-        each = np.fromiter(map(_word_hash.__getitem__, found), np.uint64, n)
+        each = np.fromiter(map(self.word_hash.__getitem__, found), np.uint64, n)
         total = np.full(n - width + 1, width, np.uint64)
         for k in range(width):
             total = total * np.uint64(0x9E3779B97F4A7C15) + each[k : n - width + 1 + k]
@@ -96,7 +89,7 @@ class Signer:
 
 
 def signatures(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, n_shingles, class (digest of the set), bands (keys) and sketch (a byte of each minimum) of each row."""
+    """doc_id, text_key (hash of the text), n_shingles, class (digest of the set), bands (keys) and sketch (a byte of each minimum) of each row."""
     ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -105,17 +98,23 @@ def signatures(docs: DataFrame, width: int) -> DataFrame:
             for start in range(0, batch.num_rows, 512):
                 part = batch.slice(start, 512)
                 out: tuple[list, list, list, list] = ([], [], [], [])
-                for text in part.column(1):
+                for text in part.column(2):
                     hashes = signer.hashes(text.as_py())
                     least = signer.minima(hashes)
                     some = len(hashes) > 0
                     for column, value in zip(out, (len(hashes), hashlib.blake2b(hashes.tobytes(), digest_size=16).digest() if some else None, signer.keys(least) if some else None, least.astype(np.uint8).tobytes() if some else None), strict=True):
                         column.append(value)
                 kinds = (pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.binary())
-                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, k) for c, k in zip(out, kinds, strict=True))], names=["doc_id", "n_shingles", "class", "bands", "sketch"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *(pa.array(c, k) for c, k in zip(out, kinds, strict=True))], names=["doc_id", "text_key", "n_shingles", "class", "bands", "sketch"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_shingles long, class binary, bands array<long>, sketch binary")
+    return docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text").mapInArrow(run, f"doc_id {kind}, text_key long, n_shingles long, class binary, bands array<long>, sketch binary")
+
+
+def _beside(pairs: DataFrame, of: DataFrame, what: str) -> DataFrame:
+    """Pairs (u, v) with what `of` (node, what) has for either node, as a and b."""
+    side = lambda node, name: of.select(F.col("node").alias(node), F.col(what).alias(name))
+    return pairs.join(side("u", "a"), "u").join(side("v", "b"), "v").select("u", "v", "a", "b")
 
 
 def _alike(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
@@ -131,9 +130,7 @@ def _alike(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
                 keep = pa.array((a == b).mean(axis=1) >= least)
                 yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["u", "v"])
 
-    kind = pairs.schema["u"].dataType.simpleString()
-    of = lambda name, sketch: sketches.select(F.col("doc_id").alias(name), F.col("sketch").alias(sketch))
-    return pairs.join(of("u", "a"), "u").join(of("v", "b"), "v").select("u", "v", "a", "b").mapInArrow(run, f"u {kind}, v {kind}")
+    return _beside(pairs, sketches, "sketch").mapInArrow(run, "u long, v long")
 
 
 def _confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
@@ -144,7 +141,7 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) ->
         for batch in batches:
             keep = []
             for v, a, b in zip(batch.column(1).to_pylist(), batch.column(2), batch.column(3), strict=True):
-                if v != last:  # rows come sorted by v
+                if v != last:  # rows come sorted by v, a row's own number
                     last, mine = v, shingles(b.as_py(), width)
                 other = shingles(a.as_py(), width)
                 both = len(mine & other)
@@ -152,10 +149,7 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) ->
             mask = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], names=["u", "v"])
 
-    kind = pairs.schema["u"].dataType.simpleString()
-    of = lambda name, text: texts.select(F.col("doc_id").alias(name), F.col("text").alias(text))
-    joined = pairs.join(of("u", "a"), "u").join(of("v", "b"), "v").select("u", "v", "a", "b")
-    return joined.sortWithinPartitions("v").mapInArrow(run, f"u {kind}, v {kind}")
+    return _beside(pairs, texts, "text").sortWithinPartitions("v").mapInArrow(run, "u long, v long")
 
 
 def _across(loose: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
@@ -164,16 +158,15 @@ def _across(loose: DataFrame, texts: DataFrame, width: int, percent: int) -> Dat
     The documents outside meet all of their family in blocks of bounded volume. No pair leaves a block unless it is a link.
     """
     ship(loose.sparkSession)
-    kind = loose.schema["doc_id"].dataType.simpleString()
-    spread = lambda n: F.pmod(F.xxhash64("doc_id"), F.col(n)).cast("int")
+    spread = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
     asks = loose.filter("comp <> top_comp").withColumns({"row": spread("long"), "col": F.explode(F.sequence(F.lit(0), F.col("wide") - 1)), "asks": F.lit(True)})
     all_of = loose.withColumns({"col": spread("wide"), "row": F.explode(F.sequence(F.lit(0), F.col("long") - 1)), "asks": F.lit(False)})
-    rows = asks.select("family", "row", "col", "asks", "doc_id", "comp").unionByName(all_of.select("family", "row", "col", "asks", "doc_id", "comp"))
-    signer = Signer(width)
+    rows = asks.select("family", "row", "col", "asks", "node", "comp").unionByName(all_of.select("family", "row", "col", "asks", "node", "comp"))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        signer = Signer(width)
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([signer.hashes(t.as_py()).tobytes() for t in batch.column(1)], pa.binary())], names=["doc_id", "hashes"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([signer.hashes(t.as_py()).tobytes() for t in batch.column(1)], pa.binary())], names=["node", "hashes"])
 
     def links(asking: list[tuple], held: list[tuple]) -> list[tuple]:
         sizes = np.array([len(h) for _, _, h in held])
@@ -182,7 +175,7 @@ def _across(loose: DataFrame, texts: DataFrame, width: int, percent: int) -> Dat
         order = np.argsort(every, kind="stable")
         every, owner = every[order], owner[order]
         comps, out = [c for _, c, _ in held], []
-        for doc, comp, mine in asking:
+        for node, comp, mine in asking:
             low, high = np.searchsorted(every, mine), np.searchsorted(every, mine, "right")
             count = high - low
             at = np.repeat(low - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())
@@ -191,7 +184,7 @@ def _across(loose: DataFrame, texts: DataFrame, width: int, percent: int) -> Dat
             for k in np.flatnonzero(100 * both >= percent * (sizes + len(mine) - both)):
                 if comps[k] not in done:
                     done.add(comps[k])
-                    out.append((doc, held[k][0]))
+                    out.append((node, held[k][0]))
         return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -199,43 +192,47 @@ def _across(loose: DataFrame, texts: DataFrame, width: int, percent: int) -> Dat
 
         def told() -> pa.RecordBatch:
             found = links(asking, held) if asking and held else []
-            return pa.RecordBatch.from_arrays([pa.array([u for u, _ in found], id_type), pa.array([v for _, v in found], id_type)], names=["u", "v"])
+            return pa.RecordBatch.from_arrays([pa.array([u for u, _ in found], pa.int64()), pa.array([v for _, v in found], pa.int64())], names=["u", "v"])
 
         for batch in batches:
-            id_type = batch.schema.field("doc_id").type
-            for family, row, col, asks, doc, comp, hashes in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for family, row, col, asks, node, comp, hashes in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if (family, row, col) != now:
                     if now is not None:
                         yield told()
                     now, asking, held = (family, row, col), [], []
-                (asking if asks else held).append((doc, comp, np.frombuffer(hashes, np.uint64)))
+                (asking if asks else held).append((node, comp, np.frombuffer(hashes, np.uint64)))
         if now is not None:
             yield told()
 
-    hashed = texts.join(loose.select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"]).select("doc_id", "text").mapInArrow(sets, f"doc_id {kind}, hashes binary")
-    dealt = rows.join(hashed, "doc_id").select("family", "row", "col", "asks", "doc_id", "comp", "hashes").repartition("family", "row", "col").sortWithinPartitions("family", "row", "col")
-    return dealt.mapInArrow(run, f"u {kind}, v {kind}")
+    hashed = texts.join(loose.select("node"), "node", "left_semi").mapInArrow(sets, "node long, hashes binary")
+    dealt = rows.join(hashed, "node").select("family", "row", "col", "asks", "node", "comp", "hashes").repartition("family", "row", "col").sortWithinPartitions("family", "row", "col")
+    return dealt.mapInArrow(run, "u long, v long")
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """For each row: doc_id, n_shingles, component_id (smallest identifier reachable by links) and kept (it is its own component_id)."""
+def placed_rows(docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """For each row: doc_id, text_key, n_shingles, component_id (smallest identifier reachable by links) and first (the one row that stands for its component)."""
     spark = docs.sparkSession
-    signed = settle(signatures(docs, width), "signatures")
+    signed = settle(signatures(docs, width).withColumn("node", F.monotonically_increasing_id()), "signatures")
     linkable = signed.filter("n_shingles > 0 AND doc_id IS NOT NULL")
-    classes = linkable.groupBy("class").agg(F.min("doc_id").alias("rep"))
-    firsts = linkable.join(classes.select(F.col("rep").alias("doc_id"), "class"), ["doc_id", "class"]).dropDuplicates(["doc_id", "class"])
-    keyed = firsts.select(F.col("doc_id").alias("id"), F.explode("bands").alias("key"))
+    # A class is a set of shingles; the row with its smallest identifier stands for it.
+    classes = settle(linkable.groupBy("class").agg(F.min(F.struct("doc_id", "node")).alias("least")).select("class", "least.node", "least"), "classes")
+    firsts = linkable.select("node", "bands").join(classes.select("node"), "node", "left_semi")
+    keyed = firsts.select(F.col("node").alias("id"), F.explode("bands").alias("key"))
     buckets = keyed.groupBy("key").agg(F.min("id").alias("pivot"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     members = keyed.join(buckets, "key").filter("id <> pivot")
     stars = settle(members.select(F.col("id").alias("u"), F.col("pivot").alias("v")).distinct(), "stars")
-    wanted = settle(stars.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct(), "wanted")
+    wanted = settle(stars.select(F.explode(F.array("u", "v")).alias("node")).distinct(), "wanted")
     # Sketches and texts of the documents in buckets, by marks of fixed size: the others stay where they are.
-    mine = F.xxhash64("doc_id")
-    sketches = settle(maybe_in(linkable.select("doc_id", "sketch"), mine, mine, wanted).filter("__cw_hit").drop("__cw_hit"), "sketches")
-    texts = settle(maybe_in(docs.select("doc_id", "text"), mine, mine, wanted).filter("__cw_hit").drop("__cw_hit"), "texts")
+    node = F.xxhash64("node")
+    marked = maybe_in(linkable.select("node", "doc_id", "text_key", "n_shingles", "sketch"), node, node, wanted).filter("__cw_hit").drop("__cw_hit")
+    sketches = settle(marked.join(wanted, "node", "left_semi"), "sketches")
+    text = F.xxhash64("doc_id", "text_key")
+    mine = maybe_in(docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text"), text, text, sketches).filter("__cw_hit").drop("__cw_hit")
+    found = mine.join(sketches.select("doc_id", "text_key", "node"), ["doc_id", "text_key"])
+    texts = settle(found.groupBy("node").agg(F.first("text").alias("text")), "texts")  # rows that repeat give a node's text more than once
 
     path = fresh_path(spark, "confirmed")
-    kind = docs.schema["doc_id"].dataType.simpleString()
+    pairs_so_far = lambda: spark.read.schema("u long, v long").parquet(path)
 
     def compare(pairs: DataFrame) -> None:
         """Add the links among the pairs to those found."""
@@ -243,30 +240,51 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
         _confirmed(_alike(ordered, sketches, percent), texts, width, percent).write.mode("append").parquet(path)
 
     compare(stars)
-    found = components(spark.read.schema(f"u {kind}, v {kind}").parquet(path))
+    found = components(pairs_so_far())
     # What buckets hold beside the pivots' links: families, which buckets connect, with more than one component.
-    family = components(stars).select(F.col("u").alias("doc_id"), F.col("v").alias("family"))
-    comp = found.select(F.col("u").alias("doc_id"), F.col("v").alias("comp"))
-    sized = wanted.join(linkable.select("doc_id", "n_shingles").groupBy("doc_id").agg(F.max("n_shingles").alias("size")), "doc_id")
-    placed = sized.join(family, "doc_id", "left").join(comp, "doc_id", "left").select("doc_id", "size", F.coalesce("family", "doc_id").alias("family"), F.coalesce("comp", "doc_id").alias("comp"))
-    placed = settle(placed, "placed")
+    family = components(stars)
+    of = lambda links, name: links.select(F.col("u").alias("node"), F.col("v").alias(name))
+    placed = sketches.select("node", F.col("n_shingles").alias("size")).join(of(family, "family"), "node", "left").join(of(found, "comp"), "node", "left")
+    placed = settle(placed.select("node", "size", F.coalesce("family", "node").alias("family"), F.coalesce("comp", "node").alias("comp")), "placed")
     by_comp = placed.groupBy("family", "comp").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("size"))
     split = by_comp.groupBy("family").agg(F.max(F.struct("n", "comp", "size")).alias("top"), F.sum("n").alias("n"), F.sum("size").alias("size"), F.count(F.lit(1)).alias("comps")).filter("comps > 1 AND n > 2")
-    split = split.select("family", F.col("top.comp").alias("top_comp"), F.ceil(F.col("size") / BLOCK).cast("int").alias("wide"), F.ceil((F.col("size") - F.col("top.size")) / BLOCK).cast("int").alias("long"))
+    blocks = lambda size, n: F.ceil(F.greatest(size / BLOCK, n / BLOCK_ROWS)).cast("int")
+    split = split.select("family", F.col("top.comp").alias("top_comp"), blocks(F.col("size"), F.col("n")).alias("wide"), blocks(F.col("size") - F.col("top.size"), F.col("n") - F.col("top.n")).alias("long"))
     loose = settle(placed.join(split, "family"), "loose")
     if not loose.isEmpty():
         compare(_across(loose, texts, width, percent))
-        found = components(spark.read.schema(f"u {kind}, v {kind}").parquet(path).unionByName(found))
-
-    of_class = classes.join(found.select(F.col("u").alias("rep"), F.col("v").alias("comp")), "rep", "left").select(F.col("class"), F.coalesce("comp", "rep").alias("comp"))
-    rows = signed.select("doc_id", "n_shingles", "class").join(of_class, "class", "left")
+        merged = components(pairs_so_far().unionByName(found))
+        drop(found)
+        found = merged
+
+    # Smallest identifier, and the row that has it, of each component; a class that links with nothing is its own.
+    linked = settle(of(found, "comp").unionByName(found.select(F.col("v").alias("node"), F.col("v").alias("comp")).distinct()).join(classes, "node"), "linked")
+    least = linked.groupBy("comp").agg(F.min("least").alias("best"))
+    of_class = classes.join(linked.join(least, "comp").select("class", "best"), "class", "left").select("class", F.coalesce("best", "least").alias("best"))
+    rows = signed.select("doc_id", "text_key", "n_shingles", "node", "class").join(of_class, "class", "left")
     # A row without words, or without identifier, stands alone.
-    component = F.when(F.col("doc_id").isNull() | (F.col("n_shingles") == 0), F.col("doc_id")).otherwise(F.col("comp"))
-    return rows.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    alone = F.col("doc_id").isNull() | (F.col("n_shingles") == 0)
+    out = rows.select("doc_id", "text_key", "n_shingles", F.when(alone, F.col("doc_id")).otherwise(F.col("best.doc_id")).alias("component_id"), (alone | (F.col("node") == F.col("best.node"))).alias("first"))
+    out = settle(out, "near-duplicates")
+    drop(signed, classes, stars, wanted, sketches, texts, placed, loose, linked, found, family)
+    discard(spark, path)
+    return out
+
+
+def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """For each row: doc_id, n_shingles, component_id (smallest identifier reachable by links) and kept (it is its own component_id)."""
+    return placed_rows(docs, width, percent).select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
 def without_near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """docs with one document of each group, all columns kept."""
-    marks = settle(near_duplicates(docs, width, percent), "near-duplicates")
-    gone = marks.groupBy("doc_id").agg(F.max("kept").alias("kept")).filter("NOT kept").select(F.col("doc_id").alias("__cw_id"))
-    return without(docs, [F.col("doc_id")], gone)
+    """docs with one row of each group, all columns kept; rows without words or identifier all stay."""
+    marks = placed_rows(docs, width, percent).select(F.col("doc_id").alias("__cw_id"), F.col("text_key").alias("__cw_key"), "first")
+    stays = marks.groupBy("__cw_id", "__cw_key").agg(F.max("first").alias("stays"), F.min("first").alias("all_stay"))
+    keyed = docs.withColumn("__cw_text", F.xxhash64("text"))
+    keys = [F.col("doc_id"), F.col("__cw_text")]
+    rest = without(keyed, keys, stays.filter("NOT stays").select("__cw_id", "__cw_key"))
+    twins = settle(stays.filter("stays AND NOT all_stay").select("__cw_id", "__cw_key"), "twins")
+    if not twins.isEmpty():  # rows alike in identifier and text, of which one stays
+        once = rest.join(twins, keys[0].eqNullSafe(twins["__cw_id"]) & (keys[1] == twins["__cw_key"]), "left_semi").dropDuplicates(["doc_id", "__cw_text"])
+        rest = without(rest, keys, twins).unionByName(once)
+    return rest.drop("__cw_text")
