@@ -3,14 +3,15 @@
 An assistant text that is a JSON object with `tool_calls` holds calls {id, name, arguments}; a tool text that is a JSON object with
 `tool_call_id` holds a result. Any other text is plain. Calls and results meet by (conversation, identifier) in hash joins, arguments are checked
 against the tool's schema, and a call whose arguments name another call's result ({"$ref": id}) comes after it: depth 0 for calls that name none,
-else one more than the deepest they name. Results stand right behind their calls. Each message becomes one line of canonical JSON: sorted keys, no
+else one more than the deepest they name. The calls of a message stand by depth, then as given, those without depth last; results stand right behind their calls. Each message becomes one line of canonical JSON: sorted keys, no
 spaces, UTF-8, shortest numbers.
 
 One row comes out for each message, so that a conversation of any length is never gathered in one place; at_turn, is_answer, at_depth, at_place and turn order it.
 Behaviour at the edges: null text counts as empty, null role as user; rows without a conversation or turn are kept, with nulls; broken JSON is plain text; a
 result without call, a call without result and identifiers that several calls share are marked, not dropped: of calls that share one, results link
 with the first by turn and place; calls that wait for each other in a circle, or for a call that does not exist, have depth null and are
-invalid; rows that repeat are repeated in the output; empty tables give no rows.
+invalid; a message that repeats is repeated in the output, and its calls, which then share their identifiers, are invalid; texts of any length are read whole;
+columns beside the four are ignored, whatever their names; empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from caseworks.llm.workspace import discard, settle, ship, table_path
+from caseworks.llm.workspace import drop, settle, ship
 
 TYPES = {"string": (str,), "integer": (int,), "number": (int, float), "boolean": (bool,), "object": (dict,), "array": (list,), "null": (type(None),)}
 
@@ -95,14 +96,17 @@ def _object(text: str) -> dict | None:
     return value if isinstance(value, dict) else None
 
 
-def read_message(role: str | None, text: str | None, schemas: dict[str, dict]) -> tuple[str, str | None, list[dict]]:
-    """Canonical JSON of a message, the call it answers, and its calls with what is wrong with them."""
+def read_message(role: str | None, text: str | None, schemas: dict[str, dict]) -> tuple[str, str, str | None, list[dict]]:
+    """Canonical JSON of a message, the call it answers, and its calls with what is wrong with them.
+
+    The JSON comes in two parts; those of the calls, in the order that is found later, belong between them.
+    """
     role, text = role or "user", text or ""
     body = _object(text) if role in ("assistant", "tool") else None
     calls: list[dict] = []
     if body is not None and role == "assistant" and isinstance(body.get("tool_calls"), list):
         for k, call in enumerate(body["tool_calls"]):
-            call = call if isinstance(call, dict) else {}
+            given, call = call, call if isinstance(call, dict) else {}
             arguments = call.get("arguments")
             if isinstance(arguments, str):
                 arguments = _object(arguments)
@@ -114,25 +118,27 @@ def read_message(role: str | None, text: str | None, schemas: dict[str, dict]) -
                 wrong.append("$.arguments: not object")
             else:
                 wrong += violations(arguments, schemas[name])
-            calls.append({"place": k, "call": call.get("id") if isinstance(call.get("id"), str) else None, "wrong": "; ".join(wrong) or None, "needs": sorted(references(arguments))})
-        return canonical({"role": role, **body}), None, calls
+            calls.append({"place": k, "json": canonical(given), "call": call.get("id") if isinstance(call.get("id"), str) else None, "wrong": "; ".join(wrong) or None, "needs": sorted(references(arguments))})
+        whole = canonical({"role": role, **body, "tool_calls": []})
+        before = len(canonical({k: v for k, v in {"role": role, **body, "tool_calls": []}.items() if k <= "tool_calls"})) - 2
+        return whole[:before], whole[before:], None, calls
     if body is not None and role == "tool" and isinstance(body.get("tool_call_id"), str):
-        return canonical({"role": role, **body}), body["tool_call_id"], calls
-    return canonical({"role": role, "content": text}), None, calls
+        return canonical({"role": role, **body}), "", body["tool_call_id"], calls
+    return canonical({"role": role, "content": text}), "", None, calls
 
 
 def _messages(turns: DataFrame, schemas: dict[str, dict]) -> DataFrame:
     ship(turns.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.list_(pa.struct([("place", pa.int32()), ("call", pa.string()), ("wrong", pa.string()), ("needs", pa.list_(pa.string()))]))
+        kind = pa.list_(pa.struct([("place", pa.int32()), ("json", pa.string()), ("call", pa.string()), ("wrong", pa.string()), ("needs", pa.list_(pa.string()))]))
         for batch in batches:
             read = [read_message(r, t, schemas) for r, t in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array([m[0] for m in read], pa.string()), pa.array([m[1] for m in read], pa.string()), pa.array([m[2] for m in read], kind)], names=["row", "conv_id", "turn", "role", "json", "answers", "calls"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], *(pa.array([m[k] for m in read], pa.string()) for k in range(3)), pa.array([m[3] for m in read], kind)], names=["row", "conv_id", "turn", "role", "json", "tail", "answers", "calls"])
 
     conv, turn = (turns.schema[c].dataType.simpleString() for c in ("conv_id", "turn"))
     rows = turns.select(F.monotonically_increasing_id().alias("row"), "conv_id", "turn", "role", "text")
-    return settle(rows.mapInArrow(run, f"row long, conv_id {conv}, turn {turn}, role string, json string, answers string, calls array<struct<place:int,call:string,wrong:string,needs:array<string>>>"), "messages")
+    return settle(rows.mapInArrow(run, f"row long, conv_id {conv}, turn {turn}, role string, json string, tail string, answers string, calls array<struct<place:int,json:string,call:string,wrong:string,needs:array<string>>>"), "messages")
 
 
 def call_depths(calls: DataFrame) -> DataFrame:
@@ -140,7 +146,6 @@ def call_depths(calls: DataFrame) -> DataFrame:
     needs = calls.select("conv_id", "call", F.explode("needs").alias("need")).distinct()
     if needs.isEmpty():
         return calls.select("conv_id", "call", F.lit(0).alias("depth")).distinct()
-    spark = calls.sparkSession
     waits = settle(needs.groupBy("conv_id", "call").agg(F.count(F.lit(1)).alias("open")), "waits")
     free = calls.select("conv_id", "call").distinct().join(waits, ["conv_id", "call"], "left_anti")
     placed = settle(free.withColumn("depth", F.lit(0)), "depths")
@@ -149,7 +154,7 @@ def call_depths(calls: DataFrame) -> DataFrame:
         ready = met.groupBy("conv_id", "call").agg(F.count(F.lit(1)).alias("have"), (F.max("below") + 1).alias("depth")).join(waits, ["conv_id", "call"]).filter("have = open")
         after = settle(placed.unionByName(ready.select("conv_id", "call", "depth").join(placed, ["conv_id", "call"], "left_anti")), "depths")
         grown = after.count() > placed.count()
-        discard(spark, table_path(placed)) if placed.inputFiles() else None
+        drop(placed)
         placed = after
         if not grown:
             return placed
@@ -170,6 +175,7 @@ def format_chats(turns: DataFrame, schemas: dict[str, dict]) -> DataFrame:
         F.count(F.lit(1)).alias("n_calls"), F.sum(F.when(F.col("results") > 0, 1).otherwise(0)).alias("n_answered"),
         F.max(F.when(F.col("wrong").isNotNull() | F.col("depth").isNull() | (F.col("twins") > 1), 1).otherwise(0)).alias("bad"),
         F.concat_ws("; ", F.array_sort(F.collect_set("wrong"))).alias("problems"),
+        F.array_sort(F.collect_list(F.struct(F.coalesce("depth", F.lit(2**31 - 1)).alias("depth"), "place", "json"))).alias("ordered"),  # of one message, no more than it held
     )
     linked = answers.join(known.select("conv_id", "call", "at", "depth"), ["conv_id", "call"], "left").select("row", F.col("at").alias("home"), F.col("depth").alias("home_depth"))
     whole = messages.join(per_row, "row", "left").join(linked, "row", "left")
@@ -180,5 +186,6 @@ def format_chats(turns: DataFrame, schemas: dict[str, dict]) -> DataFrame:
     link = F.when(is_answer & F.col("home").isNotNull(), "linked").when(is_answer, "orphan")
     return whole.select(
         "conv_id", "turn", "role", key["turn"].alias("at_turn"), key["answer"].alias("is_answer"), key["depth"].alias("at_depth"), key["place"].alias("at_place"), F.coalesce("n_calls", F.lit(0)).cast("long").alias("n_calls"), F.coalesce("n_answered", F.lit(0)).cast("long").alias("n_answered"),
-        link.alias("link"), ((F.coalesce("bad", F.lit(0)) == 0) & (F.coalesce(link, F.lit("")) != "orphan")).alias("valid"), F.coalesce("problems", F.lit("")).alias("problems"), F.col("json").alias("message_json"),
+        link.alias("link"), ((F.coalesce("bad", F.lit(0)) == 0) & (F.coalesce(link, F.lit("")) != "orphan")).alias("valid"), F.coalesce("problems", F.lit("")).alias("problems"),
+        F.concat("json", F.coalesce(F.concat_ws(",", F.col("ordered.json")), F.lit("")), "tail").alias("message_json"),
     )
