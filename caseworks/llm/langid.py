@@ -5,7 +5,9 @@ languages; its proportions are estimated by expectation-maximisation, and langua
 likelihood than the penalty for keeping them. The language with the largest proportion is predicted, the proportion is the score.
 
 Behaviour at the edges: null text, or text without a letter, gives `und` with score 0, as does every text when nothing could be
-learned; ties go to the language first by code point; rows without identifier count as training rows; empty tables give no rows.
+learned; ties go to the language first by code point; rows without identifier count as training rows; rows that repeat count and are returned
+as often as they occur; texts of any length count whole; columns beside doc_id, text and lang are ignored, whatever their names; empty tables
+give no rows. The model has BINS numbers for each language: more than LANGUAGES of them are an error, so that what is sent to all tasks stays bounded.
 """
 
 from __future__ import annotations
@@ -20,10 +22,12 @@ from pyspark.sql import Column, DataFrame, functions as F
 from caseworks.llm.workspace import ship
 
 BINS = 1 << 15
+LANGUAGES = 1000
 SMOOTHING = 0.5
 #: Trigrams of a text overlap, so that each language is charged three times the usual half logarithm of their number.
 PENALTY = 1.5
-ROUNDS = 40
+#: Estimation goes on until no proportion moves by more than STILL; so many rounds end it in any case.
+STILL, ROUNDS = 1e-6, 5000
 
 
 @lru_cache(maxsize=1)
@@ -67,6 +71,8 @@ def learn(docs: DataFrame) -> tuple[list[str], np.ndarray]:
     counted = docs.select("text", "lang").mapInArrow(count, "lang string, bin int, n long")
     table = counted.groupBy("lang", "bin").agg(F.sum("n").alias("n")).toArrow()  # at most BINS rows a language
     langs = sorted(set(table["lang"].to_pylist()), key=lambda s: [*map(ord, s)])
+    if len(langs) > LANGUAGES:
+        raise ValueError(f"{len(langs)} languages; the model is sent to every task and holds at most {LANGUAGES}")
     counts = np.zeros((BINS, len(langs)))
     counts[table["bin"].to_numpy(), [langs.index(x) for x in table["lang"].to_pylist()]] = table["n"].to_numpy()
     return langs, (counts + SMOOTHING) / (counts.sum(axis=0) + SMOOTHING * BINS)
@@ -90,7 +96,7 @@ def mixture(bins: np.ndarray, likelihood: np.ndarray) -> np.ndarray:
         for _ in range(ROUNDS):
             total = of @ p
             new = p * (of.T @ (c / total)) / n
-            done = np.abs(new - p).max() < 1e-4
+            done = np.abs(new - p).max() < STILL
             p = new
             if done:
                 break
