@@ -5,7 +5,8 @@ last tokens is all that encoding needs: following it back from the end gives the
 extends it, and after an edit only the pieces near the edit are done again.
 
 Behaviour at the edges: null text counts as empty and gives no ids; ties between merges of the same rank go to the
-leftmost, as in the reference library; repeated rows each give their own result row; other columns are ignored.
+leftmost, as in the reference library; repeated rows each give their own result row; texts of any length are encoded whole; empty tables give no
+rows; other columns pass through encode_documents, but one that bears the name of a result is an error, and are ignored by digests.
 """
 
 from __future__ import annotations
@@ -14,7 +15,6 @@ import base64
 import hashlib
 import struct
 from collections.abc import Iterator
-from functools import lru_cache
 
 import ahocorasick
 import pyarrow as pa
@@ -22,11 +22,11 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql.types import BinaryType, BooleanType, LongType, StructField, StructType
 
+from caseworks.llm.memory import Memo, held
 from caseworks.llm.workspace import ship
 
-#: Entries that a worker keeps of pieces seen and of token pairs judged. They bound memory only; results do not depend on them.
-PIECES_KEPT = 400_000
-PAIRS_KEPT = 400_000
+#: Token pairs judged that a worker keeps. It bounds memory only; results do not depend on it.
+PAIRS_KEPT = 200_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -165,30 +165,16 @@ class EditableText:
         return out
 
 
-class _Packed(dict):
-    """Ids as little-endian 32-bit bytes, of pieces or of what stands between two single spaces."""
-
-    def __init__(self, make):
-        super().__init__()
-        self.make = make
-
-    def __missing__(self, key: str) -> bytes:
-        if len(self) >= PIECES_KEPT:  # begin anew: what is frequent comes back at once
-            self.clear()
-        packed = self[key] = self.make(key)
-        return packed
-
-
 class TextEncoder:
-    """Encodes whole texts; remembers pieces, and stretches between single spaces, that it has seen."""
+    """Encodes whole texts to ids as little-endian 32-bit bytes; remembers pieces, and stretches between single spaces, that it has seen."""
 
     #: A space with white space beside it, or white space other than space and line feed: such texts are split by the pattern alone.
     IRREGULAR = regex.compile(r" \s|\n |[^\S \n]")
 
     def __init__(self, encoder: PrefixEncoder):
         self.encoder = encoder
-        self.pieces = _Packed(self._piece)
-        self.stretches = _Packed(self._stretch)
+        self.pieces = Memo(self._piece)
+        self.stretches = Memo(self._stretch)
 
     def _piece(self, piece: str) -> bytes:
         ids = self.encoder.encode_piece(piece.encode())
@@ -206,15 +192,16 @@ class TextEncoder:
         return head + b"".join(map(self.stretches.__getitem__, rest))
 
 
-@lru_cache(maxsize=2)
 def _packed(path: str, pattern: str) -> TextEncoder:
-    return TextEncoder(PrefixEncoder(read_ranks(path), pattern))
+    return held(f"bpe {path} {pattern}", lambda: TextEncoder(PrefixEncoder(read_ranks(path), pattern)))
 
 
 def encode_documents(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     """docs with ids (packed little-endian unsigned 32-bit), n_tokens and round_trip (the decoded ids are the text) in place of text."""
     ship(docs.sparkSession)
-    rest = [c for c in docs.columns if c not in ("text", "ids", "n_tokens", "round_trip")]
+    if clash := {"ids", "n_tokens", "round_trip"}.intersection(docs.columns):
+        raise ValueError(f"columns {sorted(clash)} would be overwritten; rename them first")
+    rest = [c for c in docs.columns if c != "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _packed(ranks_path, pattern)

@@ -16,7 +16,7 @@ from typing import Any
 import pyarrow as pa
 
 #: Bytes that one table of values seen may take, and the part of it that one entry may take.
-BUDGET, LARGEST_SHARE = 64_000_000, 64
+BUDGET, LARGEST_SHARE = 40_000_000, 64
 #: Bytes that a dictionary needs for an entry beside the key and the value themselves.
 SLOT = 100
 

@@ -6,7 +6,8 @@ grade selects them.
 
 The model is fitted on a bounded sample of labelled rows, SAMPLE at most, those with the smallest hash of the identifier; all rows are
 scored. Behaviour at the edges: null text counts as empty and has only the mark of an empty text; without labels every document gets the
-middle of the grades and is kept; repeated labels of a document count each; empty tables give no rows.
+middle of the grades and is kept; repeated labels of a document count each; rows that repeat are scored each; equal hashes of identifiers go by
+identifier and grade; texts of any length are read whole; empty tables give no rows; columns beside doc_id and text are ignored, and passed on by select().
 """
 
 from __future__ import annotations
@@ -20,13 +21,13 @@ import regex
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from caseworks.llm.memory import Memo, held
 from caseworks.llm.workspace import ship
 
 #: Most labelled rows that the model is fitted on.
 SAMPLE = 12_000
 BINS = 1 << 18
 EPOCHS, BATCH, RATE, DECAY = 12, 64, 0.05, 2e-5
-WORDS_KEPT = 200_000
 GRADES = 3
 
 _UPPER, _LOWER, _DIGIT = regex.compile(r"\p{Lu}+"), regex.compile(r"[\p{Ll}\p{Lo}]+"), regex.compile(r"\p{N}+")
@@ -36,18 +37,14 @@ def _bin(kind: str, value: str) -> int:
     return xxhash.xxh3_64_intdigest(f"{kind}\t{value}") % BINS
 
 
-class _Known(dict):
+def _word_bins(word: str) -> tuple[int, int]:
     """Bins of a word: of the word itself without marks around it, and of its shape."""
+    shape = _LOWER.sub("x", _DIGIT.sub("9", _UPPER.sub("X", word)))[:12]
+    return _bin("word", word.lower().strip(".,;:!?\"'()[]#*$%&|<>")), _bin("shape", shape)
 
-    def __missing__(self, word: str) -> tuple[int, int]:
-        shape = _LOWER.sub("x", _DIGIT.sub("9", _UPPER.sub("X", word)))[:12]
-        value = _bin("word", word.lower().strip(".,;:!?\"'()[]#*$%&|<>")), _bin("shape", shape)
-        if len(self) < WORDS_KEPT:
-            self[word] = value
-        return value
 
-
-_known = _Known()
+def _known() -> Memo:
+    return held("quality", lambda: Memo(_word_bins))
 
 
 def features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
@@ -56,7 +53,7 @@ def features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     total = sum(counts.values())
     if not total:
         return np.array([_bin("mark", "empty")], np.int32), np.ones(1, np.float32)
-    pairs = [_known[w] for w in counts]
+    pairs = [*map(_known().__getitem__, counts)]
     shapes: Counter = Counter()
     for (_, shape), n in zip(pairs, counts.values(), strict=True):
         shapes[shape] += n

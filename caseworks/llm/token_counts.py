@@ -4,25 +4,25 @@ All new pre-tokens of a batch lie end to end in one array of symbols. Each round
 sequence and merges it in all sequences at once; the symbols that survive are the tokens.
 
 Behaviour at the edges: null text counts as empty; strings of special tokens inside a text are special tokens, as is the
-library's default; repeated rows each give a row; other columns are ignored.
+library's default; repeated rows each give a row; texts of any length are counted whole; equal ranks merge from the left; columns beside doc_id and
+text are ignored, whatever their names; empty tables give no rows.
 """
 
 from __future__ import annotations
 
 import json
+import sys
 import unicodedata
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from caseworks.llm.memory import BUDGET, SLOT, held
 from caseworks.llm.workspace import ship
 
-#: Pre-tokens of which a worker remembers the count; it bounds memory only.
-PIECES_KEPT = 600_000
 _NONE = np.int64(1) << 40
 
 
@@ -55,6 +55,7 @@ class WordBpe:
         self.unusual = regex.compile(r"[^\u0000-ӿ]")
         self.space = regex.compile(r"\s+")
         self._library = None
+        self.spent = 0
 
     def pieces(self, text: str) -> tuple[list[str], int]:
         """Normalised pre-tokens, and the number of special tokens."""
@@ -126,15 +127,17 @@ class WordBpe:
         split = [self.pieces(t) for t in texts]
         new = [*{p for pieces, _ in split for p in pieces if p not in known}]
         here = dict(zip(new, self.survivors([p.encode() for p in new]).tolist(), strict=True))
-        if len(known) + len(here) <= PIECES_KEPT:
-            known.update(here)
-            return [sum(map(known.__getitem__, pieces)) + extra for pieces, extra in split]
-        return [sum(known[p] if p in known else here[p] for p in pieces) + extra for pieces, extra in split]
+        known.update(here)
+        counts = [sum(map(known.__getitem__, pieces)) + extra for pieces, extra in split]
+        self.spent += sum(SLOT + sys.getsizeof(p) for p in new)
+        if self.spent > BUDGET:  # begin anew: what is frequent comes back at once
+            known.clear()
+            self.spent = 0
+        return counts
 
 
-@lru_cache(maxsize=2)
 def _model(path: str) -> tuple[WordBpe, dict[str, int]]:
-    return WordBpe(path), {}
+    return held(f"token counts {path}", lambda: (WordBpe(path), {}))
 
 
 def token_counts(docs: DataFrame, vocabulary_path: str, limit: int = 2048) -> DataFrame:
