@@ -23,11 +23,14 @@ from caseworks.llm.workspace import SPACE_CLASS, discard, drop, fresh_path, mayb
 #: A digest is hot if it has more than one in so many rows: at most so many are.
 HOT_PARTS = 1000
 SALTS = 64
-#: State on local disk and, by change logs, in the shared folder; without disk set aside in advance, for there are many small stores.
+#: State on local disk and, by change logs, in the shared folder; without disk set aside in advance, for there are many small stores, and with
+#: one bound for the memory of all stores of an executor.
 STORE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+    "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
+    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "128",
 }
 
 
