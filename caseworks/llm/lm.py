@@ -35,13 +35,13 @@ from caseworks.llm.memory import held
 from caseworks.llm.workspace import drop, settle, ship
 
 #: So many ranks and the end mark fill the groups of the output.
-RANKS = 4095
-GROUPS, MEMBERS, WIDTH, KEY, STRIDE = 64, 64, 24, 8, 8
+RANKS = 2047
+GROUPS, MEMBERS, WIDTH, KEY, STRIDE = 32, 64, 16, 8, 8
 VOCAB = GROUPS * MEMBERS
 #: Rows for hashed pairs and triples of subwords.
 PAIRS, TRIPLES = 1 << 15, 1 << 16
 #: Commonest words whose counts are sent to every task; words of which a task remembers the subwords.
-FREQUENT, WORDS_KEPT = 200_000, 250_000
+FREQUENT, WORDS_KEPT = 200_000, 400_000
 #: Windows of a step, at most and at least; windows that a task holds to mix them; times that windows which all fit there are gone through.
 BATCH, SMALL_BATCH, MIXED, PASSES = 1024, 64, 65_536, 3
 #: Learning rate of each round; rates of tables relative to it.
@@ -337,11 +337,19 @@ def blocks(tokens: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndar
 class Words:
     """Words by number, with arrays of what is looked up for each; number 0 is the end mark."""
 
-    def __init__(self, encoder: tiktoken.Encoding):
-        self.encoder = encoder
+    def __init__(self, encoder: tiktoken.Encoding, listed: np.ndarray | None = None, times: np.ndarray | None = None):
+        """listed: sorted hashes of words whose counts are known, times: these counts."""
+        self.encoder, self.listed, self.times = encoder, listed, times
         self.of: dict[bytes, int] = {}
         self.hash, self.size, self.start = np.array([END_HASH]), np.ones(1, np.int64), np.zeros(1, np.int64)
         self.pool, self.used = np.array([END], np.uint16), 1
+        self.count = self._counts(self.hash)
+
+    def _counts(self, hashes: np.ndarray) -> np.ndarray:
+        if self.listed is None or not len(self.listed):
+            return np.zeros(len(hashes), np.int64)
+        at = np.minimum(np.searchsorted(self.listed, hashes), len(self.listed) - 1)
+        return np.where(self.listed[at] == hashes, self.times[at], 0)
 
     def _add(self, words: list[bytes]) -> None:
         lists = [self.encoder.encode_ordinary(" " + w.decode(errors="replace")) for w in words]
@@ -351,10 +359,11 @@ class Words:
         self.of.update(zip(words, range(first, first + len(words)), strict=True))
         last = first + len(words)
         if last > len(self.hash):  # grow by doubling
-            self.hash, self.size, self.start = (np.concatenate([x, np.zeros(last + len(x), x.dtype)]) for x in (self.hash, self.size, self.start))
+            self.hash, self.size, self.start, self.count = (np.concatenate([x, np.zeros(last + len(x), x.dtype)]) for x in (self.hash, self.size, self.start, self.count))
         if self.used + len(ids) > len(self.pool):
             self.pool = np.concatenate([self.pool, np.zeros(self.used + 2 * len(ids), np.uint16)])
         self.hash[first:last] = [word_hash(w) for w in words]
+        self.count[first:last] = self._counts(self.hash[first:last])
         self.size[first:last] = sizes
         self.start[first:last] = self.used + np.cumsum(sizes) - sizes
         self.pool[self.used : self.used + len(ids)] = ids
@@ -505,13 +514,13 @@ def score(docs: DataFrame, weights: bytes, frequent: dict[int, int], path: str,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packed, order, number = shared.value
         encoder, model = encoding(path, pattern), Attention(Weights.unpack(packed))
-        words = Words(encoder)
+        words = Words(encoder, order, number)
         row = TaskContext.get().partitionId() << 36
         for batch in batches:
             for start in range(0, batch.num_rows, TEXTS):
                 part = batch.slice(start, TEXTS)
                 if words.full:
-                    words = Words(encoder)
+                    words = Words(encoder, order, number)
                 numbers, lengths = words.numbers([words_of(t.as_py()) for t in part.column(2)])
                 begin = np.cumsum(lengths) - lengths
                 tokens, sizes = words.tokens(numbers, lengths)
@@ -519,10 +528,7 @@ def score(docs: DataFrame, weights: bytes, frequent: dict[int, int], path: str,
                 logs = np.concatenate([model.log_probabilities(windows[k : k + CHUNK], goals[k : k + CHUNK]) for k in range(0, len(windows), CHUNK)])
                 scores = np.add.reduceat(logs[goals.ravel() != PAD], np.cumsum(sizes) - sizes) / np.log(10)
                 # The base: counts of words in the list, and the other words of each text with how often they stand there.
-                keys, back = np.unique(numbers, return_inverse=True)
-                hashes = words.hash[keys]
-                at = np.minimum(np.searchsorted(order, hashes), max(0, len(order) - 1))
-                counts = np.where(order[at] == hashes, number[at], 0)[back] if len(order) else np.zeros(len(numbers), np.int64)
+                counts = words.count[numbers]
                 often = counts > 0
                 base = np.add.reduceat(np.where(often, np.log10(counts + 0.1), 0.0), begin)
                 rare = np.flatnonzero(~often)
