@@ -91,7 +91,7 @@ def tuned(rows: DataFrame, estimator, grid: dict, k: int = 5, seed: int = 1):
     builder = ParamGridBuilder()
     for name, values in grid.items():
         builder = builder.addGrid(estimator.getParam(name), values)
-    return CrossValidator(estimator=estimator, estimatorParamMaps=builder.build(), evaluator=BinaryClassificationEvaluator(metricName="areaUnderROC"), numFolds=k, seed=seed).fit(rows)
+    return CrossValidator(estimator=estimator, estimatorParamMaps=builder.build(), evaluator=BinaryClassificationEvaluator(metricName="areaUnderROC"), numFolds=k, seed=seed, parallelism=4).fit(rows)
 
 
 def probability() -> Column:

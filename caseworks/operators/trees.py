@@ -3,6 +3,7 @@
 At each level one aggregation sums the outcome by (group, node, feature, value); running sums over the values give the gain of every split; the best
 split of each node moves its rows to child nodes 2k and 2k + 1. Outcomes are summed as decimals, so that results do not depend on
 the order of rows; ties go to the feature that comes first, then to the smaller threshold. Rows whose value is null go to the larger child.
+The levels of a text feature are put in the order of their mean outcome at each node and then split like numbers; a node names the levels that go left.
 """
 
 from __future__ import annotations
@@ -31,17 +32,45 @@ class Limits:
 
 @dataclass
 class Forest:
-    """nodes: group, node, depth, n, mean, sse, total, feature, threshold, gain, is_leaf; rows: group, case_id, y, node (the leaf)."""
+    """nodes: group, node, depth, n, mean, sse, total, feature, threshold, gain, left_levels (of a text feature), is_leaf; rows: group, case_id, y, node (the leaf)."""
 
     nodes: DataFrame
     rows: DataFrame
 
 
+def texts_among(df: DataFrame, features: Sequence[str]) -> list[str]:
+    return [f for f in features if df.schema[f].dataType.simpleString() == "string"]
+
+
+def _number(name: str, limits: Limits) -> Column:
+    """A feature as the splits see it."""
+    value = F.col(name).cast("double")
+    return F.round(value, limits.digits) if limits.digits is not None else value
+
+
+def _long(rows: DataFrame, values: list[Column], names: list[str], as_name: str) -> DataFrame:
+    key = ["group", "node", "root_sse", "y"]
+    return rows.select(*key, *values).unpivot(key, names, "feature", as_name).filter(F.col(as_name).isNotNull())
+
+
+def level_means(rows: DataFrame, texts: Sequence[str]) -> DataFrame:
+    """Count, sum and mean of the outcome for each level of each text feature at each node."""
+    long = _long(rows, [F.col(f) for f in texts], [*texts], "level")
+    sums = long.groupBy("group", "node", "root_sse", "feature", "level").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("s"))
+    return sums.withColumn("value", F.col("s").cast("double") / F.col("n"))
+
+
 def split_gains(rows: DataFrame, features: Sequence[str], limits: Limits) -> DataFrame:
     """Every admissible split of each (group, node): feature, place of the feature, threshold, gain, and whether nulls go left."""
-    values = [F.round(f, limits.digits).alias(f) if limits.digits is not None else F.col(f).cast("double").alias(f) for f in features]
-    long = rows.select("group", "node", "root_sse", "y", *values).unpivot(["group", "node", "root_sse", "y"], [*features], "feature", "value").filter("value IS NOT NULL")
-    sums = long.groupBy("group", "node", "root_sse", "feature", "value").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("s"))
+    texts = texts_among(rows, features)
+    numbers = [f for f in features if f not in texts]
+    parts, shape = [], ["group", "node", "root_sse", "feature", "value", "n", "s"]
+    if numbers:
+        long = _long(rows, [_number(f, limits).alias(f) for f in numbers], numbers, "value")
+        parts.append(long.groupBy(*shape[:5]).agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("s")).select(shape))
+    if texts:  # a level's value is its mean outcome; levels of equal mean go together
+        parts.append(level_means(rows, texts).groupBy(*shape[:5]).agg(F.sum("n").alias("n"), F.sum("s").alias("s")).select(shape))
+    sums = reduce(DataFrame.unionByName, parts)
     upto = W.partitionBy("group", "node", "feature").orderBy("value")
     whole = W.partitionBy("group", "node", "feature")
     sums = sums.select(
@@ -61,6 +90,15 @@ def best_splits(gains: DataFrame) -> DataFrame:
     return gains.withColumn("_n", F.row_number().over(W.partitionBy("group", "node").orderBy(*order))).filter("_n = 1").drop("_n", "place")
 
 
+def with_left_levels(best: DataFrame, rows: DataFrame, texts: Sequence[str]) -> DataFrame:
+    """best with the levels that go left where the feature is a text: no more than the feature has."""
+    if not texts:
+        return best.withColumn("left_levels", F.lit(None).cast("array<string>"))
+    chosen = level_means(rows, texts).join(best.select("group", "node", "feature", "threshold"), ["group", "node", "feature"])
+    left = chosen.groupBy("group", "node").agg(F.array_sort(F.collect_list(F.when(F.col("value") < F.col("threshold"), F.col("level")))).alias("left_levels"))
+    return best.join(left, ["group", "node"], "left")
+
+
 def _node_stats(rows: DataFrame) -> DataFrame:
     sums = rows.groupBy("group", "node").agg(F.count(F.lit(1)).alias("n"), F.sum("y").cast("double").alias("s"), F.sum((F.col("y") * F.col("y")).cast("decimal(38,6)")).cast("double").alias("q"))
     return sums.select("group", "node", "n", (F.col("s") / F.col("n")).alias("mean"), F.greatest(F.lit(0.0), F.col("q") - F.col("s") * F.col("s") / F.col("n")).alias("sse"), F.col("s").alias("total"))
@@ -69,7 +107,9 @@ def _node_stats(rows: DataFrame) -> DataFrame:
 def grow(df: DataFrame, outcome: str, features: Sequence[str], group: Column | str, limits: Limits = Limits()) -> Forest:
     """Grow a tree for each group; rows without an outcome or group are left out."""
     group = F.col(group) if isinstance(group, str) else group
-    rows = df.filter(F.col(outcome).isNotNull()).select(group.alias("group"), "case_id", F.col(outcome).cast("decimal(18,2)").alias("y"), *(F.col(f).cast("double").alias(f) for f in features), F.lit(1).cast("long").alias("node")).filter("group IS NOT NULL")
+    texts = texts_among(df, features)
+    columns = [F.col(f) if f in texts else F.col(f).cast("double").alias(f) for f in features]
+    rows = df.filter(F.col(outcome).isNotNull()).select(group.alias("group"), "case_id", F.col(outcome).cast("decimal(18,2)").alias("y"), *columns, F.lit(1).cast("long").alias("node")).filter("group IS NOT NULL")
     roots = _node_stats(rows).select("group", F.col("sse").alias("root_sse"))
     active, leaves, nodes = settle(rows.join(roots, "group"), "tree-rows"), [], []
     keep = ["group", "case_id", "y", "node"]
@@ -79,19 +119,21 @@ def grow(df: DataFrame, outcome: str, features: Sequence[str], group: Column | s
             nodes.append(stats)
             leaves.append(active.select(keep))
             break
-        best = settle(best_splits(split_gains(active, features, limits)), "tree-splits")
-        nodes.append(stats.join(best.select("group", "node", "feature", "threshold", "gain"), ["group", "node"], "left"))
+        best = settle(with_left_levels(best_splits(split_gains(active, features, limits)), active, texts), "tree-splits")
+        nodes.append(stats.join(best.select("group", "node", "feature", "threshold", "gain", "left_levels"), ["group", "node"], "left"))
         leaves.append(active.join(best, ["group", "node"], "left_anti").select(keep))
         if best.isEmpty():
             break
         # One row for each node of each group: the planner sends it to the rows where it is small.
         moved = active.join(best, ["group", "node"])
-        value = reduce(lambda rest, f: F.when(F.col("feature") == f, F.col(f)).otherwise(rest), features, F.lit(None).cast("double"))
-        left = F.when(value.isNull(), F.col("null_left")).otherwise(value < F.col("threshold"))
+        numbers = [f for f in features if f not in texts]
+        value = reduce(lambda rest, f: F.when(F.col("feature") == f, _number(f, limits)).otherwise(rest), numbers, F.lit(None).cast("double"))
+        level = reduce(lambda rest, f: F.when(F.col("feature") == f, F.col(f)).otherwise(rest), texts, F.lit(None).cast("string"))
+        left = F.coalesce(value < F.col("threshold"), F.array_contains("left_levels", level), F.col("null_left"))
         active = settle(moved.withColumn("node", 2 * F.col("node") + F.when(left, 0).otherwise(1)).select(*active.columns), "tree-rows")
     every = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), nodes)
     if "feature" not in every.columns:
-        every = every.withColumns({"feature": F.lit(None).cast("string"), "threshold": F.lit(None).cast("double"), "gain": F.lit(None).cast("double")})
+        every = every.withColumns({"feature": F.lit(None).cast("string"), "threshold": F.lit(None).cast("double"), "gain": F.lit(None).cast("double"), "left_levels": F.lit(None).cast("array<string>")})
     every = every.withColumn("is_leaf", F.col("feature").isNull())
     return Forest(settle(every, "tree-nodes"), settle(reduce(DataFrame.unionByName, leaves), "tree-leaves"))
 
@@ -164,7 +206,7 @@ def to_dot(nodes: Sequence, title: str) -> str:
     """Graph description of one tree's node rows, for any renderer."""
     lines = [f'digraph "{title}" {{', "node [shape=box];"]
     for r in sorted(nodes, key=lambda r: r["node"]):
-        test = "" if r["is_leaf"] else f"\\n{r['feature']} < {r['threshold']:.4g}"
+        test = "" if r["is_leaf"] else f"\\n{r['feature']} < {r['threshold']:.4g}" if r["left_levels"] is None else f"\\n{r['feature']} in {', '.join(r['left_levels'])}"
         lines.append(f'n{r["node"]} [label="mean {r["mean"]:.2f}\\nn = {r["n"]}{test}"];')
         lines += [] if r["is_leaf"] else [f"n{r['node']} -> n{2 * r['node']} [label=yes];", f"n{r['node']} -> n{2 * r['node'] + 1} [label=no];"]
     return "\n".join([*lines, "}"])

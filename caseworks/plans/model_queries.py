@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import functions as F
 
 from caseworks.operators import features as X, models as M, trees as T
@@ -12,7 +14,7 @@ from caseworks.sources.case_view import cases
 from caseworks.sources.working import shared_dir
 
 c = F.col
-FEATURES = ["fsearn", "fsunearn", "fssltexp", "fsusize", "fstotded", "cat_elig"]
+FEATURES = ["fsearn", "fsunearn", "fssltexp", "fsusize", "fstotded", "cat_elig", "actntype", "homeded"]
 ROOT_FEATURES = ["fsearn", "fsunearn", "fssltexp"]
 _grown: dict[tuple[str, str, str], T.Forest] = {}
 
@@ -75,8 +77,24 @@ each("l12_tree_graphs", None, dot_files)
 
 NUMBERS = ["fsearn", "fsunearn", "fssltexp", "fsusize", "fstotded"]
 
-#: Trees of the forests m01 and m03 (m02 has twice as many), and folds of all three; the penalties that m11 compares.
-TREES, FOLDS, PENALTIES = 500, 5, [0.0, *(10.0 ** (-6 + k / 3) for k in range(19))]
+PENALTIES = [0.0, *(10.0 ** (-6 + k / 3) for k in range(19))]
+
+
+@dataclass(frozen=True)
+class Job:
+    """How much the model queries fit. The registered ones fit this much; WHOLE has them in the reference's size."""
+
+    trees: int = 50
+    class_trees: int = 100
+    folds: int = 5
+    ablation_folds: int = 2
+    specified_trees: int = 250
+    rounds: int = 20
+    penalties: tuple[float, ...] = tuple(PENALTIES[::4])
+    tuning_folds: int = 3
+
+
+WHOLE_JOB = Job(500, 1000, 5, 5, 2500, 1500, tuple(PENALTIES), 5)
 
 
 def labelled(spark, d, seed: int = 1, k: int = 4):
@@ -89,12 +107,48 @@ def scores(spark, rows, *kinds: str):
 
 
 MD5_FOLD = "(row_number() OVER (PARTITION BY CAST(over_threshold = 1 AS INTEGER) ORDER BY md5('1:' || CAST(case_id AS VARCHAR)), case_id) - 1)"
-each("m01_forest_regression", None, lambda s, d: scores(s, [(M.fold_error(M.vectors(labelled(s, d, k=FOLDS), NUMBERS, c("amterr")), M.RandomForestRegressor(numTrees=TREES, seed=1), FOLDS),)], "rmse", "double"))
-each("m01_forest_importance", None, lambda s, d: scores(s, [(n, float(v)) for n, v in zip(NUMBERS, M.forest_regression(M.vectors(labelled(s, d), NUMBERS, c("amterr"))).featureImportances.toArray(), strict=True)], "variable", "string", "importance", "double"))
-each("m02_forest_classification", None, lambda s, d: scores(s, [(M.fold_area(M.vectors(labelled(s, d, k=FOLDS), NUMBERS, c("error")), M.forest_classifier(2 * TREES, "3", 14), FOLDS),)], "area_under_pr", "double"))
-each("m03_ablation", None, lambda s, d: scores(s, M.ablation(labelled(s, d, k=FOLDS), NUMBERS, c("amterr"), M.RandomForestRegressor(numTrees=TREES, seed=1), FOLDS), "left_out", "string", "rmse", "double"))
-each("m04_forest_specification", None, lambda s, d: M.forest_classifier(per_split="all").fit(M.vectors(labelled(s, d), NUMBERS, c("error"))).transform(M.vectors(labelled(s, d), NUMBERS, c("error"))).select("case_id", M.probability().alias("p")))
-each("m05_boosted_trees", None, lambda s, d: M.boosted_classifier(depth=8).fit(M.vectors(labelled(s, d), NUMBERS, c("error"))).transform(M.vectors(labelled(s, d), NUMBERS, c("error"))).select("case_id", M.probability().alias("p")))
+
+
+def model_jobs(job: Job) -> dict:
+    """The model queries whose work has a size, by key."""
+
+    def forest_error(s, d):
+        rows = M.vectors(labelled(s, d, k=job.folds), NUMBERS, c("amterr"))
+        return scores(s, [(M.fold_error(rows, M.RandomForestRegressor(numTrees=job.trees, seed=1), job.folds),)], "rmse", "double")
+
+    def forest_importance(s, d):
+        found = M.forest_regression(M.vectors(labelled(s, d), NUMBERS, c("amterr")), job.trees).featureImportances.toArray()
+        return scores(s, [(n, float(v)) for n, v in zip(NUMBERS, found, strict=True)], "variable", "string", "importance", "double")
+
+    def forest_area(s, d):
+        rows = M.vectors(labelled(s, d, k=job.folds), NUMBERS, c("error"))
+        return scores(s, [(M.fold_area(rows, M.forest_classifier(job.class_trees, "3", 14), job.folds),)], "area_under_pr", "double")
+
+    def ablation(s, d):
+        found = M.ablation(labelled(s, d, k=job.ablation_folds), NUMBERS, c("amterr"), M.RandomForestRegressor(numTrees=job.trees, seed=1), job.ablation_folds)
+        return scores(s, found, "left_out", "string", "rmse", "double")
+
+    def chances(estimator):
+        def run(s, d):
+            rows = M.vectors(labelled(s, d), NUMBERS, c("error"))
+            return estimator.fit(rows).transform(rows).select("case_id", M.probability().alias("p"))
+
+        return run
+
+    def tuning(s, d):
+        model = M.tuned(M.vectors(labelled(s, d), NUMBERS, c("error")), M.LogisticRegression(), {"regParam": [*job.penalties]}, job.tuning_folds)
+        return scores(s, [(float(p), float(a)) for p, a in zip(job.penalties, model.avgMetrics, strict=True)], "penalty", "double", "area_under_roc", "double")
+
+    return {
+        "m01_forest_regression": forest_error, "m01_forest_importance": forest_importance, "m02_forest_classification": forest_area, "m03_ablation": ablation,
+        "m04_forest_specification": lambda s, d: chances(M.forest_classifier(job.specified_trees, per_split="all"))(s, d),
+        "m05_boosted_trees": lambda s, d: chances(M.boosted_classifier(job.rounds, depth=8))(s, d), "m11_tuning": tuning,
+    }
+
+
+WHOLE = model_jobs(WHOLE_JOB)
+for _name, _job in model_jobs(Job()).items():
+    each(_name, None, _job)
 
 
 def multinomial(spark, d):
@@ -120,13 +174,5 @@ each("m08_state_slopes", None, lambda s, d: M.state_slopes(labelled(s, d), ["fse
 each("m09_recipe", None, lambda s, d: (lambda df: M.recipe(NUMBERS, ["actntype", "homeded"]).fit(df).transform(df).select("case_id", M.vector_to_array("features").alias("features")))(labelled(s, d)))
 each("m10_stratified_folds", f"SELECT case_id, CAST(over_threshold = 1 AS INTEGER) AS error, CAST({MD5_FOLD} % 5 AS INTEGER) AS fold FROM cases WHERE status IS NOT NULL", lambda s, d: labelled(s, d, k=5).select("case_id", "error", "fold"))
 each("m10_stratified_split", f"SELECT case_id, {MD5_FOLD} % 4 < 3 AS train FROM cases WHERE status IS NOT NULL", lambda s, d: labelled(s, d, k=4).select("case_id", (c("fold") < 3).alias("train")))
-
-
-def tuned(spark, d):
-    model = M.tuned(M.vectors(labelled(spark, d), NUMBERS, c("error")), M.LogisticRegression(), {"regParam": PENALTIES})
-    return scores(spark, [(float(p), float(a)) for p, a in zip(PENALTIES, model.avgMetrics, strict=True)], "penalty", "double", "area_under_roc", "double")
-
-
-each("m11_tuning", None, tuned)
 GUESS_SQL = "CASE WHEN rawben >= 5e-1 * benmax AND fsearn > 0e0 THEN 1 ELSE 0 END"
 each("m12_confusion", f"SELECT over_threshold AS truth, {GUESS_SQL} AS guess, count(*) AS n, count(*) / sum(count(*)) OVER (PARTITION BY over_threshold) AS share FROM cases GROUP BY over_threshold, {GUESS_SQL}", lambda s, d: M.confusion(cases(s, d).select(c("over_threshold").alias("truth"), F.when((c("rawben") >= 0.5 * c("benmax")) & (c("fsearn") > 0), 1).otherwise(0).alias("guess")), "truth", "guess"))

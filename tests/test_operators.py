@@ -152,7 +152,7 @@ def test_whole_grids_equal_brute_force(spark, axes, size):
     assert whole == size and got == {k: int(h.sum()) for k, h in want.items()}
 
 
-def test_model_queries_fit_the_whole_job(spark, monkeypatch):
+def test_whole_jobs_have_the_size_they_state(spark, monkeypatch):
     seen = []
 
     def fit(self, rows, params=None):
@@ -161,14 +161,113 @@ def test_model_queries_fit_the_whole_job(spark, monkeypatch):
 
     for kind in (M.RandomForestRegressor, M.RandomForestClassifier, M.GBTClassifier, M.CrossValidator):
         monkeypatch.setattr(kind, "fit", fit)
-    for name in ("m01_forest_regression", "m01_forest_importance", "m02_forest_classification", "m03_ablation", "m04_forest_specification", "m05_boosted_trees", "m11_tuning"):
+    for job in Q.WHOLE.values():
         with pytest.raises(InterruptedError):
-            QUERIES[name](spark, DATA)
+            job(spark, DATA)
     assert [s.get("numTrees") for s in seen[:5]] == [500, 500, 1000, 500, 2500]
     assert (seen[5]["maxIter"], seen[5]["maxDepth"], len(seen[6]["estimatorParamMaps"]), seen[6]["numFolds"]) == (1500, 8, 20, 5)
 
 
-def test_ablation_leaves_out_every_number(spark, monkeypatch):
-    monkeypatch.setattr(Q, "TREES", 1)
-    monkeypatch.setattr(Q, "FOLDS", 2)
-    assert [r["left_out"] for r in QUERIES["m03_ablation"](spark, DATA).collect()] == ["none", *Q.NUMBERS]
+SMALL = Q.model_jobs(Q.Job(3, 3, 2, 2, 3, 2, (0.0, 0.1), 2))
+
+
+@pytest.mark.parametrize("name", sorted(SMALL))
+def test_small_model_jobs(spark, name):
+    rows = SMALL[name](spark, DATA).collect()
+    truth = [r["amterr"] for r in Q.labelled(spark, DATA).select("amterr").collect() if r["amterr"] is not None]
+    if "rmse" in rows[0]:
+        assert all(0 < r["rmse"] < 1.2 * np.std([float(t) for t in truth]) for r in rows)
+    elif name == "m01_forest_importance":
+        assert abs(sum(r["importance"] for r in rows) - 1) < 1e-9
+    else:
+        assert all(0 <= r[k] <= 1 for r in rows for k in ("p", "area_under_pr", "area_under_roc") if k in r)
+    if name == "m03_ablation":
+        assert [r["left_out"] for r in rows] == ["none", *Q.NUMBERS]
+    assert SMALL[name](spark, DATA).count() == len(rows)
+
+
+def model_table(spark, label):
+    rows = M.vectors(Q.labelled(spark, DATA), Q.NUMBERS, label).select("features", "label").collect()
+    return np.array([r["features"].toArray() for r in rows]), np.array([r["label"] for r in rows])
+
+
+def test_linear_probability_equals_least_squares(spark):
+    x, y = model_table(spark, F.col("error"))
+    want = np.linalg.lstsq(np.column_stack([np.ones(len(x)), x]), y, rcond=None)[0]
+    got = [r["coefficient"] for r in QUERIES["m07_linear_probability"](spark, DATA).collect()]
+    assert np.allclose(got, want, rtol=1e-6, atol=1e-10)
+
+
+def test_logit_is_at_its_optimum(spark):
+    """The slope of the penalised likelihood vanishes; the penalty is on coefficients of standardised numbers."""
+    rows = M.vectors(Q.labelled(spark, DATA), Q.NUMBERS, F.col("error"))
+    x, y = model_table(spark, F.col("error"))
+    model = M.multinomial_logit(0.01).setMaxIter(500).setTol(1e-12).fit(rows)
+    logits = x @ model.coefficientMatrix.toArray().T + model.interceptVector.toArray()
+    p = np.exp(logits - logits.max(axis=1, keepdims=True))
+    p /= p.sum(axis=1, keepdims=True)
+    spread = x.std(axis=0, ddof=1)
+    slope = (p - np.eye(2)[y.astype(int)]).T @ x / len(x) / spread + 0.01 * model.coefficientMatrix.toArray() * spread
+    assert np.abs(slope).max() < 1e-5
+
+
+def plain_tree(rows, features, limits, node=1, depth=0, root=None):
+    """Nodes of a tree grown recursively: node -> (n, feature, threshold, left levels)."""
+    y = [r["y"] for r in rows]
+    mean = sum(y) / len(y)
+    root = sum((v - mean) ** 2 for v in y) if root is None else root
+    best = None
+    for f in features if depth < limits.max_depth else []:
+        known = [r for r in rows if r[f] is not None]
+        if len(known) < limits.min_split:
+            continue
+        total = sum(r["y"] for r in known)
+        if isinstance(known[0][f], str):
+            of = {v: [r["y"] for r in known if r[f] == v] for v in {r[f] for r in known}}
+            value = {v: sum(z) / len(z) for v, z in of.items()}
+        else:
+            value = {r[f]: r[f] for r in known}
+        marks = sorted(set(value.values()))
+        for a, b in zip(marks, marks[1:]):
+            left = [r["y"] for r in known if value[r[f]] <= a]
+            nl, nr, sl = len(left), len(known) - len(left), sum(left)
+            gain = sl * sl / nl + (total - sl) ** 2 / nr - total * total / len(known)
+            if nl >= limits.min_leaf and nr >= limits.min_leaf and gain > 0 and gain >= limits.cp * root and (best is None or gain > best[0] + 1e-9):
+                best = gain, f, (a + b) / 2, value, nl >= nr
+    if best is None:
+        return {node: (len(rows), None, None, None)}
+    _, f, threshold, value, nulls = best
+    side = [nulls if r[f] is None else value[r[f]] < threshold for r in rows]
+    levels = sorted(v for v in value if value[v] < threshold) if any(isinstance(v, str) for v in value) else None
+    out = {node: (len(rows), f, threshold, levels)}
+    for k, want in enumerate((True, False)):
+        out |= plain_tree([r for r, s in zip(rows, side) if s == want], features, limits, 2 * node + k, depth + 1, root)
+    return out
+
+
+def test_trees_equal_a_plain_recursive_grower(spark):
+    """Numbers, texts and nulls; every node of two trees, thresholds and the levels that go left."""
+    rnd = random.Random(8)
+    rows = []
+    for k in range(500):
+        color, shape = rnd.choice(["red", "blue", "green", "grey", None]), rnd.choice("abcdefgh")
+        x = rnd.choice([None, *[v / 4 for v in range(40)]])
+        y = round(30 * (color in ("red", "grey")) + 11 * ("ceg".find(shape) >= 0) + (x or 0) * 3 + rnd.random() * 9, 2)
+        rows.append({"case_id": k, "g": "one" if k % 3 else "two", "y": y, "x": x, "noise": rnd.random(), "color": color, "shape": shape})
+    df = spark.createDataFrame(rows, "case_id long, g string, y double, x double, noise double, color string, shape string")
+    features, limits = ["x", "color", "noise", "shape"], T.Limits(max_depth=4)
+    found = T.grow(df, "y", features, "g", limits)
+    for g in ("one", "two"):
+        want = plain_tree([r for r in rows if r["g"] == g], features, limits)
+        got = {r["node"]: (r["n"], r["feature"], r["threshold"], r["left_levels"]) for r in found.nodes.filter(F.col("group") == g).collect()}
+        assert got.keys() == want.keys()
+        for node, (n, feature, threshold, levels) in want.items():
+            assert got[node][:2] == (n, feature) and got[node][3] == levels and (threshold is None or got[node][2] == pytest.approx(threshold))
+    assert " in " in T.to_dot(found.nodes.filter("group = 'one'").collect(), "one")
+
+
+def test_rounded_trees_count_their_children(spark):
+    df = spark.createDataFrame([(k, float(k % 7 * 10 + k % 3), "g", k * 0.37 % 10) for k in range(300)], "case_id long, y double, g string, x double")
+    nodes = {r["node"]: r for r in T.grow(df, "y", ["x"], "g", T.Limits(digits=0)).nodes.collect()}
+    assert min(r["n"] for r in nodes.values()) >= 7
+    assert all(nodes[2 * k]["n"] + nodes[2 * k + 1]["n"] == r["n"] for k, r in nodes.items() if not r["is_leaf"])
