@@ -10,8 +10,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; a local one only where it names none."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    """The cluster's checkpoint folder. Where none is named, a local one serves a local master, and a cluster is an error."""
+    named, master = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext.master
+    if not named and (not master.startswith("local") or master.startswith("local-cluster")):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return (named or os.path.join(tempfile.gettempdir(), "caseworks-shared")).rstrip("/")
 
 
