@@ -296,6 +296,35 @@ def test_language_mixture():
     assert langid.mixture(draw(1, 500), likelihood)[1] == 1.0
 
 
+def test_language_mixture_equals_plain_estimation():
+    """Against expectation-maximisation written out word by word and run to its end, with every order of leaving languages out."""
+    rng = np.random.default_rng(5)
+    likelihood = rng.dirichlet(np.full(langid.BINS, 0.05), 3).T + 1e-6
+    likelihood /= likelihood.sum(axis=0)
+    for weights, n in (((0.5, 0.5, 0), 900), ((0.2, 0.3, 0.5), 2500), ((0, 0, 1), 300), ((0.9, 0.1, 0), 60)):
+        bins = np.concatenate([rng.choice(langid.BINS, int(w * n), p=likelihood[:, k]) for k, w in enumerate(weights) if w])
+
+        def plain(chosen, bins=bins):
+            p = {k: 1 / len(chosen) for k in chosen}
+            for _ in range(3000):
+                new = dict.fromkeys(chosen, 0.0)
+                at = sum(p[k] * likelihood[bins, k] for k in chosen)
+                for k in chosen:
+                    new[k] = float(np.mean(p[k] * likelihood[bins, k] / at))
+                p = new
+            return p, float(np.sum(np.log(sum(p[k] * likelihood[bins, k] for k in chosen))))
+
+        chosen = [0, 1, 2]
+        p, fit = plain(chosen)
+        while len(chosen) > 1:
+            rest = [k for k in chosen if k != min(chosen, key=p.get)]
+            fewer, less = plain(rest)
+            if fit - less > langid.PENALTY * np.log(len(bins)):
+                break
+            chosen, p, fit = rest, fewer, less
+        assert np.allclose(langid.mixture(bins, likelihood), [p.get(k, 0) for k in range(3)], atol=2e-3)
+
+
 def test_language_edges(edge):
     found = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in langid.language_id(edge).collect()}
     assert found[1] == found[2] == found[3] == ("und", 0.0) and found[4][0] in ("en", "de")
@@ -450,6 +479,132 @@ def test_quality_edges(spark, edge):
     assert quality.classify(spark, edge, some).count() == len(EDGE)
 
 
+def test_quality_fit_follows_the_likelihood():
+    """The fitted model is better than its neighbours in a plain ordinal likelihood, and orders its thresholds."""
+    rng = np.random.default_rng(2)
+    rows = []
+    for _ in range(900):
+        bins = rng.choice(40, 6, replace=False).astype(np.int32)
+        z = float(sum(0.4 if b < 20 else -0.4 for b in bins)) + rng.logistic()
+        rows.append((int(z > -0.8) + int(z > 0.9), bins, np.ones(6, np.float32)))
+    weight, cut = quality.fit(rows)
+
+    def loss(w, t):
+        total = 0.0
+        for g, bins, values in rows:
+            tails = [1.0, *(1 / (1 + np.exp(-(float(w[bins] @ values) - x))) for x in t), 0.0]
+            total -= np.log(tails[g] - tails[g + 1])
+        return total / len(rows)
+
+    here = loss(weight, cut)
+    assert cut[0] < cut[1] and here < loss(0 * weight, cut) - 0.05
+    assert weight[:20].mean() > 0.15 and weight[20:40].mean() < -0.15
+    for shift in (np.array([0.4, 0]), np.array([0, 0.4])):
+        assert loss(weight, cut + shift) > here and loss(weight, cut - shift) > here
+    # Descent on all rows to the end: the fit, which stops early and averages, comes near its likelihood.
+    x = np.zeros((len(rows), 40))
+    for k, (_, bins, values) in enumerate(rows):
+        x[k, bins] = values
+    g, w, t = np.array([r[0] for r in rows]), np.zeros(40), np.array([-1.0, 1.0])
+    for _ in range(1500):
+        above = 1 / (1 + np.exp(-((x @ w)[:, None] - t)))
+        tails = np.column_stack([np.ones(len(g)), above, np.zeros(len(g))])
+        low, high = tails[np.arange(len(g)), g], tails[np.arange(len(g)), g + 1]
+        w += 2 * x.T @ (1 - low - high) / len(g)
+        edge = above * (1 - above) / (low - high)[:, None]
+        t += 2 * np.array([np.sum(edge[g == k, k]) - np.sum(edge[g == k + 1, k]) for k in range(2)]) / len(g)
+    best = loss(np.concatenate([w, np.zeros(len(weight) - 40)]), t)
+    assert best <= here < best + 0.04
+
+
+def test_rules_reject_a_bad_host(spark):
+    good, bad = " ".join(f"word{k}" for k in range(60)), "#### " + " ".join(f"word{k} #" for k in range(60))
+    rows = [(k, good, "good") for k in range(40)] + [(100 + k, bad if k < 38 else good, "bad") for k in range(40)] + [(200, bad, "small")]
+    found = {r["doc_id"]: r for r in rules.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert all(found[k]["kept"] for k in range(40)) and not any(found[100 + k]["kept"] for k in range(40))
+    assert not found[100]["base_failed"] and found[100]["host_failed"] == 38
+    assert found[139]["kept"] is False and found[139]["base_failed"] is False  # a clean document of a rejected host
+
+
+def test_rules_where_windows_share_a_hash(docs, duck, monkeypatch):
+    monkeypatch.setattr(rules, "window_hash", lambda a, b, c: F.length(a).cast("long") * 1_000_003)
+    few = docs.filter("n_chars < 1500")
+    con = duckdb.connect()
+    con.register("documents", few.toArrow())
+    same(rules.quality_rules(few), con.sql(rules.ORACLE))
+
+
+def plain_depths(calls):
+    """Depth of each (conversation, call) by following what it needs, None in a circle or where something is missing."""
+
+    def depth(key, above):
+        if key not in calls or key in above:
+            return None
+        below = [depth((key[0], n), {*above, key}) for n in calls[key]]
+        return None if None in below else 1 + max(below, default=-1)
+
+    return {key: depth(key, set()) for key in calls}
+
+
+def test_chat_against_plain_linking(spark):
+    """Generated conversations with chains, circles, missing calls, twins and repeats."""
+    rnd = random.Random(6)
+    schema = {"f": {"type": "object", "required": ["a"], "properties": {"a": {"type": "number"}}}}
+    rows, needs, given, answers = [], collections.defaultdict(set), collections.Counter(), collections.Counter()
+    for conv in range(25):
+        for turn in range(rnd.randint(2, 6)):
+            if rnd.random() < 0.5:
+                calls = []
+                for _ in range(rnd.randint(1, 4)):
+                    name, other = f"c{rnd.randint(0, 5)}", f"c{rnd.randint(0, 6)}"
+                    argument = {"$ref": other} if rnd.random() < 0.5 else rnd.random()
+                    calls.append({"id": name, "name": "f", "arguments": {"a": argument}})
+                    needs[conv, name] |= {other} if isinstance(argument, dict) else set()
+                    given[conv, name] += 1
+                rows.append((conv, turn, "assistant", json.dumps({"tool_calls": calls, "zeta": 1, "alpha": 2})))
+            else:
+                name = f"c{rnd.randint(0, 7)}"
+                answers[conv, name] += 1
+                rows.append((conv, turn, "tool", json.dumps({"tool_call_id": name, "content": "x"})))
+    depths = plain_depths(needs)
+    for r in chat.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), schema).collect():
+        body = json.loads(next(t for c, n, _, t in rows if (c, n) == (r["conv_id"], r["turn"])))
+        if r["role"] == "tool":
+            key = r["conv_id"], body["tool_call_id"]
+            assert r["link"] == ("linked" if key in given else "orphan") and (key not in given or r["at_depth"] == (depths[key] or 0))
+            continue
+        keys = [(r["conv_id"], c["id"]) for c in body["tool_calls"]]
+        order = sorted(range(len(keys)), key=lambda k: (depths[keys[k]] is None, depths[keys[k]] or 0, k))
+        want = {"role": "assistant", **body, "tool_calls": [body["tool_calls"][k] for k in order]}
+        assert r["message_json"] == chat.canonical(want)
+        assert r["valid"] == all(depths[k] is not None and given[k] == 1 for k in keys)
+        assert (r["n_calls"], r["n_answered"]) == (len(keys), sum(answers[k] > 0 for k in keys))
+
+
+def test_memory_is_bounded_and_has_one_owner():
+    made = []
+    first = memory.held("one", lambda: memory.Memo(lambda k: made.append(k) or "v" * 10, 64 * 400))
+    assert [first[k] for k in range(300)] == ["v" * 10] * 300 and first.spent <= first.budget and len(first) < 300
+    assert memory.held("one", dict) is first and first["x" * 2000] == "v" * 10 and "x" * 2000 not in first
+    assert memory.held("two", list) == [] and memory.held("one", dict) is not first
+
+
+def test_pipeline_stages_on_edge_rows(spark, edge, empty, tmp_path):
+    import corpus_pipeline as pipeline
+
+    spark.createDataFrame([(4, 1, 0), (9, 0, 0), (None, 1, 1), (8, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    for k, table in enumerate((edge, empty)):
+        now = table
+        for n, (_, stage) in enumerate(pipeline.STAGES):
+            now = stage(spark, now, str(tmp_path))
+            assert set(table.columns) - {"text"} <= set(now.columns)
+            now.write.parquet(f"{tmp_path}/{k}-{n}")
+            now = spark.read.parquet(f"{tmp_path}/{k}-{n}")
+        assert k == 0 or now.count() == 0
+    with pytest.raises(ValueError):
+        bpe.encode_documents(edge.withColumn("ids", F.lit(1)), RANKS, P.PATTERN)
+
+
 def test_chat(spark):
     schema = {"add": {"type": "object", "required": ["a"], "properties": {"a": {"type": "number"}, "b": {"type": "integer", "minimum": 0}}, "additionalProperties": False}}
     calls = lambda *x: json.dumps({"tool_calls": [{"id": i, "name": n, "arguments": a} for i, n, a in x]})
