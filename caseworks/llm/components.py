@@ -8,24 +8,24 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from caseworks.llm.workspace import drop, settle
+from caseworks.llm.workspace import drop, join_hot, settle
 
 
 def _both_ways(links: DataFrame) -> DataFrame:
     return links.select("u", "v").unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
 
 
-def large_star(links: DataFrame) -> DataFrame:
-    """Link each larger neighbour of a node to the smallest node around it."""
+def large_star(links: DataFrame, total: int) -> DataFrame:
+    """Link each larger neighbour of a node to the smallest node around it; total is the number of links."""
     near = _both_ways(links)
-    least = near.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    return near.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    least = near.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count(F.lit(1)).alias("__cw_n"))
+    return join_hot(near.filter("v > u"), least, "u", 2 * total).select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
-def small_star(links: DataFrame) -> DataFrame:
-    """Link a node and its smaller neighbours to the smallest of them; links come as (larger u, smaller v)."""
-    least = links.groupBy("u").agg(F.min("v").alias("m"))
-    moved = links.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+def small_star(links: DataFrame, total: int) -> DataFrame:
+    """Link a node and its smaller neighbours to the smallest of them; links come as (larger u, smaller v), total of them."""
+    least = links.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("__cw_n"))
+    moved = join_hot(links, least, "u", total).filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
 
 
@@ -39,6 +39,7 @@ def components(links: DataFrame) -> DataFrame:
         if marks[0] == 0 or marks == seen:
             return now
         seen = marks
-        after = settle(small_star(large_star(now)), "links")
-        drop(now)
+        large = settle(large_star(now, marks[0]), "links")
+        after = settle(small_star(large, marks[0]), "links")
+        drop(now, large)
         now = after

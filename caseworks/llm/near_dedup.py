@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from caseworks.llm.components import components
 from caseworks.llm.memory import Memo, held
-from caseworks.llm.workspace import discard, drop, fresh_path, maybe_in, settle, ship, without
+from caseworks.llm.workspace import discard, drop, fresh_path, join_hot, maybe_in, settle, ship, without
 
 ROWS, BANDS = 6, 42
 #: Shingles, and documents, of either side in a block of documents that are compared with each other in one place.
@@ -215,11 +215,11 @@ def placed_rows(docs: DataFrame, width: int, percent: int) -> DataFrame:
     signed = settle(signatures(docs, width).withColumn("node", F.monotonically_increasing_id()), "signatures")
     linkable = signed.filter("n_shingles > 0 AND doc_id IS NOT NULL")
     # A class is a set of shingles; the row with its smallest identifier stands for it.
-    classes = settle(linkable.groupBy("class").agg(F.min(F.struct("doc_id", "node")).alias("least")).select("class", "least.node", "least"), "classes")
+    classes = settle(linkable.groupBy("class").agg(F.min(F.struct("doc_id", "node")).alias("least"), F.count(F.lit(1)).alias("n")).select("class", "least.node", "least", "n"), "classes")
     firsts = linkable.select("node", "bands").join(classes.select("node"), "node", "left_semi")
     keyed = firsts.select(F.col("node").alias("id"), F.explode("bands").alias("key"))
-    buckets = keyed.groupBy("key").agg(F.min("id").alias("pivot"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    members = keyed.join(buckets, "key").filter("id <> pivot")
+    buckets = keyed.groupBy("key").agg(F.min("id").alias("pivot"), F.count(F.lit(1)).alias("__cw_n")).filter("__cw_n > 1")
+    members = join_hot(keyed, buckets, "key", BANDS * classes.count()).filter("id <> pivot")
     stars = settle(members.select(F.col("id").alias("u"), F.col("pivot").alias("v")).distinct(), "stars")
     wanted = settle(stars.select(F.explode(F.array("u", "v")).alias("node")).distinct(), "wanted")
     # Sketches and texts of the documents in buckets, by marks of fixed size: the others stay where they are.
@@ -260,12 +260,12 @@ def placed_rows(docs: DataFrame, width: int, percent: int) -> DataFrame:
     # Smallest identifier, and the row that has it, of each component; a class that links with nothing is its own.
     linked = settle(of(found, "comp").unionByName(found.select(F.col("v").alias("node"), F.col("v").alias("comp")).distinct()).join(classes, "node"), "linked")
     least = linked.groupBy("comp").agg(F.min("least").alias("best"))
-    of_class = classes.join(linked.join(least, "comp").select("class", "best"), "class", "left").select("class", F.coalesce("best", "least").alias("best"))
-    rows = signed.select("doc_id", "text_key", "n_shingles", "node", "class").join(of_class, "class", "left")
+    of_class = classes.join(linked.join(least, "comp").select("class", "best"), "class", "left").select("class", F.coalesce("best", "least").alias("best"), F.col("n").alias("__cw_n"))
+    rows = join_hot(linkable.select("doc_id", "text_key", "n_shingles", "node", "class"), of_class, "class", linkable.count())
+    out = rows.select("doc_id", "text_key", "n_shingles", F.col("best.doc_id").alias("component_id"), (F.col("node") == F.col("best.node")).alias("first"))
     # A row without words, or without identifier, stands alone.
-    alone = F.col("doc_id").isNull() | (F.col("n_shingles") == 0)
-    out = rows.select("doc_id", "text_key", "n_shingles", F.when(alone, F.col("doc_id")).otherwise(F.col("best.doc_id")).alias("component_id"), (alone | (F.col("node") == F.col("best.node"))).alias("first"))
-    out = settle(out, "near-duplicates")
+    alone = signed.filter("n_shingles = 0 OR doc_id IS NULL").select("doc_id", "text_key", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(True).alias("first"))
+    out = settle(out.unionByName(alone), "near-duplicates")
     drop(signed, classes, stars, wanted, sketches, texts, placed, loose, linked, found, family)
     discard(spark, path)
     return out

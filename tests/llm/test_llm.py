@@ -13,7 +13,7 @@ import public_tokenizers as P
 import pytest
 from pyspark.sql import functions as F
 
-from caseworks.llm import bpe, chat, components, exact_dedup, langid, lm, memory, mixing, near_dedup, quality, queries, rules, token_counts
+from caseworks.llm import bpe, chat, components, exact_dedup, langid, lm, memory, mixing, near_dedup, quality, queries, rules, token_counts, workspace
 
 DATA = "/root/testdata/sf0.001"
 RANKS, WORDS = P.path("byte_bpe_multi_50k.tiktoken"), P.path("word_bpe_49k.json")
@@ -272,6 +272,26 @@ def test_near_rows_that_share_an_identifier(spark):
     assert near_dedup.without_near_duplicates(docs.filter("doc_id = 4"), 2).count() == 1
 
 
+def test_components_of_hot_nodes(spark, monkeypatch):
+    """A centre with most links, and chains beside it, whether its neighbours count as hot or not."""
+    pairs = [(5000, k) for k in range(1000, 1400)] + [(k, 10) for k in range(1390, 1500)] + [(k, k + 1) for k in range(100, 130)]
+    for rows in (256, 3, 10**9):
+        monkeypatch.setattr(workspace, "HOT_ROWS", rows)
+        found = {r["u"]: r["v"] for r in components.components(spark.createDataFrame(pairs, "u long, v long")).collect()}
+        assert found == {k: 10 for k in [5000, *range(1000, 1500)]} | {k: 100 for k in range(101, 131)}
+
+
+def test_join_hot(spark, monkeypatch):
+    """Hot or not, each row meets its key's; those without one go, or have nulls."""
+    rows = spark.createDataFrame([(1, k) for k in range(9)] + [(2, 0), (3, 1), (None, 2)], "key int, x int")
+    of = spark.createDataFrame([(1, "a", 9), (2, None, 1)], "key int, y string, __cw_n long")
+    for least in (0, 4, 99):
+        monkeypatch.setattr(workspace, "HOT_ROWS", least)
+        inner = [(1, k, "a") for k in range(9)] + [(2, 0, None)]
+        assert sorted(map(tuple, workspace.join_hot(rows, of, "key", 12).collect()), key=str) == sorted(inner, key=str)
+        assert sorted(map(tuple, workspace.join_hot(rows, of, "key", 12, "left").collect()), key=str) == sorted([*inner, (3, 1, None), (None, 2, None)], key=str)
+
+
 def test_components(spark):
     pairs = [(a, a + 1) for a in range(1, 30)] + [(50, 40), (40, 60), (60, 50), (40, 50), (70, 70), (None, 1)]
     found = {r["u"]: r["v"] for r in components.components(spark.createDataFrame(pairs, "u long, v long")).collect()}
