@@ -251,6 +251,26 @@ def test_near_loose_families(spark, monkeypatch):
     assert found == brute_components(texts, 2, 80)
 
 
+@pytest.mark.parametrize("hot", [0, 6])
+def test_near_hot_keys(spark, monkeypatch, hot):
+    """All classes, band keys and centres count as hot, or only the commonest; copies, near copies, empty texts and rows without identifier."""
+    monkeypatch.setattr(workspace, "HOT_ROWS", hot)
+    rnd = random.Random(5)
+    fresh = lambda n: [f"w{rnd.randrange(10**6)}" for _ in range(n)]
+    base = [fresh(80) for _ in range(4)]
+    texts = {}
+    for i in range(80):
+        mine = list(base[i % 4]) if i % 9 else fresh(30)
+        if i % 3 == 0:
+            mine[rnd.randrange(len(mine))] = f"v{rnd.randrange(10**6)}"
+        texts[i] = " ".join(mine)
+    texts |= {i: "" for i in range(80, 100)}
+    df = spark.createDataFrame([*texts.items(), (None, texts[1]), (None, None), (None, "")], "doc_id long, text string")
+    rows = near_dedup.near_duplicates(df, 2).collect()
+    assert len(rows) == 103 and all(r["component_id"] is None and r["kept"] for r in rows if r["doc_id"] is None)
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in rows if r["doc_id"] is not None} == brute_components(texts, 2, 80)
+
+
 def test_near_edges(edge):
     rows = near_dedup.near_duplicates(edge, 2).collect()
     assert len(rows) == len(EDGE)
