@@ -1,7 +1,8 @@
 """What a Python worker keeps from one batch, task or operator to the next, within a budget of bytes.
 
 Workers outlive tasks and stages, and meet all operators of a pipeline. One operator's things are kept at a time: the first call for another
-owner lets go of all that the last one held. Tables of values seen count the bytes of their entries and begin anew when their budget is
+owner lets go of all that the last one held. What is made again cheaply goes at the end of each task (`for_task`), since workers also stay,
+idle, beside stages that need none. Tables of values seen count the bytes of their entries and begin anew when their budget is
 spent; results never depend on what is kept.
 """
 
@@ -10,7 +11,7 @@ from __future__ import annotations
 import ctypes
 import gc
 import sys
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from typing import Any
 
 import pyarrow as pa
@@ -26,6 +27,8 @@ _held: dict[str, Any] = {}
 def held(owner: str, make: Callable[[], Any]) -> Any:
     """What make() gave for this owner, made anew when another owner has come between."""
     if owner not in _held:
+        _held.clear()
+        gc.collect()
         release()
         _held[owner] = make()
     return _held[owner]
@@ -34,13 +37,24 @@ def held(owner: str, make: Callable[[], Any]) -> Any:
 def release() -> None:
     """Let go of what is held, and give free memory back to the system."""
     _held.clear()
-    gc.collect()
     pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the C library, where it has it
     if trim is not None:
         trim(0)
 
 
+def for_task(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run, which lets go at its end of all that is held."""
+
+    def until_its_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return until_its_end
+
+
 class Memo(dict):
     """Values by key, made when first asked for; at most `budget` bytes of them are kept, and none that takes a large part of it."""
 

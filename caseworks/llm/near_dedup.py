@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from caseworks.llm.components import components
-from caseworks.llm.memory import Memo, held
+from caseworks.llm.memory import Memo, for_task, held
 from caseworks.llm.workspace import discard, drop, fresh_path, join_hot, maybe_in, settle, ship, without
 
 ROWS, BANDS = 6, 42
@@ -108,7 +108,7 @@ def signatures(docs: DataFrame, width: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *(pa.array(c, k) for c, k in zip(out, kinds, strict=True))], names=["doc_id", "text_key", "n_shingles", "class", "bands", "sketch"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text").mapInArrow(run, f"doc_id {kind}, text_key long, n_shingles long, class binary, bands array<long>, sketch binary")
+    return docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text").mapInArrow(for_task(run), f"doc_id {kind}, text_key long, n_shingles long, class binary, bands array<long>, sketch binary")
 
 
 def _beside(pairs: DataFrame, of: DataFrame, what: str) -> DataFrame:
@@ -149,7 +149,7 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) ->
             mask = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], names=["u", "v"])
 
-    return _beside(pairs, texts, "text").sortWithinPartitions("v").mapInArrow(run, "u long, v long")
+    return _beside(pairs, texts, "text").sortWithinPartitions("v").mapInArrow(for_task(run), "u long, v long")
 
 
 def _across(loose: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
@@ -204,9 +204,9 @@ def _across(loose: DataFrame, texts: DataFrame, width: int, percent: int) -> Dat
         if now is not None:
             yield told()
 
-    hashed = texts.join(loose.select("node"), "node", "left_semi").mapInArrow(sets, "node long, hashes binary")
+    hashed = texts.join(loose.select("node"), "node", "left_semi").mapInArrow(for_task(sets), "node long, hashes binary")
     dealt = rows.join(hashed, "node").select("family", "row", "col", "asks", "node", "comp", "hashes").repartition("family", "row", "col").sortWithinPartitions("family", "row", "col")
-    return dealt.mapInArrow(run, "u long, v long")
+    return dealt.mapInArrow(for_task(run), "u long, v long")
 
 
 def placed_rows(docs: DataFrame, width: int, percent: int) -> DataFrame:

@@ -21,7 +21,7 @@ import regex
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from caseworks.llm.memory import Memo, held
+from caseworks.llm.memory import Memo, for_task, held
 from caseworks.llm.workspace import ship
 
 #: Most labelled rows that the model is fitted on.
@@ -136,8 +136,8 @@ def train(docs: DataFrame, grades: DataFrame, sample: int = SAMPLE) -> tuple[np.
             yield pa.RecordBatch.from_arrays([pa.array([weight.tobytes()]), pa.array([cut.tobytes()])], names=["weight", "cut"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    sparse = rows.select("doc_id", "grade", "text").mapInArrow(extract, f"doc_id {kind}, grade int, bins binary, vals binary")
-    model = sparse.repartition(1).mapInArrow(learn, "weight binary, cut binary").collect()
+    sparse = rows.select("doc_id", "grade", "text").mapInArrow(for_task(extract), f"doc_id {kind}, grade int, bins binary, vals binary")
+    model = sparse.repartition(1).mapInArrow(for_task(learn), "weight binary, cut binary").collect()
     return (np.frombuffer(model[0][0], np.float32), np.frombuffer(model[0][1])) if model else None
 
 
@@ -166,7 +166,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray] | None, least: f
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(expected, pa.float64()), pa.array(tail, pa.float64()), pa.array([t >= least for t in tail])], names=["doc_id", "expected_grade", "tail_probability", "kept"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, expected_grade double, tail_probability double, kept boolean")
+    return docs.select("doc_id", "text").mapInArrow(for_task(run), f"doc_id {kind}, expected_grade double, tail_probability double, kept boolean")
 
 
 def classify(spark: SparkSession, docs: DataFrame, labels: DataFrame, least: float = 0.5) -> DataFrame:
@@ -183,4 +183,4 @@ def select(docs: DataFrame, model: tuple[np.ndarray, np.ndarray] | None, least:
             keep = [shared.value is None or tail_of(shared.value, t.as_py()) >= least for t in batch.column(place)]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(for_task(run), docs.schema)
