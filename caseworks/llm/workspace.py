@@ -58,9 +58,16 @@ def drop(*tables: DataFrame) -> None:
 
 _shipped: set[str] = set()
 
+#: Rows and bytes of a batch that goes to a Python worker, for sessions that do not set them: Spark's own 10,000 rows are many whole texts, and
+#: the executor and the worker hold several batches each.
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": "8m"}
+
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors once per application, for the Python workers to import."""
+    """Send this package to the executors once per application, for the Python workers to import; bound the batches they get."""
+    for key, value in BATCHES.items():
+        if spark.conf.get(key, None) is None:
+            spark.conf.set(key, value)
     context = spark.sparkContext
     if context.applicationId in _shipped:
         return
