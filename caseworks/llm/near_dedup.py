@@ -6,6 +6,9 @@ into components. Where there is more than one, the classes outside the largest a
 volume that only emit links. No bucket is cut and no candidate dropped. Signatures rule pairs out only six standard deviations below the
 threshold; every link is confirmed on the full shingle sets of the two texts.
 
+Tables that grow with the rows are joined by hint: some bytes a row in parquet, they seem small enough to broadcast to Spark, which would build
+them in the driver.
+
 Every row has a number of its own, so that rows which share an identifier are compared and placed each by its own text.
 
 Behaviour at the edges: null text, or text without words, has an empty set and links with nothing; a text with fewer words than a
@@ -114,7 +117,7 @@ def signatures(docs: DataFrame, width: int) -> DataFrame:
 def _beside(pairs: DataFrame, of: DataFrame, what: str) -> DataFrame:
     """Pairs (u, v) with what `of` (node, what) has for either node, as a and b."""
     side = lambda node, name: of.select(F.col("node").alias(node), F.col(what).alias(name))
-    return pairs.join(side("u", "a"), "u").join(side("v", "b"), "v").select("u", "v", "a", "b")
+    return pairs.join(side("u", "a").hint("merge"), "u").join(side("v", "b").hint("merge"), "v").select("u", "v", "a", "b")
 
 
 def _alike(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
@@ -204,8 +207,8 @@ def _across(loose: DataFrame, texts: DataFrame, width: int, percent: int) -> Dat
         if now is not None:
             yield told()
 
-    hashed = texts.join(loose.select("node"), "node", "left_semi").mapInArrow(for_task(sets), "node long, hashes binary")
-    dealt = rows.join(hashed, "node").select("family", "row", "col", "asks", "node", "comp", "hashes").repartition("family", "row", "col").sortWithinPartitions("family", "row", "col")
+    hashed = texts.join(loose.select("node").hint("merge"), "node", "left_semi").mapInArrow(for_task(sets), "node long, hashes binary")
+    dealt = rows.join(hashed.hint("merge"), "node").select("family", "row", "col", "asks", "node", "comp", "hashes").repartition("family", "row", "col").sortWithinPartitions("family", "row", "col")
     return dealt.mapInArrow(for_task(run), "u long, v long")
 
 
@@ -216,7 +219,7 @@ def placed_rows(docs: DataFrame, width: int, percent: int) -> DataFrame:
     linkable = signed.filter("n_shingles > 0 AND doc_id IS NOT NULL")
     # A class is a set of shingles; the row with its smallest identifier stands for it.
     classes = settle(linkable.groupBy("class").agg(F.min(F.struct("doc_id", "node")).alias("least"), F.count(F.lit(1)).alias("n")).select("class", "least.node", "least", "n"), "classes")
-    firsts = linkable.select("node", "bands").join(classes.select("node"), "node", "left_semi")
+    firsts = linkable.select("node", "bands").join(classes.select("node").hint("merge"), "node", "left_semi")
     keyed = firsts.select(F.col("node").alias("id"), F.explode("bands").alias("key"))
     buckets = keyed.groupBy("key").agg(F.min("id").alias("pivot"), F.count(F.lit(1)).alias("__cw_n")).filter("__cw_n > 1")
     members = join_hot(keyed, buckets, "key", BANDS * classes.count()).filter("id <> pivot")
@@ -225,10 +228,10 @@ def placed_rows(docs: DataFrame, width: int, percent: int) -> DataFrame:
     # Sketches and texts of the documents in buckets, by marks of fixed size: the others stay where they are.
     node = F.xxhash64("node")
     marked = maybe_in(linkable.select("node", "doc_id", "text_key", "n_shingles", "sketch"), node, node, wanted).filter("__cw_hit").drop("__cw_hit")
-    sketches = settle(marked.join(wanted, "node", "left_semi"), "sketches")
+    sketches = settle(marked.join(wanted.hint("merge"), "node", "left_semi"), "sketches")
     text = F.xxhash64("doc_id", "text_key")
     mine = maybe_in(docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text"), text, text, sketches).filter("__cw_hit").drop("__cw_hit")
-    found = mine.join(sketches.select("doc_id", "text_key", "node"), ["doc_id", "text_key"])
+    found = mine.join(sketches.select("doc_id", "text_key", "node").hint("merge"), ["doc_id", "text_key"])
     texts = settle(found.groupBy("node").agg(F.first("text").alias("text")), "texts")  # rows that repeat give a node's text more than once
 
     path = fresh_path(spark, "confirmed")
@@ -244,13 +247,13 @@ def placed_rows(docs: DataFrame, width: int, percent: int) -> DataFrame:
     # What buckets hold beside the pivots' links: families, which buckets connect, with more than one component.
     family = components(stars)
     of = lambda links, name: links.select(F.col("u").alias("node"), F.col("v").alias(name))
-    placed = sketches.select("node", F.col("n_shingles").alias("size")).join(of(family, "family"), "node", "left").join(of(found, "comp"), "node", "left")
+    placed = sketches.select("node", F.col("n_shingles").alias("size")).join(of(family, "family").hint("merge"), "node", "left").join(of(found, "comp").hint("merge"), "node", "left")
     placed = settle(placed.select("node", "size", F.coalesce("family", "node").alias("family"), F.coalesce("comp", "node").alias("comp")), "placed")
     by_comp = placed.groupBy("family", "comp").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("size"))
     split = by_comp.groupBy("family").agg(F.max(F.struct("n", "comp", "size")).alias("top"), F.sum("n").alias("n"), F.sum("size").alias("size"), F.count(F.lit(1)).alias("comps")).filter("comps > 1 AND n > 2")
     blocks = lambda size, n: F.ceil(F.greatest(size / BLOCK, n / BLOCK_ROWS)).cast("int")
     split = split.select("family", F.col("top.comp").alias("top_comp"), blocks(F.col("size"), F.col("n")).alias("wide"), blocks(F.col("size") - F.col("top.size"), F.col("n") - F.col("top.n")).alias("long"))
-    loose = settle(placed.join(split, "family"), "loose")
+    loose = settle(placed.join(split.hint("merge"), "family"), "loose")
     if not loose.isEmpty():
         compare(_across(loose, texts, width, percent))
         merged = components(pairs_so_far().unionByName(found))
@@ -258,9 +261,9 @@ def placed_rows(docs: DataFrame, width: int, percent: int) -> DataFrame:
         found = merged
 
     # Smallest identifier, and the row that has it, of each component; a class that links with nothing is its own.
-    linked = settle(of(found, "comp").unionByName(found.select(F.col("v").alias("node"), F.col("v").alias("comp")).distinct()).join(classes, "node"), "linked")
+    linked = settle(of(found, "comp").unionByName(found.select(F.col("v").alias("node"), F.col("v").alias("comp")).distinct()).join(classes.hint("merge"), "node"), "linked")
     least = linked.groupBy("comp").agg(F.min("least").alias("best"))
-    of_class = classes.join(linked.join(least, "comp").select("class", "best"), "class", "left").select("class", F.coalesce("best", "least").alias("best"), F.col("n").alias("__cw_n"))
+    of_class = classes.join(linked.join(least.hint("merge"), "comp").select("class", "best").hint("merge"), "class", "left").select("class", F.coalesce("best", "least").alias("best"), F.col("n").alias("__cw_n"))
     rows = join_hot(linkable.select("doc_id", "text_key", "n_shingles", "node", "class"), of_class, "class", linkable.count())
     out = rows.select("doc_id", "text_key", "n_shingles", F.col("best.doc_id").alias("component_id"), (F.col("node") == F.col("best.node")).alias("first"))
     # A row without words, or without identifier, stands alone.
@@ -285,6 +288,6 @@ def without_near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80)
     rest = without(keyed, keys, stays.filter("NOT stays").select("__cw_id", "__cw_key"))
     twins = settle(stays.filter("stays AND NOT all_stay").select("__cw_id", "__cw_key"), "twins")
     if not twins.isEmpty():  # rows alike in identifier and text, of which one stays
-        once = rest.join(twins, keys[0].eqNullSafe(twins["__cw_id"]) & (keys[1] == twins["__cw_key"]), "left_semi").dropDuplicates(["doc_id", "__cw_text"])
+        once = rest.join(twins.hint("merge"), keys[0].eqNullSafe(twins["__cw_id"]) & (keys[1] == twins["__cw_key"]), "left_semi").dropDuplicates(["doc_id", "__cw_text"])
         rest = without(rest, keys, twins).unionByName(once)
     return rest.drop("__cw_text")

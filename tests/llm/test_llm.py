@@ -312,6 +312,27 @@ def test_join_hot(spark, monkeypatch):
         assert sorted(map(tuple, workspace.join_hot(rows, of, "key", 12, "left").collect()), key=str) == sorted([*inner, (3, 1, None), (None, 2, None)], key=str)
 
 
+def test_near_joins_stay_out_of_the_driver(spark, monkeypatch):
+    """Tables that grow with the rows are shuffled, however small Spark takes them to be."""
+    plan = lambda df: df._jdf.queryExecution().sparkPlan().toString()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "1g")
+    try:
+        pairs = spark.createDataFrame([(2, 1), (3, 1)], "u long, v long")
+        of = spark.createDataFrame([(1, b"a"), (2, b"b"), (3, b"c")], "node long, sketch binary")
+        beside = near_dedup._beside(pairs, of, "sketch")
+        assert plan(beside).count("SortMergeJoin") == 2 and "BroadcastHashJoin" not in plan(beside)
+        hot = workspace.join_hot(pairs, pairs.select("u", F.lit(1).alias("m"), F.lit(1).alias("__cw_n")), "u", 2)
+        assert plan(hot).count("SortMergeJoin") == 1
+        found = {}
+        settle = near_dedup.settle
+        monkeypatch.setattr(near_dedup, "settle", lambda df, label: (found.__setitem__(label, plan(df)), settle(df, label))[1])
+        near_dedup.near_duplicates(spark.createDataFrame([(1, "a b c d"), (2, "a b c d e"), (3, "x")], "doc_id long, text string"), 2, 50).collect()
+        for label, bitmaps in {"sketches": 1, "texts": 1, "placed": 0, "loose": 0, "linked": 0}.items():
+            assert "SortMergeJoin" in found[label] and found[label].count("BroadcastHashJoin") == bitmaps, label
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_components(spark):
     pairs = [(a, a + 1) for a in range(1, 30)] + [(50, 40), (40, 60), (60, 50), (40, 50), (70, 70), (None, 1)]
     found = {r["u"]: r["v"] for r in components.components(spark.createDataFrame(pairs, "u long, v long")).collect()}
