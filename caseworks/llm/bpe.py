@@ -22,7 +22,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql.types import BinaryType, BooleanType, LongType, StructField, StructType
 
-from caseworks.llm.memory import Memo, held
+from caseworks.llm.memory import Memo, held, until_idle
 from caseworks.llm.workspace import ship
 
 #: Token pairs judged that a worker keeps. It bounds memory only; results do not depend on it.
@@ -216,7 +216,7 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str) -> DataFram
 
     kept = docs.select(*rest, "text")
     schema = StructType([*kept.schema.fields[:-1], StructField("ids", BinaryType()), StructField("n_tokens", LongType()), StructField("round_trip", BooleanType())])
-    return kept.mapInArrow(run, schema)
+    return kept.mapInArrow(until_idle(run), schema)
 
 
 def digests(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
@@ -237,4 +237,4 @@ def digests(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(of_ids), pa.array(of_bytes)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.select("doc_id", "text").mapInArrow(until_idle(run), f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")

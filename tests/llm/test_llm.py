@@ -5,6 +5,7 @@ import hashlib
 import json
 import random
 import re
+import time
 import zlib
 
 import duckdb
@@ -650,6 +651,39 @@ def test_memory_is_bounded_and_has_one_owner():
     assert memory.held("two", list) == [] and memory.held("one", dict) is not first
 
 
+def test_memory_keeps_what_is_frequent():
+    made = []
+    table = memory.Memo(lambda k: made.append(k) or "v" * 10, 64 * 400)
+    for k in range(2000):
+        table[k], table["often"]
+    assert made.count("often") == 1 and table.spent <= table.budget // 2 and len(table) + len(table.older) < 300
+
+
+def test_idle_workers_let_go(monkeypatch):
+    monkeypatch.setattr(memory, "IDLE_S", 0.2)
+    monkeypatch.setattr(memory, "LOOK_S", 0.05)
+    release_at = iter([0.4, 0.0])
+
+    def run(batches):
+        memory.held("kept", dict)["x"] = 1
+        time.sleep(next(release_at))  # a task that takes long is not idle
+        assert memory.held("kept", dict) == {"x": 1}
+        yield from batches
+
+    assert list(memory.until_idle(run)(iter([1]))) == [1] and list(memory.until_idle(run)(iter([2]))) == [2]
+    time.sleep(0.6)
+    assert memory.held("kept", dict) == {}
+
+
+def test_state_stores_close_soon_after_their_stream(spark, docs):
+    exact_dedup.exact_duplicates(docs).count()
+    opened = lambda: spark._jvm.org.apache.spark.sql.execution.streaming.state.RocksDBMemoryManager.getNumRocksDBInstances(True)
+    end = time.time() + 25
+    while opened() and time.time() < end:
+        time.sleep(0.5)
+    assert opened() == 0
+
+
 def test_pipeline_stages_on_edge_rows(spark, edge, empty, tmp_path):
     import corpus_pipeline as pipeline
 
