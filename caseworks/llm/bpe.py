@@ -27,6 +27,10 @@ from caseworks.llm.workspace import ship
 
 #: Token pairs judged that a worker keeps. It bounds memory only; results do not depend on it.
 PAIRS_KEPT = 200_000
+#: Bytes for stretches, and for other pieces, that a worker remembers.
+STRETCH_BYTES, PIECE_BYTES = 64_000_000, 8_000_000
+#: Tables of the first bytes of pieces are kept, and extended: so many bytes, and so much memory.
+BEGIN, BEGIN_MEMORY = 7, 8_000_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -49,6 +53,8 @@ class PrefixEncoder:
         self._endings.make_automaton()
         self._pairs: dict[int, bool] = {}
         self._stands: dict[int, bool] = {}
+        self._splits: dict[int, tuple[int, int] | None] = {}
+        self._begun = Memo(lambda begin: self.extend(begin, []), BEGIN_MEMORY)
 
     def merged(self, piece: bytes) -> list[int]:
         """Ids by repeated merging of the lowest-ranked neighbours: the definition that validity of tokens and pairs refers to."""
@@ -67,9 +73,46 @@ class PrefixEncoder:
             known = self._stands[token] = self.merged(self.tokens[token]) == [token]
         return known
 
+    def _split(self, token: int) -> tuple[int, int] | None:
+        """The two tokens whose merging gives this one, (token, token) for a single byte; None if merging doesn't give it or a part ranks behind it."""
+        if token in self._splits:
+            return self._splits[token]
+        bytes_, found = self.tokens[token], None
+        if len(bytes_) == 1:
+            found = (token, token)
+        elif self._reachable(token):
+            for at in range(1, len(bytes_)):
+                left, right = self.ranks.get(bytes_[:at], self.size), self.ranks.get(bytes_[at:], self.size)
+                if left < token and right < token and self.merged(bytes_[:at]) == [left] and self.merged(bytes_[at:]) == [right] and self._parted(left, right, token):
+                    found = (left, right)
+                    break
+        self._splits[token] = found
+        return found
+
+    def _parted(self, left: int, right: int, limit: int) -> bool | None:
+        """Whether nothing ranked before limit merges across the border of two tokens while they come about; None if a split is unknown.
+
+        The inner tokens at the border are taken apart in the reverse order of their merging, and each pair that met there is looked up.
+        """
+        tokens, get, a, b = self.tokens, self.ranks.get, left, right
+        while True:
+            if get(tokens[a] + tokens[b], self.size) < limit:
+                return False
+            of_a, of_b = self._split(a), self._split(b)
+            if of_a is None or of_b is None:
+                return None
+            if of_a[1] == a and of_b[0] == b:
+                return True
+            if of_b[0] == b or (of_a[1] != a and a > b):
+                limit, a = a, of_a[1]
+            else:  # of equal rank the one across the border comes first, as the leftmost
+                limit, b = b + 1, of_b[0]
+
     def _adjacent(self, left: int, right: int) -> bool:
         """Whether merging the bytes of both tokens gives back just these two."""
-        good = self.merged(self.tokens[left] + self.tokens[right]) == [left, right]  # so both tokens can be reached, too
+        good = self._parted(left, right, self.size)
+        if good is None:
+            good = self.merged(self.tokens[left] + self.tokens[right]) == [left, right]  # so both tokens can be reached, too
         if len(self._pairs) >= PAIRS_KEPT:
             self._pairs.clear()
         self._pairs[left * self.size + right] = good
@@ -77,21 +120,22 @@ class PrefixEncoder:
 
     def extend(self, piece: bytes, table: list[int]) -> list[int]:
         """Add to the table the last tokens of the prefixes that it lacks; entry i is for the first i + 1 bytes."""
-        pairs, size = self._pairs, self.size
+        known, size, done = self._pairs.get, self.size, len(table)
         for last, (length, token) in self._endings.iter(piece.decode("latin-1")):  # every token that ends at each byte
-            if last != len(table):
-                if last < len(table):  # this prefix has its token
+            if last != done:
+                if last < done:  # this prefix has its token
                     continue
                 break
             if length > last:
                 good = self._reachable(token)
             else:
                 left = table[last - length]
-                good = pairs.get(left * size + token)
+                good = known(left * size + token)
                 if good is None:
                     good = self._adjacent(left, token)
             if good:
                 table.append(token)
+                done += 1
         if len(table) != len(piece):
             raise ValueError("the vocabulary lacks a single byte")
         return table
@@ -106,7 +150,9 @@ class PrefixEncoder:
 
     def encode_piece(self, piece: bytes) -> list[int]:
         whole = self.ranks.get(piece)  # a piece that is a token stays one, reachable or not
-        return [whole] if whole is not None else self.ids_from(self.extend(piece, []))
+        if whole is not None:
+            return [whole]
+        return self.ids_from(self.extend(piece, self._begun[piece[:BEGIN]].copy() if len(piece) > BEGIN else []))
 
     def encode(self, text: str) -> list[int]:
         return [i for piece in self.pattern.findall(text) for i in self.encode_piece(piece.encode())]
@@ -173,16 +219,22 @@ class TextEncoder:
 
     def __init__(self, encoder: PrefixEncoder):
         self.encoder = encoder
-        self.pieces = Memo(self._piece)
-        self.stretches = Memo(self._stretch)
+        self.pieces = Memo(self._piece, PIECE_BYTES)
+        self.stretches = Memo(self._stretch, STRETCH_BYTES)
 
     def _piece(self, piece: str) -> bytes:
         ids = self.encoder.encode_piece(piece.encode())
         return struct.pack(f"<{len(ids)}I", *ids)
 
     def _stretch(self, stretch: str) -> bytes:
-        """Of a stretch that a single space precedes; the space belongs to its first piece."""
-        return b"".join(map(self.pieces.__getitem__, self.encoder.pattern.findall(" " + stretch)))
+        """Of a stretch that a single space precedes; the space belongs to its first piece. A stretch that is one piece is remembered as that only."""
+        spaced = " " + stretch
+        if stretch.isascii() and stretch.isalpha():  # one piece by the pattern
+            return self._piece(spaced)
+        first, *rest = self.encoder.pattern.findall(spaced)
+        if not rest:
+            return self._piece(spaced)
+        return b"".join([self.stretches[first[1:]], *map(self.pieces.__getitem__, rest)])
 
     def __call__(self, text: str) -> bytes:
         if self.IRREGULAR.search(text):

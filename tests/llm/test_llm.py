@@ -75,6 +75,39 @@ def test_bpe_equals_library(encoder, tik):
         assert encoder.decode(ids) == t.encode()
 
 
+def test_bpe_judges_pairs_without_merging_them(monkeypatch):
+    own = bpe.PrefixEncoder(bpe.read_ranks(RANKS), P.PATTERN)
+    rnd = random.Random(2)
+    words = ["".join(rnd.choice(["th", "ing", "tion", "an", "e", "r", "eau", "é", "ß"]) for _ in range(rnd.randint(1, 9))) for _ in range(400)]
+    pairs = [(rnd.randrange(own.size), rnd.randrange(own.size)) for _ in range(3000)]
+    for word in words:
+        raw = word.encode()
+        pairs += [(own.ranks[raw[:c]], own.ranks[raw[c:]]) for c in range(1, len(raw)) if raw[:c] in own.ranks and raw[c:] in own.ranks]
+    pairs = [p for p in pairs if p[0] in own.tokens and p[1] in own.tokens]
+    want = [own.merged(own.tokens[a] + own.tokens[b]) == [a, b] for a, b in pairs]
+    assert 0 < sum(want) < len(want) and [own._adjacent(a, b) for a, b in pairs] == want
+    merged = []
+    monkeypatch.setattr(own, "merged", lambda piece: merged.append(piece))
+    own._pairs.clear()
+    assert [own._adjacent(a, b) for a, b in pairs] == want and not merged
+
+
+def test_bpe_odd_vocabulary():
+    # "abc" ranks before "ab" and "bc", of which one would have to come first: no merging gives it, and pairs with it are judged by merging.
+    ranks = {bytes([k]): k for k in range(256)} | {b"abc": 256, b"ab": 257, b"bc": 258, b"aa": 259, b"aaa": 260}
+    odd, rnd = bpe.PrefixEncoder(ranks, P.PATTERN), random.Random(4)
+    for n in range(300):
+        piece = "".join(rnd.choice("abc") for _ in range(n % 30 + 1)).encode()
+        assert odd.ids_from(odd.extend(piece, [])) == odd.merged(piece)
+
+
+def test_bpe_remembers_a_word_once(encoder, tik):
+    whole = bpe.TextEncoder(encoder)
+    text = "zqthear x zqthear zqthear, zqthear.\nzqthear éabzq"
+    assert whole(text) == np.array(tik.encode_ordinary(text), "<u4").tobytes()
+    assert "zqthear" in whole.stretches and " zqthear" not in whole.pieces and " éabzq" not in whole.pieces
+
+
 def test_bpe_edits(encoder, tik):
     rnd = random.Random(1)
     for k in range(120):
