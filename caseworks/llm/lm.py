@@ -20,8 +20,9 @@ tables give no rows.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from caseworks.llm.bpe import read_ranks
-from caseworks.llm.memory import held
+from caseworks.llm.memory import held, reuse_freed, trim
 from caseworks.llm.workspace import drop, settle, ship
 
 #: So many ranks and the end mark fill the groups of the output.
@@ -52,8 +53,10 @@ FAN_IN = 16
 #: Texts handled, and windows scored, in one go: as many as caches hold.
 TEXTS, CHUNK = 128, 512
 END, PAD = 0, VOCAB
-#: Bound on logits: exponentials of as much stay finite in single precision.
-LARGEST = np.float32(60)
+#: Rows of a group that the output handles in one go, all of whose numbers stay in a core's cache.
+ROWS = 1024
+#: Bounds on products and on biases: sums of exponentials of as much stay finite in single precision.
+LARGEST, LARGEST_BIAS = np.float32(60), 20.0
 DENSE = {"r": (2 * STRIDE,), "wg": (WIDTH, GROUPS), "bg": (GROUPS,), "wm": (GROUPS, WIDTH, MEMBERS), "bm": (GROUPS, MEMBERS)}
 #: Tables of vectors; own and context end with a query and a key.
 TABLES = {"own": (VOCAB + 1, WIDTH + KEY), "context": (VOCAB + 1, WIDTH + KEY), "two": (PAIRS, WIDTH), "three": (TRIPLES, WIDTH)}
@@ -61,11 +64,13 @@ _BACK, _AT = np.arange(STRIDE)[:, None] + STRIDE, np.arange(2 * STRIDE)[None, :]
 DISTANCE, CAUSAL = np.clip(_BACK - _AT, 0, None), _AT <= _BACK
 
 
-def word_hash(word: bytes) -> int:
-    return xxhash.xxh3_64_intdigest(word) - (1 << 63)
+def word_hashes(words: list[bytes]) -> np.ndarray:
+    return (np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words)) ^ np.uint64(1 << 63)).view(np.int64)
 
 
-END_HASH = word_hash(b"\n end")
+END_HASH = word_hashes([b"\n end"])[0]
+#: White space that is no plain space: words may hold what Unicode counts as such.
+OTHER_SPACE = re.compile(r"[^\S ]")
 
 
 def encoding(path: str, pattern: str) -> tiktoken.Encoding:
@@ -78,6 +83,8 @@ def sums_by(key: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     order = np.argsort(key, kind="stable")
     sorted_key, rows = key.take(order), rows.take(order, axis=0)
     first = np.flatnonzero(np.concatenate([[True], sorted_key[1:] != sorted_key[:-1]]))
+    if len(key) > 8 * len(first):  # most keys have many rows: sums along memory
+        return sorted_key[first], np.ascontiguousarray(np.add.reduceat(np.ascontiguousarray(rows.T), first, axis=1).T)
     count = np.diff(np.append(first, len(key)))
     total = rows.take(first, axis=0)
     for k in range(1, 4):  # most keys have few rows
@@ -170,6 +177,7 @@ class Attention:
         self.w = weights
         self.blank = np.zeros(VOCAB + 1, np.float32)
         self.blank[PAD] = -1e9
+        self.starts = np.arange(ROWS) * (MEMBERS + GROUPS)
 
     def states(self, windows: np.ndarray) -> tuple[np.ndarray, ...]:
         """State after the layer for each asking input, one after another, and what led to it."""
@@ -179,8 +187,11 @@ class Attention:
         share = own[:, :, WIDTH:] @ context[:, :, WIDTH:].transpose(0, 2, 1)
         share += np.where(CAUSAL, self.w.dense["r"][DISTANCE], np.float32(-1e9))
         share += self.blank.take(windows)[:, None, :]
-        np.exp(np.minimum(share, LARGEST, out=share), out=share)
-        share /= share.sum(axis=2, keepdims=True) + np.float32(1e-30)
+        if share.max(initial=0) > LARGEST:
+            np.minimum(share, LARGEST, out=share)
+        np.exp(share, out=share)
+        flat = share.reshape(-1, 2 * STRIDE)
+        flat *= (1 / (flat @ np.ones(2 * STRIDE, share.dtype) + np.float32(1e-30)))[:, None]
         state = share @ context[:, :, :WIDTH]
         state += own[:, :, :WIDTH]
         state = state.reshape(-1, WIDTH)
@@ -188,27 +199,56 @@ class Attention:
         state += tables["three"].take(three, axis=0)
         return state, own, context, share, two, three
 
-    def head(self, state: np.ndarray, targets: np.ndarray) -> tuple[np.ndarray, ...]:
-        """Natural logarithm of each target's probability, in order of the targets' groups, that order, and what led to them."""
-        dense = self.w.dense
+    def head(self, state: np.ndarray, targets: np.ndarray, learn: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray | None, dict[str, np.ndarray]]:
+        """Natural logarithm of each target's probability, in order of the targets' groups, and that order; to learn, also the slopes of the
+        negative sum of these logarithms: of states, in that order, and of dense arrays.
+
+        A target's group and member come out of one product, some ROWS rows of a group at a time. Only the products are raised: biases are
+        factors in the sums of exponentials, which leaves no pass over all outputs for them.
+        """
+        dense, n, kind, wide = self.w.dense, len(targets), state.dtype, MEMBERS + GROUPS
         order = np.argsort((targets // MEMBERS).astype(np.uint16), kind="stable")
         state, targets = state.take(order, axis=0), targets.take(order)
-        group, member, rows = targets // MEMBERS, targets % MEMBERS, np.arange(len(targets))
-        outer = state @ dense["wg"]
-        outer += dense["bg"]
-        np.exp(np.minimum(outer, LARGEST, out=outer), out=outer)
-        outer_sum = outer @ np.ones(GROUPS, np.float32)
-        edges = np.searchsorted(group, np.arange(GROUPS + 1))
-        inner = np.empty((len(targets), MEMBERS), state.dtype)
+        group, member = targets // MEMBERS, targets % MEMBERS
+        both = np.concatenate([dense["wm"], np.broadcast_to(dense["wg"], (GROUPS, WIDTH, GROUPS))], axis=2)
+        of_member, of_group = (np.exp(np.clip(dense[k], -LARGEST, LARGEST_BIAS)) for k in ("bm", "bg"))
+        factor = np.zeros((GROUPS, wide, 2), kind)
+        factor[:, :MEMBERS, 0], factor[:, MEMBERS:, 1] = of_member, of_group
+        by_member, by_group = of_member.ravel().take(targets), of_group.take(group)
+        edges = np.searchsorted(group, np.arange(GROUPS + 1)).tolist()
+        found, sums = np.empty((2, n), kind), np.empty((n, 2), kind)
+        room = np.empty((min(n, ROWS), wide), kind)
+        flat = room.ravel()
+        if learn:
+            back, slopes = np.empty_like(state), np.zeros((GROUPS, WIDTH + 1, wide), kind)
+            states = np.concatenate([state, np.ones((n, 1), kind)], axis=1)
+            turned = np.ascontiguousarray((both * factor.sum(axis=2)[:, None, :]).transpose(0, 2, 1))
+            less_member, less_group = 1 / by_member, 1 / of_group
         for g in range(GROUPS):
-            a, b = edges[g], edges[g + 1]
-            if b > a:
-                np.matmul(state[a:b], dense["wm"][g], out=inner[a:b])
-                inner[a:b] += dense["bm"][g]
-        np.exp(np.minimum(inner, LARGEST, out=inner), out=inner)
-        inner_sum = inner @ np.ones(MEMBERS, np.float32)
-        logs = np.log(outer[rows, group] / outer_sum) + np.log(inner[rows, member] / inner_sum + np.float32(1e-35))
-        return logs, order, state, group, member, outer, outer_sum, inner, inner_sum, edges
+            for a in range(edges[g], edges[g + 1], ROWS):
+                b = min(a + ROWS, edges[g + 1])
+                out = room[: b - a]
+                np.matmul(state[a:b], both[g], out=out)
+                if out.max() > LARGEST:
+                    np.minimum(out, LARGEST, out=out)
+                np.exp(out, out=out)
+                total = np.matmul(out, factor[g], out=sums[a:b])
+                place = member[a:b] + self.starts[: b - a]
+                found[0, a:b] = flat.take(place)
+                found[1, a:b] = out[:, MEMBERS + g]
+                if learn:
+                    total = 1 / total
+                    out[:, :MEMBERS] *= total[:, :1]
+                    out[:, MEMBERS:] *= total[:, 1:]
+                    flat[place] -= less_member[a:b]
+                    out[:, MEMBERS + g] -= less_group[g]
+                    slopes[g] += states[a:b].T @ out
+                    np.matmul(out, turned[g], out=back[a:b])
+        logs = np.log(found[1] * by_group / sums[:, 1]) + np.log(found[0] * by_member / sums[:, 0] + np.float32(1e-35))
+        if not learn:
+            return logs, order, None, {}
+        inner, outer = slopes[:, :, :MEMBERS] * of_member[:, None, :], slopes[:, :, MEMBERS:].sum(axis=0) * of_group
+        return logs, order, back, {"wg": outer[:WIDTH], "bg": outer[WIDTH], "wm": inner[:, :WIDTH], "bm": inner[:, WIDTH]}
 
     def log_probabilities(self, windows: np.ndarray, targets: np.ndarray) -> np.ndarray:
         """Of each target (n, STRIDE), one after another; 0 where there is none."""
@@ -220,30 +260,19 @@ class Attention:
 
     def gradient(self, windows: np.ndarray, targets: np.ndarray) -> tuple[float, dict[str, np.ndarray], dict[str, tuple[np.ndarray, np.ndarray]]]:
         """Mean loss, the slopes of dense arrays, and for each table the rows that matter with their slopes."""
-        dense = self.w.dense
         state, own, context, share, two, three = self.states(windows)
         targets = targets.ravel()
         live = np.flatnonzero(targets != PAD)
-        logs, order, held_state, group, member, outer, outer_sum, inner, inner_sum, edges = self.head(state.take(live, axis=0), targets.take(live))
-        n, rows, slope = np.float32(max(1, len(live))), np.arange(len(live)), {}
-        outer *= (1 / (n * outer_sum))[:, None]
-        outer[rows, group] -= 1 / n
-        inner *= (1 / (n * inner_sum))[:, None]
-        inner[rows, member] -= 1 / n
-        slope["wg"], slope["bg"] = held_state.T @ outer, outer.sum(axis=0)
-        back = outer @ dense["wg"].T
-        slope["wm"], slope["bm"] = np.zeros_like(dense["wm"]), np.zeros_like(dense["bm"])
-        for g in range(GROUPS):
-            a, b = edges[g], edges[g + 1]
-            if b > a:
-                slope["wm"][g], slope["bm"][g] = held_state[a:b].T @ inner[a:b], inner[a:b].sum(axis=0)
-                back[a:b] += inner[a:b] @ dense["wm"][g].T
+        logs, order, back, slope = self.head(state.take(live, axis=0), targets.take(live), learn=True)
+        n = np.float32(max(1, len(live)))
+        slope = {k: v / n for k, v in slope.items()}
         of_state = np.zeros_like(state)
-        of_state[live[order]] = back
+        of_state[live.take(order)] = np.divide(back, n, out=back)
         by_window = of_state.reshape(-1, STRIDE, WIDTH)
         of_share = by_window @ context[:, :, :WIDTH].transpose(0, 2, 1)
-        of_share -= (of_share * share).sum(axis=2, keepdims=True)
         of_share *= share
+        flat = of_share.reshape(-1, 2 * STRIDE)
+        of_share -= share * (flat @ np.ones(2 * STRIDE, flat.dtype)).reshape(-1, STRIDE, 1)
         slope["r"] = np.bincount(DISTANCE[CAUSAL], of_share.sum(axis=0)[CAUSAL], 2 * STRIDE).astype(np.float32)
         of_own, of_context = np.empty_like(own), np.empty_like(context)
         of_own[:, :, :WIDTH] = by_window
@@ -307,9 +336,12 @@ class Learner:
         n = np.float32((targets != PAD).sum())
         for k, (rows, g) in touched.items():
             g *= n
-            seen = weights.seen[k]
-            seen[rows] += np.einsum("ij,ij->i", g, g) / np.float32(g.shape[1])
-            weights.tables[k][rows] -= np.float32(TABLE_RATE * self.rate) * g / np.sqrt(seen[rows] + np.float32(0.01))[:, None]
+            seen, table = weights.seen[k], weights.tables[k]
+            now = seen.take(rows) + np.einsum("ij,ij->i", g, g) / np.float32(g.shape[1])
+            seen[rows] = now
+            g *= (np.float32(-TABLE_RATE * self.rate) / np.sqrt(now + np.float32(0.01)))[:, None]
+            g += table.take(rows, axis=0)
+            table[rows] = g
 
     def gains(self) -> dict[str, np.ndarray]:
         return {k: self.model.w.seen[k] - self.before[k] for k in TABLES}
@@ -334,13 +366,23 @@ def blocks(tokens: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndar
     return np.concatenate([before, inputs], axis=1), goals.reshape(-1, STRIDE)
 
 
+class Numbers(dict):
+    """Numbers of words by when they first came, from 1."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = number = len(self) + 1
+        return number
+
+
 class Words:
     """Words by number, with arrays of what is looked up for each; number 0 is the end mark."""
 
     def __init__(self, encoder: tiktoken.Encoding, listed: np.ndarray | None = None, times: np.ndarray | None = None):
         """listed: sorted hashes of words whose counts are known, times: these counts."""
         self.encoder, self.listed, self.times = encoder, listed, times
-        self.of: dict[bytes, int] = {}
+        self.of = Numbers()
+        #: Whether an id's bytes begin with a space, as the first one of each word and no other does.
+        self.leads = np.array([encoder.decode_single_token_bytes(k)[:1] == b" " for k in range(encoder.n_vocab)])
         self.hash, self.size, self.start = np.array([END_HASH]), np.ones(1, np.int64), np.zeros(1, np.int64)
         self.pool, self.used = np.array([END], np.uint16), 1
         self.count = self._counts(self.hash)
@@ -351,18 +393,30 @@ class Words:
         at = np.minimum(np.searchsorted(self.listed, hashes), len(self.listed) - 1)
         return np.where(self.listed[at] == hashes, self.times[at], 0)
 
-    def _add(self, words: list[bytes]) -> None:
+    def _encoded(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the words one after another, and how many each word has."""
+        text = (b" " + b" ".join(words)).decode(errors="replace")
+        if not OTHER_SPACE.search(text):  # pieces end where a plain space leads the next word, so that all words may be encoded as one text
+            found = self.encoder.encode_ordinary(text)
+            ids = np.fromiter(found, np.uint16, len(found))
+            first = np.flatnonzero(self.leads[ids])
+            if len(first) == len(words):
+                return ids, np.diff(first, append=len(ids))
         lists = [self.encoder.encode_ordinary(" " + w.decode(errors="replace")) for w in words]
         sizes = np.fromiter(map(len, lists), np.int64, len(lists))
-        ids = np.fromiter(chain.from_iterable(lists), np.uint16, sizes.sum()) + np.uint16(1)
-        first = len(self.of) + 1
-        self.of.update(zip(words, range(first, first + len(words)), strict=True))
-        last = first + len(words)
+        return np.fromiter(chain.from_iterable(lists), np.uint16, sizes.sum()), sizes
+
+    def _add(self, words: list[bytes]) -> None:
+        """words: the last ones that were given a number."""
+        ids, sizes = self._encoded(words)
+        ids += np.uint16(1)
+        last = len(self.of) + 1
+        first = last - len(words)
         if last > len(self.hash):  # grow by doubling
             self.hash, self.size, self.start, self.count = (np.concatenate([x, np.zeros(last + len(x), x.dtype)]) for x in (self.hash, self.size, self.start, self.count))
         if self.used + len(ids) > len(self.pool):
             self.pool = np.concatenate([self.pool, np.zeros(self.used + 2 * len(ids), np.uint16)])
-        self.hash[first:last] = [word_hash(w) for w in words]
+        self.hash[first:last] = word_hashes(words)
         self.count[first:last] = self._counts(self.hash[first:last])
         self.size[first:last] = sizes
         self.start[first:last] = self.used + np.cumsum(sizes) - sizes
@@ -371,15 +425,16 @@ class Words:
 
     def numbers(self, texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
         """Numbers of all texts' words one after another, an end mark behind each text, and the number of each text's words and mark."""
-        known = self.of
-        if new := list({w for words in texts for w in words if w not in known}):
-            self._add(new)
-        out = np.zeros(sum(map(len, texts)) + len(texts), np.int64)
-        at = 0
-        for words in texts:
-            out[at : at + len(words)] = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
-            at += len(words) + 1
-        return out, np.array([len(words) + 1 for words in texts])
+        known, before, lengths = self.of, len(self.of), np.array([len(words) + 1 for words in texts])
+        ends = np.cumsum(lengths)
+        out = np.empty(ends[-1], np.int64)
+        is_word = np.ones(len(out), bool)
+        is_word[ends - 1] = False
+        out[ends - 1] = 0
+        out[is_word] = np.fromiter(map(known.__getitem__, chain.from_iterable(texts)), np.int64, len(out) - len(texts))
+        if len(known) > before:
+            self._add(list(islice(reversed(known), len(known) - before))[::-1])
+        return out, lengths
 
     def tokens(self, numbers: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Subwords of the texts one after another, and how many each text has."""
@@ -428,6 +483,7 @@ def learn(docs: DataFrame, start: bytes, rate: float, path: str, pattern: str) -
     shared = docs.sparkSession.sparkContext.broadcast(start)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reuse_freed()
         encoder = encoding(path, pattern)
         learner, words = Learner(Weights.unpack(shared.value), rate, 11), Words(encoder)
         counts, tokens_seen = np.zeros(1, np.int64), 0
@@ -454,6 +510,8 @@ def learn(docs: DataFrame, start: bytes, rate: float, path: str, pattern: str) -
             yield told()
             learner.finish()
             yield _learned(tokens=float(tokens_seen), weights=learner.model.w.pack(), gains=_pack_gains(learner.gains()))
+        del learner, words
+        trim()
 
     return docs.select("text").mapInArrow(run, LEARNED)
 
@@ -512,6 +570,7 @@ def score(docs: DataFrame, weights: bytes, frequent: dict[int, int], path: str,
     shared = docs.sparkSession.sparkContext.broadcast((weights, order, np.array([frequent[h] for h in order.tolist()], np.int64)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reuse_freed()
         packed, order, number = shared.value
         encoder, model = encoding(path, pattern), Attention(Weights.unpack(packed))
         words = Words(encoder, order, number)
@@ -541,6 +600,8 @@ def score(docs: DataFrame, weights: bytes, frequent: dict[int, int], path: str,
                     names=["row", "doc_id", "held_out", "n_tokens", "n_known", "base", "rare", "score"],
                 )
                 row += len(lengths)
+        del words, model
+        trim()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "held_out", "text").mapInArrow(run, f"row long, doc_id {kind}, held_out boolean, n_tokens long, n_known long, base double, rare array<struct<hash:long,n:long>>, score double")

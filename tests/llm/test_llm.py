@@ -5,6 +5,7 @@ import hashlib
 import json
 import random
 import re
+import resource
 import time
 import zlib
 
@@ -533,6 +534,50 @@ def test_lm_windows_cover_every_text():
     assert (tokens[sizes[0] : sizes[0] + sizes[1] - 1] - 1).tolist() == sum(tik, [])
 
 
+def test_lm_encodes_new_words_together():
+    encoder, calls = lm.encoding(RANKS, P.PATTERN), []
+
+    class Counted:
+        n_vocab, decode_single_token_bytes = encoder.n_vocab, staticmethod(encoder.decode_single_token_bytes)
+
+        def encode_ordinary(self, text):
+            calls.append(text)
+            return encoder.encode_ordinary(text)
+
+    plain = [w.encode() for w in ("don't", "'s", "a,b", "###", "12ab", "äöü", "日本", "x" * 300, "\x00", "é'll", *(f"w{k * 7919 % 1009}" for k in range(500)))]
+    for more, most in (([], 1), (["no\u00a0break", "\u3000", "end\u2028", "a\u00a0\u00a0b"], 2000)):
+        texts, words = [plain[:7], [], plain + [w.encode() for w in more]], lm.Words(Counted())
+        calls.clear()
+        tokens, sizes = words.tokens(*words.numbers(texts))
+        assert len(calls) <= most
+        expected = [[k + 1 for w in t for k in encoder.encode_ordinary(" " + w.decode())] + [lm.END] for t in texts]
+        assert tokens.tolist() == sum(expected, []) and sizes.tolist() == list(map(len, expected))
+
+
+def test_lm_training_steps_need_no_new_pages():
+    memory.reuse_freed()
+    rng, learner = np.random.default_rng(0), lm.Learner(lm.Weights.initial(), 0.02, 11)
+    parts = [rng.integers(0, lm.VOCAB, (lm.BATCH, 3 * lm.STRIDE)).astype(np.int32) for _ in range(15)]
+    for k, part in enumerate(parts):
+        if k == 5:
+            before = resource.getrusage(resource.RUSAGE_SELF).ru_minflt
+        learner._step(part[:, : 2 * lm.STRIDE], part[:, 2 * lm.STRIDE :])
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_minflt - before < 10 * 300
+    memory.trim()
+
+
+def test_lm_output_in_parts_of_a_group(monkeypatch):
+    rng = np.random.default_rng(2)
+    model = lm.Attention(lm.Weights.initial())
+    state, targets = rng.normal(size=(700, lm.WIDTH)).astype(np.float32), rng.integers(0, 3 * lm.MEMBERS, 700)
+    whole = model.head(state, targets, learn=True)
+    monkeypatch.setattr(lm, "ROWS", 9)
+    for a, b in zip(whole[:3], model.head(state, targets, learn=True)[:3], strict=True):
+        assert np.allclose(a, b, atol=1e-5)
+    for k, slope in model.head(state, targets, learn=True)[3].items():
+        assert np.allclose(slope, whole[3][k], atol=1e-3), k
+
+
 def test_lm_results_do_not_depend_on_the_bounded_list(docs, monkeypatch):
     monkeypatch.setattr(lm, "RATES", (0.02,))
     whole = {r["doc_id"]: (r["score"], r["base_score"], r["n_known"]) for r in lm.score_documents(docs, RANKS, P.PATTERN).collect()}
